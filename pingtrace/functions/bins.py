@@ -1,32 +1,23 @@
-"""Equal-width bins, as Spark columns."""
+"""Equal-width bins, as Spark SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def bin_width(low: Column, high: Column, bins: int) -> Column:
-    return (high - low) / F.lit(float(bins))
-
-
-def bin_start(index: Column, low: Column, high: Column, bins: int) -> Column:
+def bin_start(index: str, low: str, high: str, bins: int) -> str:
     """Left edge of a bin."""
-    return low + index * bin_width(low, high, bins)
+    return f"({low} + ({index}) * (({high} - {low}) / {bins}D))"
 
 
-def bin_index(value: Column, low: Column, high: Column, bins: int) -> Column:
+def bin_index(value: str, low: str, high: str, bins: int) -> str:
     """0-based bin of `value`: the last bin whose left edge is not above it.
 
     The maximum falls into the last bin, and everything into bin 0 when
     low = high. The division gives the bin up to one rounding step, which the
     comparison with the edges themselves then settles.
     """
-    guess = F.floor((value - low) / bin_width(low, high, bins))
+    guess = f"floor(({value} - {low}) / (({high} - {low}) / {bins}D))"
     settled = (
-        F.when(value < bin_start(guess, low, high, bins), guess - 1)
-        .when(value >= bin_start(guess + 1, low, high, bins), guess + 1)
-        .otherwise(guess)
+        f"CASE WHEN {value} < {bin_start(guess, low, high, bins)} THEN {guess} - 1 "
+        f"WHEN {value} >= {bin_start(f'{guess} + 1', low, high, bins)} THEN {guess} + 1 ELSE {guess} END"
     )
-    inside = F.greatest(F.lit(0).cast("bigint"), F.least(settled, F.lit(bins - 1).cast("bigint")))
-    return F.when(high > low, inside).otherwise(F.lit(0).cast("bigint")).cast("int")
+    return f"cast(CASE WHEN {high} > {low} THEN greatest(0L, least({settled}, {bins - 1}L)) ELSE 0L END AS int)"

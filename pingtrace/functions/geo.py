@@ -1,11 +1,14 @@
-"""Distances and grid cells on the sphere, as Spark columns."""
+"""Distances and grid cells on the sphere, as Spark SQL expressions.
+
+The helpers take names of columns (or other SQL expressions) and give SQL text,
+to be used in `expr`, `selectExpr` and `where`.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 EARTH_RADIUS_M = 6_371_000.0
 HALF_CIRCUMFERENCE_M = math.pi * EARTH_RADIUS_M
@@ -15,22 +18,26 @@ HALF_CIRCUMFERENCE_M = math.pi * EARTH_RADIUS_M
 _MARGIN = 1 + 1e-6
 
 
-def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+def number(value: float) -> str:
+    """A double literal in SQL."""
+    return f"{float(value)!r}D"
+
+
+def haversine_m(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Great-circle distance in metres between two points given in degrees."""
-    half_dlat = F.radians(lat2 - lat1) / 2
-    half_dlon = F.radians(lon2 - lon1) / 2
-    chord = F.pow(F.sin(half_dlat), F.lit(2.0)) + (
-        F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(half_dlon), F.lit(2.0))
-    )
     # asin of anything above 1 is NaN; antipodal points can round up to there.
-    return F.asin(F.least(F.lit(1.0), F.sqrt(chord))) * (2 * EARTH_RADIUS_M)
+    return (
+        f"({number(2 * EARTH_RADIUS_M)} * asin(least(1D, sqrt("
+        f"pow(sin(radians({lat2} - {lat1}) / 2), 2D) + "
+        f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2D)))))"
+    )
 
 
-def rescale(value: Column, low: Column, high: Column, unit_range=(-1.0, 1.0), digits: int = 7) -> Column:
+def rescale(value: str, low: str, high: str, unit_range=(-1.0, 1.0), digits: int = 7) -> str:
     """Map `value` from `unit_range` linearly onto [low, high], rounded."""
     start, end = unit_range
-    share = (value - F.lit(float(start))) / F.lit(float(end) - float(start))
-    return F.round(low + (high - low) * share, digits)
+    share = f"({value} - {number(start)}) / {number(end - start)}"
+    return f"round({low} + ({high} - {low}) * ({share}), {digits})"
 
 
 class CellGrid:
@@ -50,63 +57,48 @@ class CellGrid:
         self.metres = float(metres)
         self.height = math.degrees(2 * self.metres / EARTH_RADIUS_M)
 
-    def _row(self, latitude: Column) -> Column:
-        return F.floor(latitude / F.lit(self.height))
+    def _row(self, latitude: str) -> str:
+        return f"floor(({latitude}) / {number(self.height)})"
 
-    def _columns(self, row: Column) -> Column:
-        poleward = F.least(
-            F.lit(90.0),
-            F.greatest(F.abs(row * F.lit(self.height)), F.abs((row + 1) * F.lit(self.height))),
-        )
-        fitting = F.floor(F.cos(F.radians(poleward)) * F.lit(360.0 / self.height))
-        return F.greatest(F.lit(1).cast("bigint"), fitting)
+    def _columns(self, row: str) -> str:
+        """Number of columns in a row, from the cosine of its poleward edge."""
+        height = number(self.height)
+        poleward = f"least(90D, greatest(abs({row} * {height}), abs(({row} + 1) * {height})))"
+        return f"greatest(1L, floor(cos(radians({poleward})) * {number(360.0 / self.height)}))"
 
     @staticmethod
-    def _column(longitude: Column, columns: Column) -> Column:
-        return F.floor((longitude + F.lit(180.0)) * columns / F.lit(360.0))
+    def _column(longitude: str) -> str:
+        return f"floor(({longitude} + 180D) * _columns / 360D)"
 
     def with_home_cell(self, df: DataFrame, latitude: str, longitude: str) -> DataFrame:
         """Add `cy`, `cx`: the one cell each point lies in."""
         return (
-            df.withColumn("cy", self._row(F.col(latitude)))
-            .withColumn("_columns", self._columns(F.col("cy")))
-            .withColumn("cx", F.pmod(self._column(F.col(longitude), F.col("_columns")), F.col("_columns")))
-            .drop("_columns")
+            df.selectExpr("*", f"{self._row(latitude)} AS cy")
+            .selectExpr("*", f"{self._columns('cy')} AS _columns")
+            .selectExpr("* EXCEPT (_columns)", f"pmod({self._column(longitude)}, _columns) AS cx")
         )
 
     def with_reached_cells(
-        self, df: DataFrame, latitude: str, longitude: str, radius: Column | None = None
+        self, df: DataFrame, latitude: str, longitude: str, radius: str | None = None
     ) -> DataFrame:
         """One row per cell touched by the circle around each point.
 
         `radius` (metres, at most the grid's own) defaults to the grid's.
         """
-        lat, lon = F.col(latitude), F.col(longitude)
-        angle = (F.lit(self.metres) if radius is None else radius) / F.lit(EARTH_RADIUS_M)
-        reach_lat = F.degrees(angle) * F.lit(_MARGIN)
-        holds_pole = F.abs(lat) + reach_lat >= F.lit(90.0)
-        ratio = F.sin(angle) / F.cos(F.radians(lat))
-        reach_lon = F.when(holds_pole, F.lit(180.0)).otherwise(
-            F.degrees(F.asin(F.least(F.lit(1.0), ratio))) * F.lit(_MARGIN)
+        angle = f"({radius or number(self.metres)} / {number(EARTH_RADIUS_M)})"
+        reach_lat = f"degrees({angle}) * {number(_MARGIN)}"
+        # A circle that holds a pole spans all longitudes.
+        reach_lon = (
+            f"CASE WHEN abs({latitude}) + {reach_lat} >= 90D THEN 180D ELSE "
+            f"degrees(asin(least(1D, sin({angle}) / cos(radians({latitude}))))) * {number(_MARGIN)} END"
         )
-        first_row = self._row(F.greatest(F.lit(-90.0), lat - reach_lat))
-        last_row = self._row(F.least(F.lit(90.0), lat + reach_lat))
+        first_row = self._row(f"greatest(-90D, {latitude} - {reach_lat})")
+        last_row = self._row(f"least(90D, {latitude} + {reach_lat})")
+        first, last = self._column(f"({longitude} - _reach)"), self._column(f"({longitude} + _reach)")
         # Two explodes instead of a nested transform keep this inside codegen.
         return (
-            df.withColumn("_reach", reach_lon)
-            .withColumn("cy", F.explode(F.sequence(first_row, last_row)))
-            .withColumn("_columns", self._columns(F.col("cy")))
-            .withColumn("_first", self._column(lon - F.col("_reach"), F.col("_columns")))
-            .withColumn("_last", self._column(lon + F.col("_reach"), F.col("_columns")))
-            .withColumn(
-                "_cx",
-                F.explode(
-                    F.sequence(
-                        F.col("_first"),
-                        F.least(F.col("_last"), F.col("_first") + F.col("_columns") - 1),
-                    )
-                ),
-            )
-            .withColumn("cx", F.pmod(F.col("_cx"), F.col("_columns")))
-            .drop("_reach", "_columns", "_first", "_last", "_cx")
+            df.selectExpr("*", f"{reach_lon} AS _reach", f"explode(sequence({first_row}, {last_row})) AS cy")
+            .selectExpr("*", f"{self._columns('cy')} AS _columns")
+            .selectExpr("*", f"explode(sequence({first}, least({last}, {first} + _columns - 1))) AS _cx")
+            .selectExpr("* EXCEPT (_reach, _columns, _cx)", "pmod(_cx, _columns) AS cx")
         )

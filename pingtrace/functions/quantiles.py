@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pingtrace.functions.geo import number
+
 BUCKETS = 4096
 LEVELS = 3
 
@@ -24,64 +26,64 @@ def exact_quantiles(
     rows per bracket after the shuffle) and goes on with the bucket that holds
     the wanted rank. The last step counts the few distinct values left.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).alias("v")) for c in columns])
-    values = df.select(F.inline(pairs)).where(F.col("v").isNotNull())
-    position = F.col("fraction") * (F.col("total") - 1)
+    pairs = ", ".join(f"struct('{c}' AS axis, cast({c} AS double) AS v)" for c in columns)
+    values = df.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL")
+    shares = ", ".join(number(f) for f in fractions)
     # One row per column and fraction: the bracket that holds the wanted rank.
     brackets = (
         values.groupBy("axis")
-        .agg(F.count("*").alias("total"), F.min("v").alias("low"), F.max("v").alias("high"))
-        .withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-        .select(
+        .agg(F.expr("count(*) AS total"), F.expr("min(v) AS low"), F.expr("max(v) AS high"))
+        .selectExpr("*", f"explode(array({shares})) AS fraction")
+        .selectExpr(
             "axis",
             "fraction",
-            F.floor(position).alias("rank"),
-            (position - F.floor(position)).alias("weight"),
-            F.lit(0).cast("bigint").alias("below"),
-            F.lit(None).cast("double").alias("beyond"),
+            "floor(fraction * (total - 1)) AS rank",
+            "fraction * (total - 1) - floor(fraction * (total - 1)) AS weight",
+            "0L AS below",
+            "cast(NULL AS double) AS beyond",
             "low",
             "high",
         )
     )
     wanted = ["axis", "fraction", "rank", "weight", "below", "beyond"]
+    bucket = F.expr(
+        f"CASE WHEN high > low THEN least(floor((v - low) / (high - low) * {buckets}), {buckets - 1}L) "
+        "ELSE 0L END AS bucket"
+    )
     for _ in range(levels):
-        share = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low"))
-        bucket = F.when(
-            F.col("high") > F.col("low"),
-            F.least(F.floor(share * buckets), F.lit(buckets - 1).cast("bigint")),
-        ).otherwise(F.lit(0).cast("bigint"))
         counts = (
             _inside(values, brackets)
-            .groupBy(*wanted, bucket.alias("bucket"))
-            .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            .groupBy(*wanted, bucket)
+            .agg(F.expr("count(*) AS n"), F.expr("min(v) AS low"), F.expr("max(v) AS high"))
         )
-        brackets = _holding_rank(counts, "bucket", "low").select(*wanted, "low", "high")
-    counts = _inside(values, brackets).groupBy(*wanted, "v").agg(F.count("*").alias("n"))
-    found = _holding_rank(counts, "v", "v")
-    above = F.when(F.col("below") + F.col("n") > F.col("rank") + 1, F.col("v")).otherwise(
-        F.coalesce(F.col("beyond"), F.col("v"))
-    )
-    return found.select(
-        "axis", "fraction", (F.col("v") + (above - F.col("v")) * F.col("weight")).alias("quantile")
+        brackets = _holding_rank(counts, "bucket", "low", ["low", "high"])
+    counts = _inside(values, brackets).groupBy(*wanted, "v").agg(F.expr("count(*) AS n"))
+    above = "if(below + n > rank + 1, v, coalesce(beyond, v))"
+    return _holding_rank(counts, "v", "v", ["v", "n"]).selectExpr(
+        "axis", "fraction", f"v + ({above} - v) * weight AS quantile"
     )
 
 
 def _inside(values: DataFrame, brackets: DataFrame) -> DataFrame:
     # The brackets are len(columns) * len(fractions) rows, whatever the data.
-    return values.join(F.broadcast(brackets), "axis").where(F.col("v").between(F.col("low"), F.col("high")))
+    return values.join(F.broadcast(brackets), "axis").where("v BETWEEN low AND high")
 
 
-def _holding_rank(counts: DataFrame, order: str, smallest: str) -> DataFrame:
+def _holding_rank(counts: DataFrame, order: str, smallest: str, kept: list[str]) -> DataFrame:
     """The row of each bracket in which the wanted rank falls.
 
     `below` becomes the number of values before the row, `beyond` the smallest
     value after it.
     """
-    in_order = Window.partitionBy("axis", "fraction").orderBy(order)
+    in_order = f"(PARTITION BY axis, fraction ORDER BY {order})"
     return (
-        counts.withColumn("up_to", F.col("below") + F.sum("n").over(in_order))
-        .withColumn("beyond", F.coalesce(F.lead(smallest).over(in_order), F.col("beyond")))
-        .where((F.col("up_to") > F.col("rank")) & (F.col("up_to") - F.col("n") <= F.col("rank")))
-        .withColumn("below", F.col("up_to") - F.col("n"))
-        .drop("up_to")
+        counts.selectExpr(
+            "*",
+            f"below + sum(n) OVER {in_order} AS up_to",
+            f"coalesce(lead({smallest}) OVER {in_order}, beyond) AS next",
+        )
+        .where("up_to > rank AND up_to - n <= rank")
+        .selectExpr(
+            "axis", "fraction", "rank", "weight", "up_to - n AS below", "next AS beyond", *kept
+        )
     )

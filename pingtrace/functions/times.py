@@ -1,23 +1,20 @@
-"""Whole-second interval arithmetic, as Spark columns."""
+"""Whole-second interval arithmetic, as Spark SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-
-def whole_seconds(time: Column) -> Column:
+def whole_seconds(time: str) -> str:
     """Seconds since the epoch, fractions cut off."""
-    return F.unix_timestamp(time)
+    return f"unix_timestamp({time})"
 
 
-def micros(time: Column) -> Column:
+def micros(time: str) -> str:
     """Microseconds on the same scale as `whole_seconds`."""
-    fraction = F.extract(F.lit("SECOND"), time) % 1
-    return whole_seconds(time) * 1_000_000 + (fraction * 1_000_000).cast("bigint")
+    fraction = f"cast((extract(SECOND FROM {time}) % 1) * 1000000 AS bigint)"
+    return f"({whole_seconds(time)} * 1000000 + {fraction})"
 
 
-def overlap_seconds(start1: Column, end1: Column, start2: Column, end2: Column) -> Column:
+def overlap_seconds(start1: str, end1: str, start2: str, end2: str) -> str:
     """Shared whole seconds of two closed intervals, 0 when they are disjoint."""
-    shared = whole_seconds(F.least(end1, end2)) - whole_seconds(F.greatest(start1, start2))
-    return F.when((end1 < start2) | (end2 < start1), F.lit(0).cast("bigint")).otherwise(shared)
+    shared = f"{whole_seconds(f'least({end1}, {end2})')} - {whole_seconds(f'greatest({start1}, {start2})')}"
+    return f"(CASE WHEN {end1} < {start2} OR {end2} < {start1} THEN 0L ELSE {shared} END)"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pingtrace.functions.geo import number
+
 # Fixed values: (first day, number of days, weight of the whole block) of the
 # waiting times until death and until recovery.
 DEATH_BLOCKS = [(4, 3, 0.025), (7, 19, 0.95), (26, 5, 0.25)]
@@ -13,26 +17,27 @@ DEATH_PROBABILITY = 0.05
 LAST_CASE_DAY = 40
 
 
-def case_age(cases: DataFrame, until: Column) -> DataFrame:
+def case_age(cases: DataFrame, until: datetime.date | str) -> DataFrame:
     """(id, report_date, days) for each day from onset to `until`; onset is day 1.
 
     Cases with an onset after `until` have no row.
     """
-    open_cases = cases.withColumn("until", until).where(F.col("onset_date") <= F.col("until"))
-    dates = F.sequence(F.col("onset_date"), F.col("until"))
-    return open_cases.select("id", "onset_date", F.explode(dates).alias("report_date")).select(
-        "id", "report_date", (F.datediff("report_date", "onset_date") + 1).alias("days")
+    last = f"date '{until}'"
+    return (
+        cases.where(f"onset_date <= {last}")
+        .selectExpr("id", "onset_date", f"explode(sequence(onset_date, {last})) AS report_date")
+        .selectExpr("id", "report_date", "datediff(report_date, onset_date) + 1 AS days")
     )
 
 
-def _share_by(days: Column, blocks: list[tuple[int, int, float]]) -> Column:
+def _share_by(days: str, blocks: list[tuple[int, int, float]]) -> str:
     """Share of the waiting times that are over by this day."""
     total = sum(weight for _, _, weight in blocks)
-    share = F.lit(0.0)
-    for first, length, weight in blocks:
-        passed = F.greatest(F.lit(0), F.least(F.lit(length), days - F.lit(first - 1)))
-        share = share + passed * F.lit(weight / length / total)
-    return F.least(F.lit(1.0), share)
+    parts = [
+        f"greatest(0, least({length}, {days} - {first - 1})) * {number(weight / length / total)}"
+        for first, length, weight in blocks
+    ]
+    return f"least(1D, {' + '.join(parts)})"
 
 
 def case_curve(spark: SparkSession) -> DataFrame:
@@ -41,25 +46,22 @@ def case_curve(spark: SparkSession) -> DataFrame:
     `death_hazard` and `recovery_hazard` are the chances on the day itself.
     Each day death is drawn first, then recovery for who is left.
     """
-    days = F.col("days")
-    hazards = spark.range(1, LAST_CASE_DAY + 1).select(
-        F.col("id").cast("int").alias("days"),
-        (_share_by(F.col("id"), DEATH_BLOCKS) * F.lit(DEATH_PROBABILITY)).alias("death_hazard"),
-        _share_by(F.col("id"), RECOVERY_BLOCKS).alias("recovery_hazard"),
-    )
-    # A single group on purpose: the table has one row per day of a case's life.
-    up_to = Window.orderBy(days).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stays_ill = (F.lit(1.0) - F.col("death_hazard")) * (F.lit(1.0) - F.col("recovery_hazard"))
-    active = hazards.withColumn("active", F.product(stays_ill).over(up_to))
-    before = F.coalesce(F.lag("active").over(Window.orderBy(days)), F.lit(1.0))
+    # A single window group on purpose: one row per day of a case's life.
+    up_to = Window.orderBy("days").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        active.withColumn("before", before)
-        .withColumn("deaths", F.col("before") * F.col("death_hazard"))
-        .withColumn(
-            "recoveries",
-            F.col("before") * (F.lit(1.0) - F.col("death_hazard")) * F.col("recovery_hazard"),
+        spark.range(1, LAST_CASE_DAY + 1)
+        .selectExpr(
+            "cast(id AS int) AS days",
+            f"{_share_by('id', DEATH_BLOCKS)} * {number(DEATH_PROBABILITY)} AS death_hazard",
+            f"{_share_by('id', RECOVERY_BLOCKS)} AS recovery_hazard",
+        )
+        .withColumn("active", F.product(F.expr("(1D - death_hazard) * (1D - recovery_hazard)")).over(up_to))
+        .selectExpr("*", "coalesce(lag(active) OVER (ORDER BY days), 1D) AS before")
+        .selectExpr(
+            "* EXCEPT (before)",
+            "before * death_hazard AS deaths",
+            "before * (1D - death_hazard) * recovery_hazard AS recoveries",
         )
-        .select("days", "death_hazard", "recovery_hazard", "active", "deaths", "recoveries")
     )
 
 
@@ -69,12 +71,9 @@ def case_outlook(cases: DataFrame) -> DataFrame:
     Cases are counted by onset before the curve is applied, so the join sees one
     row per onset date instead of one per case.
     """
-    onsets = cases.groupBy("onset_date").agg(F.count("*").alias("new_cases"))
-    every_day = F.explode(F.sequence(F.lit(1), F.lit(LAST_CASE_DAY)))
+    onsets = cases.groupBy("onset_date").agg(F.expr("count(*) AS new_cases"))
     curve = F.broadcast(case_curve(cases.sparkSession))
-    by_age = onsets.withColumn("days", every_day).join(curve, "days")
-    return by_age.groupBy(F.date_add("onset_date", F.col("days") - 1).alias("report_date")).agg(
-        F.sum(F.col("new_cases") * F.col("active")).alias("active"),
-        F.sum(F.col("new_cases") * F.col("deaths")).alias("deaths"),
-        F.sum(F.col("new_cases") * F.col("recoveries")).alias("recoveries"),
+    by_age = onsets.selectExpr("*", f"explode(sequence(1, {LAST_CASE_DAY})) AS days").join(curve, "days")
+    return by_age.groupBy(F.expr("date_add(onset_date, days - 1) AS report_date")).agg(
+        *[F.expr(f"sum(new_cases * {c}) AS {c}") for c in ("active", "deaths", "recoveries")]
     )

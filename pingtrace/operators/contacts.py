@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingtrace.functions.geo import CellGrid, haversine_m
+from pingtrace.functions.geo import CellGrid, haversine_m, number
 from pingtrace.functions.times import overlap_seconds, whole_seconds
 from pingtrace.operators.cohorts import drop_ids
 from pingtrace.sources.staging import staged
@@ -26,13 +26,13 @@ _SIDE = [
     "end_position_time",
     "track_position_counter",
 ]
+_DISTANCE = haversine_m("a_latitude", "a_longitude", "b_latitude", "b_longitude")
+SHARED_SECONDS = "(least(a_end, b_end) - greatest(a_start, b_start))"
 
 
 def with_length(stays: DataFrame) -> DataFrame:
     """Stays that last at least one whole second; the others overlap with nothing."""
-    return stays.where(
-        whole_seconds(F.col("start_position_time")) < whole_seconds(F.col("end_position_time"))
-    )
+    return stays.where(f"{whole_seconds('start_position_time')} < {whole_seconds('end_position_time')}")
 
 
 def near_pairs(
@@ -40,7 +40,7 @@ def near_pairs(
     right: DataFrame,
     metres: float = EXPOSURE_DISTANCE_M,
     overlapping: bool = False,
-    condition: Column | None = None,
+    condition: str | None = None,
     block_rows: int | None = BLOCK_ROWS,
     probe_fraction: float = PROBE_FRACTION,
 ) -> DataFrame:
@@ -60,45 +60,39 @@ def near_pairs(
     a job over both inputs, so they should be tables or staged; `block_rows=None`
     leaves it out. The sample decides only who does the work.
 
-    `condition` is a further test on the prefixed columns.
+    `condition` is a further test, in SQL, on the prefixed columns.
     """
     grid = CellGrid(metres)
-    a = grid.with_reached_cells(_side(left, "a_"), "a_latitude", "a_longitude")
-    b = grid.with_home_cell(_side(right, "b_"), "b_latitude", "b_longitude")
+    a = grid.with_reached_cells(_side(left, "a_", overlapping), "a_latitude", "a_longitude")
+    b = grid.with_home_cell(_side(right, "b_", overlapping), "b_latitude", "b_longitude")
     keys = ["iso_date", "cy", "cx"]
-    tests = [F.lit(True) if condition is None else condition]
+    tests = [f"{_DISTANCE} <= {number(metres)}"]
+    if condition is not None:
+        tests.insert(0, condition)
     if overlapping:
-        a, b = _with_slots(a, "a_"), _with_slots(b, "b_")
         keys.append("slot")
-        latest_start = F.greatest("a_start", "b_start")
-        tests += [
-            latest_start < F.least("a_end", "b_end"),
-            F.col("slot") == F.floor(latest_start / SLOT_SECONDS),
-        ]
+        tests.insert(
+            0,
+            f"{SHARED_SECONDS} > 0 AND slot = floor(greatest(a_start, b_start) / {SLOT_SECONDS})",
+        )
     if block_rows is not None:
         crowded = _crowded_keys(a, b, keys, block_rows, probe_fraction)
         if not crowded.isEmpty():
             a = _in_blocks(a, crowded, keys, "a_", "b_")
             b = _in_blocks(b, crowded, keys, "b_", "a_")
             keys += ["a_block", "b_block"]
-    distance = haversine_m(F.col("a_latitude"), F.col("a_longitude"), F.col("b_latitude"), F.col("b_longitude"))
-    pairs = a.join(b, keys)
-    for test in tests:
-        pairs = pairs.where(test)
-    return pairs.withColumn("distance", distance).where(F.col("distance") <= metres)
-
+    return a.join(b, keys).where(" AND ".join(tests)).selectExpr("*", f"{_DISTANCE} AS distance")
 
-def _side(stays: DataFrame, prefix: str) -> DataFrame:
-    return stays.select("iso_date", *[F.col(c).alias(prefix + c) for c in _SIDE])
 
-
-def _with_slots(side: DataFrame, prefix: str) -> DataFrame:
-    start, end = prefix + "start", prefix + "end"
-    slots = F.sequence(F.floor(F.col(start) / SLOT_SECONDS), F.floor(F.col(end) / SLOT_SECONDS))
-    return (
-        side.withColumn(start, whole_seconds(F.col(prefix + "start_position_time")))
-        .withColumn(end, whole_seconds(F.col(prefix + "end_position_time")))
-        .withColumn("slot", F.explode(slots))
+def _side(stays: DataFrame, prefix: str, in_slots: bool) -> DataFrame:
+    start, end = whole_seconds("start_position_time"), whole_seconds("end_position_time")
+    slots = f"explode(sequence(floor({start} / {SLOT_SECONDS}), floor({end} / {SLOT_SECONDS}))) AS slot"
+    return stays.selectExpr(
+        "iso_date",
+        *[f"{c} AS {prefix}{c}" for c in _SIDE],
+        f"{start} AS {prefix}start",
+        f"{end} AS {prefix}end",
+        *([slots] if in_slots else []),
     )
 
 
@@ -107,20 +101,18 @@ def _crowded_keys(a: DataFrame, b: DataFrame, keys: list[str], block_rows: int,
 
     Written out once: both sides must read the same numbers.
     """
-    per_block = block_rows * fraction
+    per_block = number(block_rows * fraction)
 
     def blocks(side: DataFrame, name: str) -> DataFrame:
-        seen = side.select(*keys).sample(fraction, seed=7) if fraction < 1 else side.select(*keys)
-        counts = seen.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > per_block)
-        return counts.select(*keys, F.ceil(F.col("n") / F.lit(per_block)).alias(name))
+        rows = side.select(*keys)
+        seen = rows.sample(fraction, seed=7) if fraction < 1 else rows
+        counts = seen.groupBy(*keys).agg(F.expr("count(*) AS n"))
+        return counts.where(f"n > {per_block}").selectExpr(*keys, f"ceil(n / {per_block}) AS {name}")
 
-    one = F.lit(1).cast("bigint")
     both = blocks(a, "a_blocks").join(blocks(b, "b_blocks"), keys, "full")
     return staged(
-        both.select(
-            *keys,
-            F.coalesce("a_blocks", one).alias("a_blocks"),
-            F.coalesce("b_blocks", one).alias("b_blocks"),
+        both.selectExpr(
+            *keys, "coalesce(a_blocks, 1L) AS a_blocks", "coalesce(b_blocks, 1L) AS b_blocks"
         ),
         "crowded",
     )
@@ -128,48 +120,35 @@ def _crowded_keys(a: DataFrame, b: DataFrame, keys: list[str], block_rows: int,
 
 def _in_blocks(side: DataFrame, crowded: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:
     """Give each row one block of its own side and a copy for each block of the other."""
-    one = F.lit(1).cast("bigint")
-    own_blocks, other_blocks = F.coalesce(own + "blocks", one), F.coalesce(other + "blocks", one)
-    return (
-        side.join(crowded, keys, "left")
-        .withColumn(
-            own + "block",
-            F.pmod(F.xxhash64(own + "id", own + "track_position_counter"), own_blocks),
-        )
-        .withColumn(other + "block", F.explode(F.sequence(F.lit(0).cast("bigint"), other_blocks - 1)))
-        .drop("a_blocks", "b_blocks")
+    drawn = f"pmod(xxhash64({own}id, {own}track_position_counter), coalesce({own}blocks, 1L))"
+    copies = f"explode(sequence(0L, coalesce({other}blocks, 1L) - 1))"
+    return side.join(crowded, keys, "left").selectExpr(
+        "* EXCEPT (a_blocks, b_blocks)", f"{drawn} AS {own}block", f"{copies} AS {other}block"
     )
 
 
 def _as_contacts(pairs: DataFrame) -> DataFrame:
-    def position(side: str) -> Column:
-        return F.struct(
-            F.col(side + "latitude").alias("latitude"), F.col(side + "longitude").alias("longitude")
-        )
+    def position(side: str) -> str:
+        return f"struct({side}latitude AS latitude, {side}longitude AS longitude)"
 
-    def time(side: str) -> Column:
-        return F.struct(
-            F.col(side + "start_position_time").alias("start_position_time"),
-            F.col(side + "end_position_time").alias("end_position_time"),
-        )
+    def time(side: str) -> str:
+        start, end = f"{side}start_position_time", f"{side}end_position_time"
+        return f"struct({start} AS start_position_time, {end} AS end_position_time)"
 
     shared = overlap_seconds(
-        F.col("a_start_position_time"),
-        F.col("a_end_position_time"),
-        F.col("b_start_position_time"),
-        F.col("b_end_position_time"),
+        "a_start_position_time", "a_end_position_time", "b_start_position_time", "b_end_position_time"
     )
-    return pairs.select(
-        F.col("a_id").alias("i1"),
-        F.col("b_id").alias("i2"),
-        position("a_").alias("i1_position"),
-        F.col("a_track_position_counter").alias("track_position_counter_i1"),
-        F.col("b_track_position_counter").alias("track_position_counter_i2"),
-        position("b_").alias("i2_position"),
+    return pairs.selectExpr(
+        "a_id AS i1",
+        "b_id AS i2",
+        f"{position('a_')} AS i1_position",
+        "a_track_position_counter AS track_position_counter_i1",
+        "b_track_position_counter AS track_position_counter_i2",
+        f"{position('b_')} AS i2_position",
         "distance",
-        time("a_").alias("i1_time"),
-        time("b_").alias("i2_time"),
-        (shared / F.lit(60.0)).alias("exposure_time"),
+        f"{time('a_')} AS i1_time",
+        f"{time('b_')} AS i2_time",
+        f"{shared} / 60D AS exposure_time",
         "iso_date",
     )
 
@@ -193,13 +172,7 @@ def close_contacts(
     if overlapping:
         cohort_stays, others = with_length(cohort_stays), with_length(others)
     pairs = near_pairs(
-        cohort_stays,
-        others,
-        metres,
-        overlapping,
-        F.col("a_id") != F.col("b_id"),
-        block_rows,
-        probe_fraction,
+        cohort_stays, others, metres, overlapping, "a_id != b_id", block_rows, probe_fraction
     )
     return _as_contacts(pairs)
 
@@ -217,19 +190,11 @@ def contact_edges(
     `min_minutes` are left out.
     """
     lasting = with_length(stays)
-    pairs = near_pairs(
-        lasting, lasting, metres, True, F.col("a_id") < F.col("b_id"), block_rows, probe_fraction
-    )
-    seconds = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
+    pairs = near_pairs(lasting, lasting, metres, True, "a_id < b_id", block_rows, probe_fraction)
     totals = (
-        pairs.groupBy("iso_date", F.col("a_id").alias("low"), F.col("b_id").alias("high"))
-        .agg(F.sum(seconds).alias("seconds"))
-        .where(F.col("seconds") >= min_minutes * 60)
-    )
-    ways = F.array(
-        F.struct(F.col("low").alias("i1"), F.col("high").alias("i2")),
-        F.struct(F.col("high").alias("i1"), F.col("low").alias("i2")),
-    )
-    return totals.select("iso_date", F.inline(ways), "seconds").select(
-        "iso_date", "i1", "i2", (F.col("seconds") / F.lit(60.0)).alias("total_exposure_time")
+        pairs.groupBy("iso_date", "a_id", "b_id")
+        .agg(F.expr(f"sum({SHARED_SECONDS}) AS seconds"))
+        .where(f"seconds >= {number(min_minutes * 60)}")
     )
+    ways = "inline(array(struct(a_id AS i1, b_id AS i2), struct(b_id AS i1, a_id AS i2)))"
+    return totals.selectExpr("iso_date", ways, "seconds / 60D AS total_exposure_time")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pingtrace.functions.geo import HALF_CIRCUMFERENCE_M, CellGrid, haversine_m, rescale
+from pingtrace.functions.geo import HALF_CIRCUMFERENCE_M, CellGrid, haversine_m, number, rescale
 from pingtrace.functions.quantiles import exact_quantiles
 from pingtrace.sources.pings import day_slice
 from pingtrace.sources.staging import broadcast_if_small, staged
@@ -33,10 +33,10 @@ MANY_ANCHORS = 20_000
 def plane_minmax(pings: DataFrame, day: str | None = None) -> DataFrame:
     """One row with the bounding box of all pings, or of one day's."""
     return _of_day(pings, day).agg(
-        F.min("latitude").alias("min_lat"),
-        F.max("latitude").alias("max_lat"),
-        F.min("longitude").alias("min_lon"),
-        F.max("longitude").alias("max_lon"),
+        F.expr("min(latitude) AS min_lat"),
+        F.expr("max(latitude) AS max_lat"),
+        F.expr("min(longitude) AS min_lon"),
+        F.expr("max(longitude) AS max_lon"),
     )
 
 
@@ -53,28 +53,14 @@ def plane_percentile(
     instead: one pass, and actual values rather than interpolated ones.
     """
     chosen = _of_day(pings, day).select("latitude", "longitude")
+    edges = [("min_lat", "latitude", low), ("max_lat", "latitude", high)]
+    edges += [("min_lon", "longitude", low), ("max_lon", "longitude", high)]
     if approximate:
-        sketches = chosen.agg(
-            *[F.percentile_approx(axis, [low, high], 100_000).alias(axis) for axis in ("latitude", "longitude")]
-        )
-        return sketches.select(
-            F.col("latitude")[0].alias("min_lat"),
-            F.col("latitude")[1].alias("max_lat"),
-            F.col("longitude")[0].alias("min_lon"),
-            F.col("longitude")[1].alias("max_lon"),
-        )
+        sketch = "percentile_approx({}, {}, 100000) AS {}"
+        return chosen.agg(*[F.expr(sketch.format(axis, number(f), name)) for name, axis, f in edges])
     quantiles = exact_quantiles(chosen, ["latitude", "longitude"], [low, high])
-
-    def edge(axis: str, fraction: float) -> Column:
-        here = (F.col("axis") == axis) & (F.col("fraction") == float(fraction))
-        return F.max(F.when(here, F.col("quantile")))
-
-    return quantiles.agg(
-        edge("latitude", low).alias("min_lat"),
-        edge("latitude", high).alias("max_lat"),
-        edge("longitude", low).alias("min_lon"),
-        edge("longitude", high).alias("max_lon"),
-    )
+    chosen_edge = "max(quantile) FILTER (WHERE axis = '{}' AND fraction = {}) AS {}"
+    return quantiles.agg(*[F.expr(chosen_edge.format(axis, number(f), name)) for name, axis, f in edges])
 
 
 def _of_day(pings: DataFrame, day: str | None) -> DataFrame:
@@ -86,16 +72,13 @@ def unit_points(spark: SparkSession, n: int = 100, start: int = 1) -> DataFrame:
 
     Taken from place `start` on of a fixed low-discrepancy sequence.
     """
-    place = F.col("id") + F.lit(start - 1)
 
-    def coordinate(step: float) -> Column:
-        turn = place * F.lit(step)
-        return F.lit(2.0) * (turn - F.floor(turn)) - F.lit(1.0)
+    def coordinate(step: float) -> str:
+        turn = f"((id + {start - 1}) * {number(step)})"
+        return f"2D * ({turn} - floor({turn})) - 1D"
 
-    return spark.range(1, n + 1).select(
-        F.col("id").cast("int").alias("point_id"),
-        coordinate(R2_STEP_X).alias("x"),
-        coordinate(R2_STEP_Y).alias("y"),
+    return spark.range(1, n + 1).selectExpr(
+        "cast(id AS int) AS point_id", f"{coordinate(R2_STEP_X)} AS x", f"{coordinate(R2_STEP_Y)} AS y"
     )
 
 
@@ -106,7 +89,7 @@ def points_from_rows(spark: SparkSession, rows: Iterable[tuple[int, float, float
 
 def first_points(points: DataFrame, n: int) -> DataFrame:
     """The first `n` points or picks by number."""
-    return points.where(F.col("point_id") <= n)
+    return points.where(f"point_id <= {n}")
 
 
 def target_points(points: DataFrame, plane: DataFrame, unit_range=(-1.0, 1.0)) -> DataFrame:
@@ -114,10 +97,10 @@ def target_points(points: DataFrame, plane: DataFrame, unit_range=(-1.0, 1.0)) -
 
     `plane` is a single row by construction.
     """
-    return points.crossJoin(F.broadcast(plane)).select(
+    return points.crossJoin(F.broadcast(plane)).selectExpr(
         "point_id",
-        rescale(F.col("y"), F.col("min_lat"), F.col("max_lat"), unit_range).alias("rand_lat"),
-        rescale(F.col("x"), F.col("min_lon"), F.col("max_lon"), unit_range).alias("rand_lon"),
+        f"{rescale('y', 'min_lat', 'max_lat', unit_range)} AS rand_lat",
+        f"{rescale('x', 'min_lon', 'max_lon', unit_range)} AS rand_lon",
     )
 
 
@@ -133,33 +116,24 @@ def nearest_candidates(pings: DataFrame, targets: DataFrame, k: int | None = Non
     lie within it, so only pings in grid cells touched by these circles are
     measured, and the exact ranking is done on them.
     """
-    people = pings.where(F.col("id") != "")
+    people = pings.where("id != ''")
     targets = staged(targets, "targets")
     if k is None:
         k = targets.count()
     circles = staged(_search_circles(people, targets, k), "circles")
-    widest = circles.agg(F.max("radius")).first()[0]
-    if widest is None:
-        widest = 1.0
+    widest = circles.agg(F.max("radius")).first()[0] or 0.0
     grid = CellGrid(max(widest, 1.0))
-    cells = grid.with_reached_cells(circles, "rand_lat", "rand_lon", F.col("radius"))
+    cells = grid.with_reached_cells(circles, "rand_lat", "rand_lon", "radius")
+    distance = haversine_m("rand_lat", "rand_lon", "latitude", "longitude")
     near = (
         grid.with_home_cell(people.select("id", "latitude", "longitude"), "latitude", "longitude")
         .join(broadcast_if_small(cells), ["cy", "cx"])
-        .withColumn(
-            "distance",
-            haversine_m(F.col("rand_lat"), F.col("rand_lon"), F.col("latitude"), F.col("longitude")),
-        )
-        .where(F.col("distance") <= F.col("radius"))
+        .where(f"{distance} <= radius")
         .groupBy("point_id", "id")
-        .agg(F.min("distance").alias("distance"))
-    )
-    by_distance = Window.partitionBy("point_id").orderBy("distance", "id")
-    return (
-        near.withColumn("nearest_rank", F.row_number().over(by_distance))
-        .where(F.col("nearest_rank") <= k)
-        .select("point_id", "nearest_rank", "id", "distance")
+        .agg(F.expr(f"min({distance}) AS distance"))
     )
+    by_distance = "row_number() OVER (PARTITION BY point_id ORDER BY distance, id) AS nearest_rank"
+    return near.selectExpr("point_id", by_distance, "id", "distance").where(f"nearest_rank <= {k}")
 
 
 def _search_circles(people: DataFrame, targets: DataFrame, k: int) -> DataFrame:
@@ -167,40 +141,34 @@ def _search_circles(people: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     wanted = max(2 * k, min(ANCHORS_PER_CANDIDATE * k, MANY_ANCHORS), 1)
     anchors = (
         people.groupBy("id")
-        .agg(F.min(F.struct("latitude", "longitude")).alias("at"))
-        .orderBy(F.xxhash64("id"), "id")
+        .agg(F.expr("min(struct(latitude, longitude)) AS at"))
+        .orderBy(F.expr("xxhash64(id)"), "id")
         .limit(wanted)
     )
-    reach = haversine_m(F.col("rand_lat"), F.col("rand_lon"), F.col("at.latitude"), F.col("at.longitude"))
+    reach = haversine_m("rand_lat", "rand_lon", "at.latitude", "at.longitude")
     # Both sides are bounded by the number of targets, not by the pings.
-    by_reach = Window.partitionBy("point_id").orderBy("reach")
     kth = (
         targets.crossJoin(anchors.select("at"))
-        .select("point_id", reach.alias("reach"))
-        .withColumn("place", F.row_number().over(by_reach))
-        .where(F.col("place") == k)
-        .select("point_id", (F.col("reach") * (1 + 1e-9) + 1e-6).alias("radius"))
+        .selectExpr("point_id", f"{reach} AS reach")
+        .selectExpr("*", "row_number() OVER (PARTITION BY point_id ORDER BY reach) AS place")
+        .where(f"place = {k}")
     )
     # With fewer than k people there is no k-th: then everyone is a candidate.
-    return targets.join(kth, "point_id", "left").withColumn(
-        "radius", F.coalesce("radius", F.lit(HALF_CIRCUMFERENCE_M * (1 + 1e-9)))
+    everywhere = number(HALF_CIRCUMFERENCE_M * (1 + 1e-9))
+    return targets.join(kth, "point_id", "left").selectExpr(
+        "point_id", "rand_lat", "rand_lon", f"coalesce(reach * (1D + 1e-9) + 1e-6, {everywhere}) AS radius"
     )
 
 
 def pick_without_repeats(candidates: DataFrame) -> DataFrame:
     """(point_id, id): in order of the points, the nearest person not yet picked.
 
-    Points whose candidates are all taken get none. For the n-th point only the
-    n nearest candidates can matter; these rows, some thousands for a hundred
-    points, are read in order by one task, which holds the picked ids alone.
+    Points whose candidates are all taken get none. The turns depend on each
+    other, so one task reads the candidates in order; they number the square of
+    the points, whatever the pings, and the task holds only the picked ids.
     """
-    turn = F.col("turn")
-    turns = candidates.groupBy("point_id").agg(F.count("*").alias("n"))
-    turns = turns.select("point_id", F.row_number().over(Window.orderBy("point_id")).alias("turn"))
     ordered = (
-        candidates.join(F.broadcast(turns), "point_id")
-        .where(F.col("nearest_rank") <= turn)
-        .select("point_id", "nearest_rank", "id")
+        candidates.select("point_id", "nearest_rank", "id")
         .repartition(1)
         .sortWithinPartitions("point_id", "nearest_rank")
     )

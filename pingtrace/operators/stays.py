@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingtrace.functions.times import micros
@@ -41,7 +41,7 @@ def stays(pings: DataFrame, split_above: int | None = SPLIT_ABOVE) -> DataFrame:
         busy = _busy_person_days(pings, split_above)
         if not busy.isEmpty():
             return _stays_of_slices(pings, busy)
-    runs = _runs(pings.withColumn("n", F.lit(1).cast("bigint")), PERSON_DAY)
+    runs = _runs(pings.selectExpr("id", "iso_date", "latitude", "longitude", "ts", "1L AS n"), PERSON_DAY)
     return runs.select(*STAY_COLUMNS)
 
 
@@ -58,33 +58,36 @@ def stay_sequence(stays: DataFrame) -> DataFrame:
 
 def _runs(pings: DataFrame, group: list[str]) -> DataFrame:
     """Runs of equal position within each group of weighted pings (`n` copies each)."""
-    in_time = Window.partitionBy(*group).orderBy("ts", "latitude", "longitude")
-    so_far = in_time.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    unmoved = F.lag("latitude").over(in_time).eqNullSafe(F.col("latitude")) & F.lag("longitude").over(
-        in_time
-    ).eqNullSafe(F.col("longitude"))
-    numbered = pings.withColumn("moved", F.when(unmoved, 0).otherwise(1)).withColumn(
-        "track_position_counter", F.sum("moved").over(so_far).cast("int")
+    in_time = f"(PARTITION BY {', '.join(group)} ORDER BY ts, latitude, longitude"
+    unmoved = (
+        f"lag(latitude) OVER {in_time}) <=> latitude AND lag(longitude) OVER {in_time}) <=> longitude"
     )
-    return _collapse(numbered, group, F.col("ts"), F.col("ts"), F.col("n"))
+    so_far = f"{in_time} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    numbered = pings.selectExpr("*", f"if({unmoved}, 0, 1) AS moved").selectExpr(
+        "*", f"cast(sum(moved) OVER {so_far} AS int) AS track_position_counter"
+    )
+    return _collapse(numbered, group, "ts", "ts", "n")
 
 
-def _collapse(rows: DataFrame, group: list[str], start: Column, end: Column, n: Column) -> DataFrame:
+def _collapse(rows: DataFrame, group: list[str], start: str, end: str, n: str) -> DataFrame:
     return rows.groupBy(*group, "track_position_counter", "latitude", "longitude").agg(
-        F.min(start).alias("start_position_time"),
-        F.sum(n).alias("tot_evts"),
-        F.max(end).alias("end_position_time"),
+        F.expr(f"min({start}) AS start_position_time"),
+        F.expr(f"sum({n}) AS tot_evts"),
+        F.expr(f"max({end}) AS end_position_time"),
     )
 
 
 def _busy_person_days(pings: DataFrame, split_above: int) -> DataFrame:
     """Person-days above the limit, with their time span and number of slices."""
-    moment = micros(F.col("ts"))
     return (
         pings.groupBy(*PERSON_DAY)
-        .agg(F.count("*").alias("n"), F.min(moment).alias("first"), F.max(moment).alias("last"))
-        .where(F.col("n") > split_above)
-        .select(*PERSON_DAY, "first", "last", F.ceil(F.col("n") * 4 / F.lit(split_above)).alias("slices"))
+        .agg(
+            F.expr("count(*) AS n"),
+            F.expr(f"min({micros('ts')}) AS first"),
+            F.expr(f"max({micros('ts')}) AS last"),
+        )
+        .where(f"n > {split_above}")
+        .selectExpr(*PERSON_DAY, "first", "last", f"ceil(n * 4 / {split_above}) AS slices")
     )
 
 
@@ -95,35 +98,25 @@ def _stays_of_slices(pings: DataFrame, busy: DataFrame) -> DataFrame:
     found alone; then one row per slice (its number of runs, first and last
     position) tells how the numbering goes on and whether a run crosses the cut.
     """
-    copies = pings.groupBy(*PERSON_DAY, "latitude", "longitude", "ts").agg(F.count("*").alias("n"))
-    share = (micros(F.col("ts")) - F.col("first")) * F.col("slices") / (F.col("last") - F.col("first") + 1)
-    sliced = copies.join(broadcast_if_small(busy), PERSON_DAY, "left").withColumn(
-        "slice", F.coalesce(F.floor(share), F.lit(0).cast("bigint"))
+    copies = pings.groupBy(*PERSON_DAY, "latitude", "longitude", "ts").agg(F.expr("count(*) AS n"))
+    share = f"({micros('ts')} - first) * slices / (last - first + 1)"
+    sliced = copies.join(broadcast_if_small(busy), PERSON_DAY, "left").selectExpr(
+        *PERSON_DAY, "latitude", "longitude", "ts", "n", f"coalesce(floor({share}), 0L) AS slice"
     )
     runs = _runs(sliced, [*PERSON_DAY, "slice"])
 
-    place = F.struct("latitude", "longitude")
-    counter = F.col("track_position_counter")
+    place = "struct(latitude, longitude)"
     ends = runs.groupBy(*PERSON_DAY, "slice").agg(
-        F.max(counter).alias("runs"),
-        F.min_by(place, counter).alias("head"),
-        F.max_by(place, counter).alias("tail"),
-    )
-    in_order = Window.partitionBy(*PERSON_DAY).orderBy("slice")
-    goes_on = F.coalesce((F.lag("tail").over(in_order) == F.col("head")).cast("int"), F.lit(0))
-    starts = ends.withColumn("goes_on", goes_on).select(
-        *PERSON_DAY,
-        "slice",
-        (F.sum(F.col("runs") - F.col("goes_on")).over(in_order) - F.col("runs")).alias("before"),
+        F.expr("max(track_position_counter) AS runs"),
+        F.expr(f"min_by({place}, track_position_counter) AS head"),
+        F.expr(f"max_by({place}, track_position_counter) AS tail"),
     )
+    in_order = "(PARTITION BY id, iso_date ORDER BY slice)"
+    starts = ends.selectExpr(
+        "*", f"coalesce(cast(lag(tail) OVER {in_order} = head AS int), 0) AS goes_on"
+    ).selectExpr(*PERSON_DAY, "slice", f"sum(runs - goes_on) OVER {in_order} - runs AS before")
     renumbered = runs.join(starts, [*PERSON_DAY, "slice"]).withColumn(
-        "track_position_counter", (counter + F.col("before")).cast("int")
-    )
-    whole = _collapse(
-        renumbered,
-        PERSON_DAY,
-        F.col("start_position_time"),
-        F.col("end_position_time"),
-        F.col("tot_evts"),
+        "track_position_counter", F.expr("cast(track_position_counter + before AS int)")
     )
+    whole = _collapse(renumbered, PERSON_DAY, "start_position_time", "end_position_time", "tot_evts")
     return whole.select(*STAY_COLUMNS)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingtrace.functions.bins import bin_index, bin_start
-from pingtrace.functions.geo import haversine_m
+from pingtrace.functions.geo import haversine_m, number
 
 BINS = 10
 # Longest run of copies made by one row before the copies are dealt out.
@@ -20,10 +20,8 @@ def day_counts(pings: DataFrame) -> DataFrame:
 
 def with_distance_from(pings: DataFrame, latitude: float, longitude: float) -> DataFrame:
     """Add each ping's distance in metres from a point."""
-    return pings.withColumn(
-        "distance",
-        haversine_m(F.lit(float(latitude)), F.lit(float(longitude)), F.col("latitude"), F.col("longitude")),
-    )
+    here = haversine_m(number(latitude), number(longitude), "latitude", "longitude")
+    return pings.selectExpr("*", f"{here} AS distance")
 
 
 def geo_event_totals(stays: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -44,34 +42,34 @@ def ping_totals(pings: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return placed.groupBy(*by, "latitude", "longitude").agg(F.count("*").alias("tot_evts"))
 
 
-def _with_extent(totals: DataFrame) -> DataFrame:
-    extent = totals.agg(
-        F.min("latitude").alias("lat_low"),
-        F.max("latitude").alias("lat_high"),
-        F.min("longitude").alias("lon_low"),
-        F.max("longitude").alias("lon_high"),
-    )
+_EXTENT = {
+    "lat_low": "min(latitude)",
+    "lat_high": "max(latitude)",
+    "lon_low": "min(longitude)",
+    "lon_high": "max(longitude)",
+}
+
+
+def _binned(totals: DataFrame, bins: int) -> DataFrame:
+    extent = totals.agg(*[F.expr(f"{value} AS {name}") for name, value in _EXTENT.items()])
     # An aggregate without keys: exactly one row.
-    return totals.crossJoin(F.broadcast(extent))
+    return totals.crossJoin(F.broadcast(extent)).selectExpr(
+        "*",
+        f"{bin_index('latitude', 'lat_low', 'lat_high', bins)} AS lat_bin",
+        f"{bin_index('longitude', 'lon_low', 'lon_high', bins)} AS lon_bin",
+    )
 
 
-def _bins(value: str, axis: str, bins: int) -> tuple[Column, Column]:
-    low, high = F.col(f"{axis}_low"), F.col(f"{axis}_high")
-    return bin_index(F.col(value), low, high, bins), bin_start(F.col(f"{axis}_bin"), low, high, bins)
+def _edges(bins: int) -> list[str]:
+    return [
+        f"{bin_start('lat_bin', 'lat_low', 'lat_high', bins)} AS lat_edge",
+        f"{bin_start('lon_bin', 'lon_low', 'lon_high', bins)} AS lon_edge",
+    ]
 
 
 def bin_edges(totals: DataFrame, bins: int = BINS) -> DataFrame:
     """Add the equal-width bin of each latitude and longitude, and the bin's left edge."""
-    lat_bin, lat_edge = _bins("latitude", "lat", bins)
-    lon_bin, lon_edge = _bins("longitude", "lon", bins)
-    return (
-        _with_extent(totals)
-        .withColumn("lat_bin", lat_bin)
-        .withColumn("lon_bin", lon_bin)
-        .withColumn("lat_edge", lat_edge)
-        .withColumn("lon_edge", lon_edge)
-        .select(*totals.columns, "lat_bin", "lon_bin", "lat_edge", "lon_edge")
-    )
+    return _binned(totals, bins).selectExpr(*totals.columns, "lat_bin", "lon_bin", *_edges(bins))
 
 
 def grid_histogram(totals: DataFrame, bins: int = BINS) -> DataFrame:
@@ -79,35 +77,21 @@ def grid_histogram(totals: DataFrame, bins: int = BINS) -> DataFrame:
 
     Cells without events are in the result with 0.
     """
-    lat_bin, lat_edge = _bins("latitude", "lat", bins)
-    lon_bin, lon_edge = _bins("longitude", "lon", bins)
-    extent = ["lat_low", "lat_high", "lon_low", "lon_high"]
     filled = (
-        _with_extent(totals)
-        .withColumn("lat_bin", lat_bin)
-        .withColumn("lon_bin", lon_bin)
+        _binned(totals, bins)
         .groupBy("lat_bin", "lon_bin")
-        .agg(F.sum("tot_evts").alias("n_events"), *[F.max(c).alias(c) for c in extent])
+        .agg(F.expr("sum(tot_evts) AS n_events"), *[F.expr(f"max({c}) AS {c}") for c in _EXTENT])
     )
     # From here on there are at most bins * bins rows.
-    every_bin = F.sequence(F.lit(0), F.lit(bins - 1))
+    every_bin = f"explode(sequence(0, {bins - 1}))"
     cells = (
-        filled.agg(*[F.max(c).alias(c) for c in extent])
-        .where(F.col("lat_low").isNotNull())
-        .withColumn("lat_bin", F.explode(every_bin))
-        .withColumn("lon_bin", F.explode(every_bin))
+        filled.agg(*[F.expr(f"max({c}) AS {c}") for c in _EXTENT])
+        .where("lat_low IS NOT NULL")
+        .selectExpr("*", f"{every_bin} AS lat_bin")
+        .selectExpr("*", f"{every_bin} AS lon_bin")
     )
-    return (
-        cells.join(F.broadcast(filled.drop(*extent)), ["lat_bin", "lon_bin"], "left")
-        .withColumn("lat_edge", lat_edge)
-        .withColumn("lon_edge", lon_edge)
-        .select(
-            "lat_bin",
-            "lon_bin",
-            "lat_edge",
-            "lon_edge",
-            F.coalesce("n_events", F.lit(0).cast("bigint")).alias("n_events"),
-        )
+    return cells.join(F.broadcast(filled.drop(*_EXTENT)), ["lat_bin", "lon_bin"], "left").selectExpr(
+        "lat_bin", "lon_bin", *_edges(bins), "coalesce(n_events, 0L) AS n_events"
     )
 
 
@@ -120,15 +104,12 @@ def repeat_by_count(totals: DataFrame, count: str = "tot_evts", tasks: int | Non
     """
     if tasks is None:
         tasks = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    last_chunk = F.floor((F.col(count) - 1) / REPEAT_CHUNK)
-    left = F.col(count) - F.col("chunk") * REPEAT_CHUNK
+    chunks = f"explode(sequence(0L, floor(({count} - 1) / {REPEAT_CHUNK}))) AS chunk"
+    copies = f"explode(sequence(1L, least({count} - chunk * {REPEAT_CHUNK}, {REPEAT_CHUNK}L))) AS copy"
     return (
-        totals.where(F.col(count) > 0)
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
+        totals.where(f"{count} > 0")
+        .selectExpr("*", chunks)
         .repartition(tasks, *totals.columns, "chunk")
-        .withColumn(
-            "copy",
-            F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(left, F.lit(REPEAT_CHUNK).cast("bigint")))),
-        )
-        .drop("chunk", "copy")
+        .selectExpr("* EXCEPT (chunk)", copies)
+        .drop("copy")
     )

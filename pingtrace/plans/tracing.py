@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pingtrace.operators.cohorts import drop_ids, keep_ids
+from pingtrace.functions.geo import number
+from pingtrace.operators.cohorts import keep_ids
 from pingtrace.operators.contacts import (
     BLOCK_ROWS,
     EXPOSURE_DISTANCE_M,
+    SHARED_SECONDS,
     close_contacts,
     near_pairs,
     with_length,
@@ -35,7 +38,8 @@ def staged_lasting_stays(pings: DataFrame) -> DataFrame:
 
 def cohort_contacts(pings: DataFrame, cohort: DataFrame, overlapping: bool = True) -> DataFrame:
     """Close contacts of a cohort with everyone else, from pings."""
-    table = staged_stays(pings)
+    table = stays(pings)
+    table = staged(with_length(table) if overlapping else table, "stays")
     return close_contacts(keep_ids(table, cohort), table, cohort, overlapping=overlapping)
 
 
@@ -77,92 +81,97 @@ def exposure_cascade(
     others, and each day's newcomers are written to the shared folder, so a lost
     executor costs at most the work of one day.
     """
-    spark = stays.sparkSession
-    by_day = stays.where(F.col("iso_date") > F.lit(start)).groupBy("iso_date").count()
     # As many rows as there are days.
-    sizes = {row["iso_date"]: row["count"] for row in by_day.collect()}
-
-    folder = new_folder(spark, "cascade")
-    seed_rows = seeds.select("id").where(F.col("id").isNotNull()).distinct()
-    seed_rows.select("id", F.lit(0).alias("first_day"), F.lit(0).alias("hop")).write.parquet(
-        f"{folder}/part=0"
-    )
-    for date in sorted(sizes):
-        day = (date - start).days
-        if days is not None and day >= days:
-            break
-        reached = _reached(spark, folder)
-        present = stays.where(F.col("iso_date") == F.lit(date))
-        newcomers = _reached_on(
-            present,
-            reached,
-            min_minutes,
+    counts = stays.where(f"iso_date > date '{start}'").groupBy("iso_date").count().collect()
+    sizes = {row["iso_date"]: row["count"] for row in counts}
+
+    def newcomers(date: datetime.date, reached: DataFrame) -> DataFrame:
+        present = with_length(stays.where(f"iso_date = date '{date}'"))
+        # Both are joined to a written table whose size Spark knows.
+        known = reached.select("id")
+        pairs = near_pairs(
+            present.join(known, "id", "left_semi"),
+            present.join(known, "id", "left_anti"),
             metres,
-            block_rows if sizes[date] > block_rows else None,
+            overlapping=True,
+            block_rows=block_rows if sizes[date] > block_rows else None,
+        )
+        exposed = (
+            pairs.groupBy("a_id", "b_id")
+            .agg(F.expr(f"sum({SHARED_SECONDS}) AS seconds"))
+            .where(f"seconds >= {number(min_minutes * 60)}")
+        )
+        return (
+            exposed.selectExpr("a_id AS source", "b_id AS id")
+            .join(reached.selectExpr("id AS source", "hop"), "source")
+            .groupBy("id")
+            .agg(F.expr("min(hop) + 1 AS hop"))
         )
-        newcomers.select("id", F.lit(day).alias("first_day"), "hop").write.parquet(f"{folder}/part={day}")
-    return _reached(spark, folder)
-
-
-def _reached(spark, folder: str) -> DataFrame:
-    return spark.read.schema(REACHED_SCHEMA).parquet(f"{folder}/part=*")
-
 
-def _reached_on(
-    present: DataFrame, reached: DataFrame, min_minutes: float, metres: float, block_rows: int | None
-) -> DataFrame:
-    lasting = with_length(present)
-    pairs = near_pairs(
-        keep_ids(lasting, reached), drop_ids(lasting, reached), metres, True, block_rows=block_rows
-    )
-    seconds = F.least("a_end", "b_end") - F.greatest("a_start", "b_start")
-    exposed = (
-        pairs.groupBy(F.col("a_id").alias("source"), F.col("b_id").alias("id"))
-        .agg(F.sum(seconds).alias("seconds"))
-        .where(F.col("seconds") >= min_minutes * 60)
-    )
-    sources = reached.select(F.col("id").alias("source"), "hop")
-    return exposed.join(sources, "source").groupBy("id").agg((F.min("hop") + 1).alias("hop"))
+    return _day_by_day(seeds, start, sorted(sizes), days, newcomers)
 
 
 def cascade_over_edges(
-    edges: DataFrame, seeds: DataFrame, start: datetime.date, min_minutes: float = EXPOSURE_MINUTES
+    edges: DataFrame,
+    seeds: DataFrame,
+    start: datetime.date,
+    days: int | None = None,
+    min_minutes: float = EXPOSURE_MINUTES,
 ) -> DataFrame:
     """`exposure_cascade` along a given table of daily contact edges.
 
     For many seed sets over the same days, where the edges of all people are
     worth building once. Keep the edges partitioned by day.
     """
-    spark = edges.sparkSession
-    later = edges.where(F.col("iso_date") > F.lit(start))
-    dates = [row["iso_date"] for row in later.select("iso_date").distinct().collect()]
+    later = edges.where(f"iso_date > date '{start}'")
+    dates = sorted(row["iso_date"] for row in later.select("iso_date").distinct().collect())
+    enough = f"round(total_exposure_time * 60) >= {number(min_minutes * 60)}"
+
+    def newcomers(date: datetime.date, reached: DataFrame) -> DataFrame:
+        return (
+            edges.where(f"iso_date = date '{date}' AND {enough}")
+            .selectExpr("i1 AS source", "i2 AS id")
+            .join(reached.selectExpr("id AS source", "hop"), "source")
+            .groupBy("id")
+            .agg(F.expr("min(hop) + 1 AS hop"))
+            .join(reached.select("id"), "id", "left_anti")
+        )
+
+    return _day_by_day(seeds, start, dates, days, newcomers)
+
+
+def _day_by_day(
+    seeds: DataFrame,
+    start: datetime.date,
+    dates: list[datetime.date],
+    days: int | None,
+    newcomers: Callable[[datetime.date, DataFrame], DataFrame],
+) -> DataFrame:
+    """Add each date's newcomers to the people reached before, one written part per day."""
+    spark = seeds.sparkSession
     folder = new_folder(spark, "cascade")
-    seed_rows = seeds.select("id").where(F.col("id").isNotNull()).distinct()
-    seed_rows.select("id", F.lit(0).alias("first_day"), F.lit(0).alias("hop")).write.parquet(
-        f"{folder}/part=0"
-    )
-    for date in sorted(dates):
+    known = seeds.where("id IS NOT NULL").select("id").distinct()
+    known.selectExpr("id", "0 AS first_day", "0 AS hop").write.parquet(f"{folder}/part-0")
+    for date in dates:
         day = (date - start).days
-        reached = _reached(spark, folder)
-        exposed = edges.where(
-            (F.col("iso_date") == F.lit(date))
-            & (F.round(F.col("total_exposure_time") * 60) >= min_minutes * 60)
-        ).select(F.col("i1").alias("source"), F.col("i2").alias("id"))
-        sources = reached.select(F.col("id").alias("source"), "hop")
-        met = exposed.join(sources, "source").groupBy("id").agg((F.min("hop") + 1).alias("hop"))
-        newcomers = met.join(reached.select("id"), "id", "left_anti")
-        newcomers.select("id", F.lit(day).alias("first_day"), "hop").write.parquet(f"{folder}/part={day}")
+        if days is not None and day >= days:
+            break
+        new = newcomers(date, _reached(spark, folder))
+        new.selectExpr("id", f"{day} AS first_day", "hop").write.parquet(f"{folder}/part-{day}")
     return _reached(spark, folder)
 
 
+def _reached(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(REACHED_SCHEMA).parquet(f"{folder}/part-*")
+
+
 def daily_reach(reached: DataFrame, last_day: int) -> DataFrame:
     """(day, total_infected): people reached up to each day from 0 to `last_day`."""
-    newcomers = reached.groupBy(F.col("first_day").alias("day")).agg(F.count_distinct("id").alias("n"))
-    calendar = reached.sparkSession.range(0, last_day + 1).select(F.col("id").cast("int").alias("day"))
-    # One row per day.
-    so_far = Window.orderBy("day")
-    return calendar.join(newcomers, "day", "left").select(
-        "day", F.sum(F.coalesce("n", F.lit(0).cast("bigint"))).over(so_far).alias("total_infected")
+    newcomers = reached.groupBy(F.expr("first_day AS day")).agg(F.expr("count(DISTINCT id) AS n"))
+    calendar = reached.sparkSession.range(0, last_day + 1).selectExpr("cast(id AS int) AS day")
+    # One row per day from here on.
+    return calendar.join(newcomers, "day", "left").selectExpr(
+        "day", "sum(coalesce(n, 0L)) OVER (ORDER BY day) AS total_infected"
     )
 
 
@@ -174,12 +183,10 @@ def cohort_geo_totals(
     On day 0 the cohort is the seeds; on a later day, everyone reached earlier.
     With `by_day` the totals are kept apart by `day`.
     """
-    day = F.datediff(F.col("iso_date"), F.lit(start))
-    counted = (F.col("day") > F.col("first_day")) | ((F.col("day") == 0) & (F.col("first_day") == 0))
     members = (
-        pings.withColumn("day", day)
-        .where(F.col("day") >= 0)
+        pings.where(f"iso_date >= date '{start}'")
+        .selectExpr("id", "latitude", "longitude", f"datediff(iso_date, date '{start}') AS day")
         .join(reached.select("id", "first_day"), "id")
-        .where(counted)
+        .where("day > first_day OR (day = 0 AND first_day = 0)")
     )
     return ping_totals(members, by=("day",) if by_day else ())
