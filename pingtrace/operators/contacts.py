@@ -13,7 +13,7 @@ from pingtrace.sources.staging import staged
 EXPOSURE_DISTANCE_M = 10.0
 
 # Rows of one side that meet in one task under one join key; more are split.
-BLOCK_ROWS = 5_000
+BLOCK_ROWS = 10_000
 PROBE_FRACTION = 0.01
 # Width of the time part of the join key where only overlapping stays matter.
 SLOT_SECONDS = 4 * 3600
@@ -43,6 +43,7 @@ def near_pairs(
     condition: str | None = None,
     block_rows: int | None = BLOCK_ROWS,
     probe_fraction: float = PROBE_FRACTION,
+    left_columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """All pairs of a `left` and a `right` stay of one day within `metres`.
 
@@ -60,10 +61,11 @@ def near_pairs(
     a job over both inputs, so they should be tables or staged; `block_rows=None`
     leaves it out. The sample decides only who does the work.
 
-    `condition` is a further test, in SQL, on the prefixed columns.
+    `condition` is a further test, in SQL, on the prefixed columns. Columns of
+    `left` besides those of a stay come along when named in `left_columns`.
     """
     grid = CellGrid(metres)
-    a = grid.with_reached_cells(_side(left, "a_", overlapping), "a_latitude", "a_longitude")
+    a = grid.with_reached_cells(_side(left, "a_", overlapping, left_columns), "a_latitude", "a_longitude")
     b = grid.with_home_cell(_side(right, "b_", overlapping), "b_latitude", "b_longitude")
     keys = ["iso_date", "cy", "cx"]
     tests = [f"{_DISTANCE} <= {number(metres)}"]
@@ -84,12 +86,12 @@ def near_pairs(
     return a.join(b, keys).where(" AND ".join(tests)).selectExpr("*", f"{_DISTANCE} AS distance")
 
 
-def _side(stays: DataFrame, prefix: str, in_slots: bool) -> DataFrame:
+def _side(stays: DataFrame, prefix: str, in_slots: bool, more: tuple[str, ...] = ()) -> DataFrame:
     start, end = whole_seconds("start_position_time"), whole_seconds("end_position_time")
     slots = f"explode(sequence(floor({start} / {SLOT_SECONDS}), floor({end} / {SLOT_SECONDS}))) AS slot"
     return stays.selectExpr(
         "iso_date",
-        *[f"{c} AS {prefix}{c}" for c in _SIDE],
+        *[f"{c} AS {prefix}{c}" for c in [*_SIDE, *more]],
         f"{start} AS {prefix}start",
         f"{end} AS {prefix}end",
         *([slots] if in_slots else []),
@@ -102,20 +104,14 @@ def _crowded_keys(a: DataFrame, b: DataFrame, keys: list[str], block_rows: int,
     Written out once: both sides must read the same numbers.
     """
     per_block = number(block_rows * fraction)
-
-    def blocks(side: DataFrame, name: str) -> DataFrame:
-        rows = side.select(*keys)
-        seen = rows.sample(fraction, seed=7) if fraction < 1 else rows
-        counts = seen.groupBy(*keys).agg(F.expr("count(*) AS n"))
-        return counts.where(f"n > {per_block}").selectExpr(*keys, f"ceil(n / {per_block}) AS {name}")
-
-    both = blocks(a, "a_blocks").join(blocks(b, "b_blocks"), keys, "full")
-    return staged(
-        both.selectExpr(
-            *keys, "coalesce(a_blocks, 1L) AS a_blocks", "coalesce(b_blocks, 1L) AS b_blocks"
-        ),
-        "crowded",
+    rows = a.selectExpr(*keys, "1 AS of_a").unionAll(b.selectExpr(*keys, "0 AS of_a"))
+    if fraction < 1:
+        rows = rows.sample(fraction, seed=7)
+    counts = rows.groupBy(*keys).agg(F.expr("sum(of_a) AS a_rows"), F.expr("sum(1 - of_a) AS b_rows"))
+    crowded = counts.where(f"greatest(a_rows, b_rows) > {per_block}").selectExpr(
+        *keys, *[f"greatest(1L, ceil({side}_rows / {per_block})) AS {side}_blocks" for side in "ab"]
     )
+    return staged(crowded, "crowded")
 
 
 def _in_blocks(side: DataFrame, crowded: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pingtrace.operators.contacts import (
     EXPOSURE_DISTANCE_M,
     SHARED_SECONDS,
     close_contacts,
+    contact_edges,
     near_pairs,
     with_length,
 )
@@ -26,21 +27,27 @@ from pingtrace.sources.staging import new_folder, staged
 REACHED_SCHEMA = "id string, first_day int, hop int"
 
 
-def staged_stays(pings: DataFrame) -> DataFrame:
-    """Stays written out once, for pipelines that read them more than once."""
-    return staged(stays(pings), "stays")
+def lasting_stays_by_day(pings: DataFrame) -> DataFrame:
+    """Stays of at least one second, written out by day for reading day by day."""
+    return staged(with_length(stays(pings)), "stays-by-day", partition_by=("iso_date",))
 
 
-def staged_lasting_stays(pings: DataFrame) -> DataFrame:
-    """Numbered stays of at least one second, written out by day."""
-    return staged(with_length(stays(pings)), "lasting-stays", partition_by=("iso_date",))
+def all_contact_edges(
+    pings: DataFrame, metres: float = EXPOSURE_DISTANCE_M, min_minutes: float = 0.0
+) -> DataFrame:
+    """Everyone's time together per day, from pings."""
+    return contact_edges(staged(with_length(stays(pings)), "stays"), metres, min_minutes)
 
 
 def cohort_contacts(pings: DataFrame, cohort: DataFrame, overlapping: bool = True) -> DataFrame:
-    """Close contacts of a cohort with everyone else, from pings."""
+    """Close contacts of a cohort with everyone else, from pings.
+
+    Stays and cohort are each used more than once, so they are written out first.
+    """
     table = stays(pings)
     table = staged(with_length(table) if overlapping else table, "stays")
-    return close_contacts(keep_ids(table, cohort), table, cohort, overlapping=overlapping)
+    members = staged(cohort.select("id").distinct(), "cohort")
+    return close_contacts(keep_ids(table, members), table, members, overlapping=overlapping)
 
 
 def cohort_exposure(
@@ -76,7 +83,7 @@ def exposure_cascade(
     day; `hop` is the smallest number of such steps among their contacts of that
     first day. `days` ends the search after that many days.
 
-    `stays` should be a table, best by day (`staged_lasting_stays`): every day
+    `stays` should be a table, best by day (`lasting_stays_by_day`): every day
     reads its own part. Only the people reached so far are compared with the
     others, and each day's newcomers are written to the shared folder, so a lost
     executor costs at most the work of one day.
@@ -87,26 +94,21 @@ def exposure_cascade(
 
     def newcomers(date: datetime.date, reached: DataFrame) -> DataFrame:
         present = with_length(stays.where(f"iso_date = date '{date}'"))
-        # Both are joined to a written table whose size Spark knows.
-        known = reached.select("id")
+        # Plain joins: `reached` is a written table whose size Spark knows.
         pairs = near_pairs(
-            present.join(known, "id", "left_semi"),
-            present.join(known, "id", "left_anti"),
+            present.join(reached.select("id", "hop"), "id"),
+            present.join(reached.select("id"), "id", "left_anti"),
             metres,
             overlapping=True,
             block_rows=block_rows if sizes[date] > block_rows else None,
+            left_columns=("hop",),
         )
         exposed = (
-            pairs.groupBy("a_id", "b_id")
+            pairs.groupBy("a_id", "a_hop", "b_id")
             .agg(F.expr(f"sum({SHARED_SECONDS}) AS seconds"))
             .where(f"seconds >= {number(min_minutes * 60)}")
         )
-        return (
-            exposed.selectExpr("a_id AS source", "b_id AS id")
-            .join(reached.selectExpr("id AS source", "hop"), "source")
-            .groupBy("id")
-            .agg(F.expr("min(hop) + 1 AS hop"))
-        )
+        return exposed.groupBy(F.expr("b_id AS id")).agg(F.expr("min(a_hop) + 1 AS hop"))
 
     return _day_by_day(seeds, start, sorted(sizes), days, newcomers)
 
