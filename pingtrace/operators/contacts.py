@@ -13,10 +13,12 @@ from pingtrace.sources.staging import staged
 EXPOSURE_DISTANCE_M = 10.0
 
 # Rows of one side that meet in one task under one join key; more are split.
-BLOCK_ROWS = 10_000
+# Just under the number of rows of one key that a sort-merge join keeps as an array.
+BLOCK_ROWS = 4_000
 PROBE_FRACTION = 0.01
-# Width of the time part of the join key where only overlapping stays matter.
-SLOT_SECONDS = 4 * 3600
+# Work of one more copy of a row, in comparisons of two times.
+COPY_COST = 300
+DAY_SECONDS = 86_400
 
 _SIDE = [
     "id",
@@ -53,65 +55,104 @@ def near_pairs(
     copied to the few cells within reach, so no pair is met twice.
 
     With `overlapping`, only pairs that share at least one whole second are
-    wanted. Then stays are also cut along time slots, and a pair counts in the
-    slot where its overlap begins.
+    wanted.
 
-    Keys that hold many rows are found from a sample of `probe_fraction` of both
-    sides and split into blocks of about `block_rows` by `block_rows`. That runs
-    a job over both inputs, so they should be tables or staged; `block_rows=None`
-    leaves it out. The sample decides only who does the work.
+    Cells that hold more than about `block_rows` rows of a side on a day are found
+    from a sample of `probe_fraction` of both sides. If time matters, they are cut
+    along time, so that stays at different hours do not meet. Where there are
+    still more rows together, so that the pairs are wanted, they are split into
+    blocks of `block_rows` by `block_rows`. The probe is a job over both inputs,
+    so these should be tables or staged; `block_rows=None` leaves it out. The
+    sample decides only who does the work, not what is found.
 
     `condition` is a further test, in SQL, on the prefixed columns. Columns of
     `left` besides those of a stay come along when named in `left_columns`.
     """
     grid = CellGrid(metres)
-    a = grid.with_reached_cells(_side(left, "a_", overlapping, left_columns), "a_latitude", "a_longitude")
-    b = grid.with_home_cell(_side(right, "b_", overlapping), "b_latitude", "b_longitude")
+    a = grid.with_reached_cells(_side(left, "a_", left_columns), "a_latitude", "a_longitude")
+    b = grid.with_home_cell(_side(right, "b_"), "b_latitude", "b_longitude")
     keys = ["iso_date", "cy", "cx"]
     tests = [f"{_DISTANCE} <= {number(metres)}"]
     if condition is not None:
         tests.insert(0, condition)
     if overlapping:
-        keys.append("slot")
-        tests.insert(
-            0,
-            f"{SHARED_SECONDS} > 0 AND slot = floor(greatest(a_start, b_start) / {SLOT_SECONDS})",
-        )
-    if block_rows is not None:
+        tests.insert(0, f"{SHARED_SECONDS} > 0")
+    crowded = None if block_rows is None else _crowded_keys(a, b, keys, block_rows, probe_fraction)
+    if crowded is not None and overlapping:
+        a, b = _in_slots(a, crowded, keys, "a_"), _in_slots(b, crowded, keys, "b_")
+        keys += ["slot", "comer"]
         crowded = _crowded_keys(a, b, keys, block_rows, probe_fraction)
-        if not crowded.isEmpty():
-            a = _in_blocks(a, crowded, keys, "a_", "b_")
-            b = _in_blocks(b, crowded, keys, "b_", "a_")
-            keys += ["a_block", "b_block"]
+    if crowded is not None:
+        a, b = _in_blocks(a, crowded, keys, "a_", "b_"), _in_blocks(b, crowded, keys, "b_", "a_")
+        keys += ["a_block", "b_block"]
+        # A fixed number of partitions: by bytes, blocks look too small to be worth a task each.
+        tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        a, b = a.repartition(tasks, *keys).hint("merge"), b.repartition(tasks, *keys)
     return a.join(b, keys).where(" AND ".join(tests)).selectExpr("*", f"{_DISTANCE} AS distance")
 
 
-def _side(stays: DataFrame, prefix: str, in_slots: bool, more: tuple[str, ...] = ()) -> DataFrame:
-    start, end = whole_seconds("start_position_time"), whole_seconds("end_position_time")
-    slots = f"explode(sequence(floor({start} / {SLOT_SECONDS}), floor({end} / {SLOT_SECONDS}))) AS slot"
+def _side(stays: DataFrame, prefix: str, more: tuple[str, ...] = ()) -> DataFrame:
     return stays.selectExpr(
         "iso_date",
         *[f"{c} AS {prefix}{c}" for c in [*_SIDE, *more]],
-        f"{start} AS {prefix}start",
-        f"{end} AS {prefix}end",
-        *([slots] if in_slots else []),
+        f"{whole_seconds('start_position_time')} AS {prefix}start",
+        f"{whole_seconds('end_position_time')} AS {prefix}end",
     )
 
 
-def _crowded_keys(a: DataFrame, b: DataFrame, keys: list[str], block_rows: int, fraction: float) -> DataFrame:
-    """Keys with more than `block_rows` rows on a side, and the blocks to cut each side into.
+def _crowded_keys(
+    a: DataFrame, b: DataFrame, keys: list[str], block_rows: int, fraction: float
+) -> DataFrame | None:
+    """Keys with more than `block_rows` rows on a side; None if there are none.
 
-    Written out once: both sides must read the same numbers.
+    With the number of blocks to cut each side into, and the width of time slots
+    that keeps copies and comparisons in balance: with n rows of mean length m in
+    a day, slots of w seconds make m / w copies of a row, each new arrival is
+    compared with some n * w / day rows too many. Written out once, since both
+    sides must read the same numbers.
     """
     per_block = number(block_rows * fraction)
-    rows = a.selectExpr(*keys, "1 AS of_a").unionAll(b.selectExpr(*keys, "0 AS of_a"))
+    rows = a.selectExpr(*keys, "1 AS of_a", "a_end - a_start AS length").unionAll(
+        b.selectExpr(*keys, "0 AS of_a", "b_end - b_start AS length")
+    )
     if fraction < 1:
         rows = rows.sample(fraction, seed=7)
-    counts = rows.groupBy(*keys).agg(F.expr("sum(of_a) AS a_rows"), F.expr("sum(1 - of_a) AS b_rows"))
+    counts = rows.groupBy(*keys).agg(
+        F.expr("sum(of_a) AS a_rows"),
+        F.expr("sum(1 - of_a) AS b_rows"),
+        F.expr("avg(length) AS length"),
+    )
+    width = f"sqrt({COPY_COST * DAY_SECONDS}D * length * {number(fraction)} / (a_rows + b_rows))"
     crowded = counts.where(f"greatest(a_rows, b_rows) > {per_block}").selectExpr(
-        *keys, *[f"greatest(1L, ceil({side}_rows / {per_block})) AS {side}_blocks" for side in "ab"]
+        *keys,
+        *[f"greatest(1L, ceil({side}_rows / {per_block})) AS {side}_blocks" for side in "ab"],
+        f"greatest(1L, cast({width} AS bigint)) AS slot_seconds",
+    )
+    table = staged(crowded, "crowded")
+    return None if table.isEmpty() else table
+
+
+def _in_slots(side: DataFrame, crowded: DataFrame, keys: list[str], prefix: str) -> DataFrame:
+    """Under crowded keys, copy rows to the time slots in which they can meet others.
+
+    An overlap begins when the later of two stays begins, so a pair meets in the
+    slot of that beginning only: under `comer` 'a' when the left stay begins in
+    the slot and the right one is there, under 'b' when the right one begins and
+    the left one has been there from an earlier slot. Other rows keep one copy.
+    """
+    first, last = f"floor({prefix}start / slot_seconds)", f"floor({prefix}end / slot_seconds)"
+    begins = f"array(struct({first} AS slot, '{prefix[0]}' AS comer))"
+    other = "a" if prefix == "b_" else "b"
+    since = first if prefix == "b_" else f"{first} + 1"
+    there = (
+        f"if({since} > {last}, array(), "
+        f"transform(sequence({since}, {last}), s -> struct(s AS slot, '{other}' AS comer)))"
+    )
+    everyone = "array(struct(-1L AS slot, 'a' AS comer))"
+    return side.join(crowded, keys, "left").selectExpr(
+        "* EXCEPT (a_blocks, b_blocks, slot_seconds)",
+        f"inline(if(slot_seconds IS NULL, {everyone}, concat({begins}, {there})))",
     )
-    return staged(crowded, "crowded")
 
 
 def _in_blocks(side: DataFrame, crowded: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:
@@ -119,7 +160,7 @@ def _in_blocks(side: DataFrame, crowded: DataFrame, keys: list[str], own: str, o
     drawn = f"pmod(xxhash64({own}id, {own}track_position_counter), coalesce({own}blocks, 1L))"
     copies = f"explode(sequence(0L, coalesce({other}blocks, 1L) - 1))"
     return side.join(crowded, keys, "left").selectExpr(
-        "* EXCEPT (a_blocks, b_blocks)", f"{drawn} AS {own}block", f"{copies} AS {other}block"
+        "* EXCEPT (a_blocks, b_blocks, slot_seconds)", f"{drawn} AS {own}block", f"{copies} AS {other}block"
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pingtrace.functions.times import micros
 from pingtrace.operators.cohorts import keep_ids
-from pingtrace.sources.staging import broadcast_if_small
+from pingtrace.sources.staging import broadcast_if_small, staged
 
 PERSON_DAY = ["id", "iso_date"]
 STAY_COLUMNS = [
@@ -22,7 +22,7 @@ STAY_COLUMNS = [
 ]
 
 # A person-day with more pings than this is worked on by several tasks.
-SPLIT_ABOVE = 1_000_000
+SPLIT_ABOVE = 5_000_000
 
 
 def stays(pings: DataFrame, split_above: int | None = SPLIT_ABOVE) -> DataFrame:
@@ -34,15 +34,17 @@ def stays(pings: DataFrame, split_above: int | None = SPLIT_ABOVE) -> DataFrame:
     of their position.
 
     One shuffle by person and day, one sort. Person-days of more than
-    `split_above` pings, counted beforehand, are cut into time slices that are
-    worked on separately and then joined up; None leaves out the count.
+    `split_above` pings, counted beforehand, are taken apart from the others and
+    cut into time slices that are worked on separately and then joined up; None
+    leaves out the count.
     """
     if split_above is not None:
         busy = _busy_person_days(pings, split_above)
         if not busy.isEmpty():
-            return _stays_of_slices(pings, busy)
-    runs = _runs(pings.selectExpr("id", "iso_date", "latitude", "longitude", "ts", "1L AS n"), PERSON_DAY)
-    return runs.select(*STAY_COLUMNS)
+            busy = broadcast_if_small(staged(busy, "busy"))
+            others = pings.join(busy, PERSON_DAY, "left_anti")
+            return _plain_stays(others).unionByName(_stays_of_slices(pings, busy))
+    return _plain_stays(pings)
 
 
 def cohort_stays(pings: DataFrame, cohort: DataFrame, split_above: int | None = SPLIT_ABOVE) -> DataFrame:
@@ -56,6 +58,11 @@ def stay_sequence(stays: DataFrame) -> DataFrame:
     return stays.withColumn("track_position_counter", F.row_number().over(by_start)).select(*STAY_COLUMNS)
 
 
+def _plain_stays(pings: DataFrame) -> DataFrame:
+    weighted = pings.selectExpr("id", "iso_date", "latitude", "longitude", "ts", "1L AS n")
+    return _runs(weighted, PERSON_DAY).select(*STAY_COLUMNS)
+
+
 def _runs(pings: DataFrame, group: list[str]) -> DataFrame:
     """Runs of equal position within each group of weighted pings (`n` copies each)."""
     in_time = f"(PARTITION BY {', '.join(group)} ORDER BY ts, latitude, longitude"
@@ -92,16 +99,17 @@ def _busy_person_days(pings: DataFrame, split_above: int) -> DataFrame:
 
 
 def _stays_of_slices(pings: DataFrame, busy: DataFrame) -> DataFrame:
-    """`stays` with the busy person-days cut into slices of time.
+    """`stays` of the busy person-days, cut into slices of time.
 
     Copies of a ping are counted before the shuffle. The runs of each slice are
     found alone; then one row per slice (its number of runs, first and last
     position) tells how the numbering goes on and whether a run crosses the cut.
     """
-    copies = pings.groupBy(*PERSON_DAY, "latitude", "longitude", "ts").agg(F.expr("count(*) AS n"))
-    share = f"({micros('ts')} - first) * slices / (last - first + 1)"
-    sliced = copies.join(broadcast_if_small(busy), PERSON_DAY, "left").selectExpr(
-        *PERSON_DAY, "latitude", "longitude", "ts", "n", f"coalesce(floor({share}), 0L) AS slice"
+    slice = f"floor(({micros('ts')} - first) * slices / (last - first + 1)) AS slice"
+    sliced = (
+        pings.join(busy, PERSON_DAY)
+        .groupBy(*PERSON_DAY, "latitude", "longitude", "ts", F.expr(slice))
+        .agg(F.expr("count(*) AS n"))
     )
     runs = _runs(sliced, [*PERSON_DAY, "slice"])
 
