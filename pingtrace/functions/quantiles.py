@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 from pingtrace.functions.geo import number
 
-BUCKETS = 4096
-LEVELS = 3
+# Buckets of each level. The first level counts all values in every task, later
+# ones only those of a bracket. Together they part the range into some 270
+# million; what falls into one part is counted value by value.
+BUCKETS = (4_096, 65_536)
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: list[str],
     fractions: list[float],
-    buckets: int = BUCKETS,
-    levels: int = LEVELS,
+    buckets: tuple[int, ...] = BUCKETS,
 ) -> DataFrame:
     """(axis, fraction, quantile): linearly interpolated quantiles of several columns.
 
     Nothing is sorted and no set of all values is held anywhere, unlike in the
     built-in exact percentile. Each level counts the values of the current
-    bracket in equal buckets (partial counts in every task, at most `buckets`
-    rows per bracket after the shuffle) and goes on with the bucket that holds
-    the wanted rank. The last step counts the few distinct values left.
+    bracket in equal buckets (partial counts in every task, one row per bucket
+    after the shuffle) and goes on with the bucket that holds the wanted rank.
+    The last step counts the few distinct values left.
     """
     pairs = ", ".join(f"struct('{c}' AS axis, cast({c} AS double) AS v)" for c in columns)
     values = df.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL")
@@ -46,11 +47,11 @@ def exact_quantiles(
         )
     )
     wanted = ["axis", "fraction", "rank", "weight", "below", "beyond"]
-    bucket = F.expr(
-        f"CASE WHEN high > low THEN least(floor((v - low) / (high - low) * {buckets}), {buckets - 1}L) "
-        "ELSE 0L END AS bucket"
-    )
-    for _ in range(levels):
+    for n in buckets:
+        bucket = F.expr(
+            f"CASE WHEN high > low THEN least(floor((v - low) / (high - low) * {n}), {n - 1}L) "
+            "ELSE 0L END AS bucket"
+        )
         counts = (
             _inside(values, brackets)
             .groupBy(*wanted, bucket)

@@ -125,9 +125,14 @@ def nearest_candidates(pings: DataFrame, targets: DataFrame, k: int | None = Non
     grid = CellGrid(max(widest, 1.0))
     cells = grid.with_reached_cells(circles, "rand_lat", "rand_lon", "radius")
     distance = haversine_m("rand_lat", "rand_lon", "latitude", "longitude")
-    near = (
+    # Of the pings in cells within reach, each place of a person is measured once.
+    places = (
         grid.with_home_cell(people.select("id", "latitude", "longitude"), "latitude", "longitude")
-        .join(broadcast_if_small(cells), ["cy", "cx"])
+        .join(broadcast_if_small(cells.select("cy", "cx").distinct()), ["cy", "cx"], "left_semi")
+        .distinct()
+    )
+    near = (
+        places.join(broadcast_if_small(cells), ["cy", "cx"])
         .where(f"{distance} <= radius")
         .groupBy("point_id", "id")
         .agg(F.expr(f"min({distance}) AS distance"))
@@ -139,16 +144,17 @@ def nearest_candidates(pings: DataFrame, targets: DataFrame, k: int | None = Non
 def _search_circles(people: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """Targets with a radius that is sure to hold the k nearest people."""
     wanted = max(2 * k, min(ANCHORS_PER_CANDIDATE * k, MANY_ANCHORS), 1)
-    anchors = (
-        people.groupBy("id")
-        .agg(F.expr("min(struct(latitude, longitude)) AS at"))
-        .orderBy(F.expr("xxhash64(id)"), "id")
-        .limit(wanted)
+    # At most one person of each bucket, so all different. Both coordinates follow
+    # the same smallest hash, so they are of one ping.
+    first = "xxhash64(id, latitude, longitude)"
+    anchors = people.groupBy(F.expr(f"pmod(xxhash64(id), {wanted}) AS bucket")).agg(
+        F.expr(f"min_by(latitude, {first}) AS anchor_lat"),
+        F.expr(f"min_by(longitude, {first}) AS anchor_lon"),
     )
-    reach = haversine_m("rand_lat", "rand_lon", "at.latitude", "at.longitude")
+    reach = haversine_m("rand_lat", "rand_lon", "anchor_lat", "anchor_lon")
     # Both sides are bounded by the number of targets, not by the pings.
     kth = (
-        targets.crossJoin(anchors.select("at"))
+        targets.crossJoin(anchors)
         .selectExpr("point_id", f"{reach} AS reach")
         .selectExpr("*", "row_number() OVER (PARTITION BY point_id ORDER BY reach) AS place")
         .where(f"place = {k}")

@@ -39,9 +39,9 @@ def stays(pings: DataFrame, split_above: int | None = SPLIT_ABOVE) -> DataFrame:
     leaves out the count.
     """
     if split_above is not None:
-        busy = _busy_person_days(pings, split_above)
-        if not busy.isEmpty():
-            busy = broadcast_if_small(staged(busy, "busy"))
+        counts = pings.groupBy(*PERSON_DAY).agg(F.expr("count(*) AS n")).where(f"n > {split_above}")
+        if not counts.isEmpty():
+            busy = broadcast_if_small(_time_slices(pings, counts, split_above))
             others = pings.join(busy, PERSON_DAY, "left_anti")
             return _plain_stays(others).unionByName(_stays_of_slices(pings, busy))
     return _plain_stays(pings)
@@ -84,18 +84,18 @@ def _collapse(rows: DataFrame, group: list[str], start: str, end: str, n: str) -
     )
 
 
-def _busy_person_days(pings: DataFrame, split_above: int) -> DataFrame:
-    """Person-days above the limit, with their time span and number of slices."""
-    return (
-        pings.groupBy(*PERSON_DAY)
+def _time_slices(pings: DataFrame, counts: DataFrame, split_above: int) -> DataFrame:
+    """The time span and number of slices of each counted person-day, written out."""
+    spans = (
+        pings.join(broadcast_if_small(counts), PERSON_DAY)
+        .groupBy(*PERSON_DAY)
         .agg(
-            F.expr("count(*) AS n"),
             F.expr(f"min({micros('ts')}) AS first"),
             F.expr(f"max({micros('ts')}) AS last"),
+            F.expr(f"ceil(count(*) * 4 / {split_above}) AS slices"),
         )
-        .where(f"n > {split_above}")
-        .selectExpr(*PERSON_DAY, "first", "last", f"ceil(n * 4 / {split_above}) AS slices")
     )
+    return staged(spans, "busy")
 
 
 def _stays_of_slices(pings: DataFrame, busy: DataFrame) -> DataFrame:

@@ -94,10 +94,11 @@ def exposure_cascade(
 
     def newcomers(date: datetime.date, reached: DataFrame) -> DataFrame:
         present = with_length(stays.where(f"iso_date = date '{date}'"))
-        # Plain joins: `reached` is a written table whose size Spark knows.
+        # A plain join, used twice: `reached` is a written table whose size Spark knows.
+        marked = present.join(reached.select("id", "hop"), "id", "left")
         pairs = near_pairs(
-            present.join(reached.select("id", "hop"), "id"),
-            present.join(reached.select("id"), "id", "left_anti"),
+            marked.where("hop IS NOT NULL"),
+            marked.where("hop IS NULL"),
             metres,
             overlapping=True,
             block_rows=block_rows if sizes[date] > block_rows else None,

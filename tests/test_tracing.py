@@ -8,8 +8,9 @@ from pingtrace.operators.contacts import close_contacts, contact_edges
 from pingtrace.operators.exposure import contact_flags, session_labels, session_totals
 from pingtrace.operators.stays import stays
 from pingtrace.operators.summaries import geo_event_totals
-from pingtrace.plans import tracing
-from pingtrace.sources import events
+from pingtrace.plans import job, tracing
+from pingtrace.sources import events, results
+from pingtrace.sources.pings import write_pings
 from pingtrace.sources.staging import staged
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -92,3 +93,21 @@ def test_geo_totals_of_the_cohort_of_each_day(spark, lasting):
         part = stays(table.where(f"iso_date = '{date}' AND id IN ({names})"))
         expected += [(day, *r) for r in geo_event_totals(part).collect()]
     assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_whole_job_from_files_to_files(spark, tmp_path):
+    write_pings(events.daily_pings(spark, SF_DIR), str(tmp_path / "pings"))
+    job.run(spark, str(tmp_path / "pings"), str(tmp_path / "out"), DAY, days=4, people=5, timestamp="ts")
+    daily = results.read_daily_counts(spark, str(tmp_path / "out" / "daily_infected.csv")).collect()
+    assert [r["day"] for r in daily] == [0, 1, 2, 3]
+    counts = [r["total_infected"] for r in daily]
+    assert counts[0] == 5 and counts == sorted(counts)
+    totals = results.read_geo_totals(spark, str(tmp_path / "out" / "daily_geoloc_evts.csv"))
+    reached, _, _ = job.spread(events.daily_pings(spark, SF_DIR), DAY, days=4, people=5)
+    first_day = {r["id"]: r["first_day"] for r in reached.collect()}
+    expected = 0
+    for r in events.daily_pings(spark, SF_DIR).select("id", "iso_date").collect():
+        day = (r["iso_date"] - DAY).days
+        if day < 4 and r["id"] in first_day:
+            expected += first_day[r["id"]] < day or day == first_day[r["id"]] == 0
+    assert totals.selectExpr("sum(tot_evts)").first()[0] == expected > 0
