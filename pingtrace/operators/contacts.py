@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pingtrace.functions.geo import CellGrid, haversine_m, number
 from pingtrace.functions.times import overlap_seconds, whole_seconds
 from pingtrace.operators.cohorts import drop_ids
-from pingtrace.sources.staging import staged
+from pingtrace.sources.staging import broadcast_if_small, staged
 
 EXPOSURE_DISTANCE_M = 10.0
 
@@ -19,6 +19,9 @@ PROBE_FRACTION = 0.01
 # Work of one more copy of a row, in comparisons of two times.
 COPY_COST = 300
 DAY_SECONDS = 86_400
+# Crowded keys (some 60 bytes each) up to which their table is broadcast.
+BROADCAST_KEYS = 1_000_000
+MOST_TASKS = 50_000
 
 _SIDE = [
     "id",
@@ -58,12 +61,13 @@ def near_pairs(
     wanted.
 
     Cells that hold more than about `block_rows` rows of a side on a day are found
-    from a sample of `probe_fraction` of both sides. If time matters, they are cut
-    along time, so that stays at different hours do not meet. Where there are
-    still more rows together, so that the pairs are wanted, they are split into
-    blocks of `block_rows` by `block_rows`. The probe is a job over both inputs,
-    so these should be tables or staged; `block_rows=None` leaves it out. The
-    sample decides only who does the work, not what is found.
+    from a sample of `probe_fraction` of both sides and joined on their own. If
+    time matters, they are cut along time, so that stays at different hours do
+    not meet. Where there are still more rows together, so that the pairs are
+    wanted, they are split into blocks of `block_rows` by `block_rows`. The probe
+    is a job over both inputs, so these should be tables or staged;
+    `block_rows=None` leaves it out. The sample decides only who does the work,
+    not what is found.
 
     `condition` is a further test, in SQL, on the prefixed columns. Columns of
     `left` besides those of a stay come along when named in `left_columns`.
@@ -77,18 +81,32 @@ def near_pairs(
         tests.insert(0, condition)
     if overlapping:
         tests.insert(0, f"{SHARED_SECONDS} > 0")
+
+    def pairs(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+        found = one.join(other, keys).where(" AND ".join(tests))
+        return found.selectExpr("iso_date", *own_columns, f"{_DISTANCE} AS distance")
+
+    own_columns = [c for side in (a, b) for c in side.columns if c not in keys]
     crowded = None if block_rows is None else _crowded_keys(a, b, keys, block_rows, probe_fraction)
-    if crowded is not None and overlapping:
-        a, b = _in_slots(a, crowded, keys, "a_"), _in_slots(b, crowded, keys, "b_")
-        keys += ["slot", "comer"]
+    if crowded is None:
+        return pairs(a, b, keys)
+    elsewhere = pairs(a.join(crowded, keys, "left_anti"), b.join(crowded, keys, "left_anti"), keys)
+    a, b = a.join(crowded, keys), b.join(crowded, keys)
+    if overlapping:
+        a, b = _in_slots(a, "a_"), _in_slots(b, "b_")
+        keys = [*keys, "slot", "comer"]
         crowded = _crowded_keys(a, b, keys, block_rows, probe_fraction)
-    if crowded is not None:
-        a, b = _in_blocks(a, crowded, keys, "a_", "b_"), _in_blocks(b, crowded, keys, "b_", "a_")
-        keys += ["a_block", "b_block"]
-        # A fixed number of partitions: by bytes, blocks look too small to be worth a task each.
-        tasks = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        a, b = a.repartition(tasks, *keys).hint("merge"), b.repartition(tasks, *keys)
-    return a.join(b, keys).where(" AND ".join(tests)).selectExpr("*", f"{_DISTANCE} AS distance")
+        if crowded is None:
+            return elsewhere.unionByName(pairs(a, b, keys))
+        a, b = a.join(crowded, keys, "left"), b.join(crowded, keys, "left")
+    a, b = _in_blocks(a, "a_", "b_"), _in_blocks(b, "b_", "a_")
+    keys = [*keys, "a_block", "b_block"]
+    # Few bytes, much work: partitions by number, not by size, and no broadcast.
+    blocks = crowded.selectExpr("sum(a_blocks * b_blocks)").first()[0]
+    tasks = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, min(blocks, MOST_TASKS))
+    there = pairs(a.repartition(tasks, *keys).hint("merge"), b.repartition(tasks, *keys), keys)
+    return elsewhere.unionByName(there)
 
 
 def _side(stays: DataFrame, prefix: str, more: tuple[str, ...] = ()) -> DataFrame:
@@ -129,16 +147,16 @@ def _crowded_keys(
         f"greatest(1L, cast({width} AS bigint)) AS slot_seconds",
     )
     table = staged(crowded, "crowded")
-    return None if table.isEmpty() else table
+    return None if table.isEmpty() else broadcast_if_small(table, BROADCAST_KEYS)
 
 
-def _in_slots(side: DataFrame, crowded: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """Under crowded keys, copy rows to the time slots in which they can meet others.
+def _in_slots(side: DataFrame, prefix: str) -> DataFrame:
+    """Copy rows to the time slots in which they can meet others.
 
     An overlap begins when the later of two stays begins, so a pair meets in the
     slot of that beginning only: under `comer` 'a' when the left stay begins in
     the slot and the right one is there, under 'b' when the right one begins and
-    the left one has been there from an earlier slot. Other rows keep one copy.
+    the left one has been there from an earlier slot.
     """
     first, last = f"floor({prefix}start / slot_seconds)", f"floor({prefix}end / slot_seconds)"
     begins = f"array(struct({first} AS slot, '{prefix[0]}' AS comer))"
@@ -148,18 +166,16 @@ def _in_slots(side: DataFrame, crowded: DataFrame, keys: list[str], prefix: str)
         f"if({since} > {last}, array(), "
         f"transform(sequence({since}, {last}), s -> struct(s AS slot, '{other}' AS comer)))"
     )
-    everyone = "array(struct(-1L AS slot, 'a' AS comer))"
-    return side.join(crowded, keys, "left").selectExpr(
-        "* EXCEPT (a_blocks, b_blocks, slot_seconds)",
-        f"inline(if(slot_seconds IS NULL, {everyone}, concat({begins}, {there})))",
+    return side.selectExpr(
+        "* EXCEPT (a_blocks, b_blocks, slot_seconds)", f"inline(concat({begins}, {there}))"
     )
 
 
-def _in_blocks(side: DataFrame, crowded: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:
+def _in_blocks(side: DataFrame, own: str, other: str) -> DataFrame:
     """Give each row one block of its own side and a copy for each block of the other."""
     drawn = f"pmod(xxhash64({own}id, {own}track_position_counter), coalesce({own}blocks, 1L))"
     copies = f"explode(sequence(0L, coalesce({other}blocks, 1L) - 1))"
-    return side.join(crowded, keys, "left").selectExpr(
+    return side.selectExpr(
         "* EXCEPT (a_blocks, b_blocks, slot_seconds)", f"{drawn} AS {own}block", f"{copies} AS {other}block"
     )
 
