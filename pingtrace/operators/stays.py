@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pingtrace.functions.times import micros
@@ -39,9 +39,8 @@ def stays(pings: DataFrame, split_above: int | None = SPLIT_ABOVE) -> DataFrame:
     leaves out the count.
     """
     if split_above is not None:
-        counts = pings.groupBy(*PERSON_DAY).agg(F.expr("count(*) AS n")).where(f"n > {split_above}")
-        if not counts.isEmpty():
-            busy = broadcast_if_small(_time_slices(pings, counts, split_above))
+        busy = _busy_person_days(pings, split_above, "ts")
+        if busy is not None:
             others = pings.join(busy, PERSON_DAY, "left_anti")
             return _plain_stays(others).unionByName(_stays_of_slices(pings, busy))
     return _plain_stays(pings)
@@ -52,10 +51,35 @@ def cohort_stays(pings: DataFrame, cohort: DataFrame, split_above: int | None =
     return stays(keep_ids(pings, cohort), split_above)
 
 
-def stay_sequence(stays: DataFrame) -> DataFrame:
-    """Number stays per person-day by start time, for stays that come without numbers."""
-    by_start = Window.partitionBy(*PERSON_DAY).orderBy("start_position_time", "latitude", "longitude")
-    return stays.withColumn("track_position_counter", F.row_number().over(by_start)).select(*STAY_COLUMNS)
+def stay_sequence(stays: DataFrame, split_above: int | None = SPLIT_ABOVE) -> DataFrame:
+    """Number stays per person-day by start time, for stays that come without numbers.
+
+    Person-days with more than `split_above` stays are numbered slice by slice of
+    their time, each from the number of stays in the slices before it.
+    """
+    stays = stays.drop("track_position_counter")
+    busy = None if split_above is None else _busy_person_days(stays, split_above, "start_position_time")
+    if busy is None:
+        return _numbered(stays, PERSON_DAY, "0")
+    others = _numbered(stays.join(busy, PERSON_DAY, "left_anti"), PERSON_DAY, "0")
+    sliced = stays.join(busy, PERSON_DAY).selectExpr(
+        *[c for c in STAY_COLUMNS if c != "track_position_counter"],
+        f"{_slice_of('start_position_time')} AS slice",
+    )
+    in_order = "(PARTITION BY id, iso_date ORDER BY slice)"
+    starts = (
+        sliced.groupBy(*PERSON_DAY, "slice")
+        .agg(F.expr("count(*) AS n"))
+        .selectExpr(*PERSON_DAY, "slice", f"sum(n) OVER {in_order} - n AS before")
+    )
+    parts = sliced.join(starts, [*PERSON_DAY, "slice"])
+    return others.unionByName(_numbered(parts, [*PERSON_DAY, "slice"], "before"))
+
+
+def _numbered(stays: DataFrame, group: list[str], before: str) -> DataFrame:
+    by_start = f"(PARTITION BY {', '.join(group)} ORDER BY start_position_time, latitude, longitude)"
+    number = f"cast({before} + row_number() OVER {by_start} AS int) AS track_position_counter"
+    return stays.selectExpr("*", number).select(*STAY_COLUMNS)
 
 
 def _plain_stays(pings: DataFrame) -> DataFrame:
@@ -84,18 +108,28 @@ def _collapse(rows: DataFrame, group: list[str], start: str, end: str, n: str) -
     )
 
 
-def _time_slices(pings: DataFrame, counts: DataFrame, split_above: int) -> DataFrame:
-    """The time span and number of slices of each counted person-day, written out."""
+def _busy_person_days(rows: DataFrame, split_above: int, time: str) -> DataFrame | None:
+    """Person-days above the limit, with their time span and number of slices; None if none.
+
+    Written out, since several parts of a plan must read the same spans.
+    """
+    counts = rows.groupBy(*PERSON_DAY).agg(F.expr("count(*) AS n")).where(f"n > {split_above}")
+    if counts.isEmpty():
+        return None
     spans = (
-        pings.join(broadcast_if_small(counts), PERSON_DAY)
+        rows.join(broadcast_if_small(counts), PERSON_DAY)
         .groupBy(*PERSON_DAY)
         .agg(
-            F.expr(f"min({micros('ts')}) AS first"),
-            F.expr(f"max({micros('ts')}) AS last"),
+            F.expr(f"min({micros(time)}) AS first"),
+            F.expr(f"max({micros(time)}) AS last"),
             F.expr(f"ceil(count(*) * 4 / {split_above}) AS slices"),
         )
     )
-    return staged(spans, "busy")
+    return broadcast_if_small(staged(spans, "busy"))
+
+
+def _slice_of(time: str) -> str:
+    return f"floor(({micros(time)} - first) * slices / (last - first + 1))"
 
 
 def _stays_of_slices(pings: DataFrame, busy: DataFrame) -> DataFrame:
@@ -105,10 +139,9 @@ def _stays_of_slices(pings: DataFrame, busy: DataFrame) -> DataFrame:
     found alone; then one row per slice (its number of runs, first and last
     position) tells how the numbering goes on and whether a run crosses the cut.
     """
-    slice = f"floor(({micros('ts')} - first) * slices / (last - first + 1)) AS slice"
     sliced = (
         pings.join(busy, PERSON_DAY)
-        .groupBy(*PERSON_DAY, "latitude", "longitude", "ts", F.expr(slice))
+        .groupBy(*PERSON_DAY, "latitude", "longitude", "ts", F.expr(f"{_slice_of('ts')} AS slice"))
         .agg(F.expr("count(*) AS n"))
     )
     runs = _runs(sliced, [*PERSON_DAY, "slice"])

@@ -1,3 +1,5 @@
+import datetime
+import math
 import random
 
 import pytest
@@ -20,7 +22,7 @@ def _cluster(rng, lat, lon, spread, n, label):
     rows = []
     for i in range(n):
         y = max(-90.0, min(90.0, lat + rng.uniform(-spread, spread)))
-        x = lon + rng.uniform(-spread, spread) / max(0.02, abs(__import__("math").cos(__import__("math").radians(y))))
+        x = lon + rng.uniform(-spread, spread) / max(0.02, abs(math.cos(math.radians(y))))
         x = (x + 180) % 360 - 180
         rows.append(stay(i, f"{label}{i}", (y, x), "10:00:00", "11:00:00"))
     return rows
@@ -156,8 +158,6 @@ def test_contact_columns_and_who_is_left_out(spark):
 
 
 def test_people_on_different_days_do_not_meet(spark):
-    import datetime
-
     rows = [
         stay(1, "p", A, "10:00:00", "11:00:00"),
         stay(1, "q", A, "10:00:00", "11:00:00", DAY + datetime.timedelta(days=1)),

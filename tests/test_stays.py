@@ -71,7 +71,8 @@ def test_copies_of_one_ping_are_one_stay(spark):
 
 def test_sequence_numbers_match(spark):
     table = stays(pings(spark, _random_pings(5)))
-    assert collected_runs(stay_sequence(table.drop("track_position_counter"))) == collected_runs(table)
+    for limit in (None, 1, 9, 1000):
+        assert collected_runs(stay_sequence(table.drop("track_position_counter"), limit)) == collected_runs(table)
 
 
 def test_cohort_of_none_one_and_unknown_ids(spark):
