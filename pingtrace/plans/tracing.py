@@ -150,22 +150,22 @@ def _day_by_day(
     days: int | None,
     newcomers: Callable[[datetime.date, DataFrame], DataFrame],
 ) -> DataFrame:
-    """Add each date's newcomers to the people reached before, one written part per day."""
+    """Add each date's newcomers to the people reached before, one written partition per day."""
     spark = seeds.sparkSession
     folder = new_folder(spark, "cascade")
     known = seeds.where("id IS NOT NULL").select("id").distinct()
-    known.selectExpr("id", "0 AS first_day", "0 AS hop").write.parquet(f"{folder}/part-0")
+    known.selectExpr("id", "0 AS hop").write.parquet(f"{folder}/first_day=0")
     for date in dates:
         day = (date - start).days
         if days is not None and day >= days:
             break
-        new = newcomers(date, _reached(spark, folder))
-        new.selectExpr("id", f"{day} AS first_day", "hop").write.parquet(f"{folder}/part-{day}")
+        newcomers(date, _reached(spark, folder)).write.parquet(f"{folder}/first_day={day}")
     return _reached(spark, folder)
 
 
 def _reached(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(REACHED_SCHEMA).parquet(f"{folder}/part-*")
+    table = spark.read.schema(REACHED_SCHEMA).parquet(folder)
+    return table.select("id", "first_day", "hop")
 
 
 def daily_reach(reached: DataFrame, last_day: int) -> DataFrame:
