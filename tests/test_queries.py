@@ -14,7 +14,7 @@ def connection():
 
 
 def test_every_query_has_its_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry._ping_queries()) == set(registry._ping_oracles())
 
 
 def test_flagship_query(spark):
@@ -22,8 +22,8 @@ def test_flagship_query(spark):
     assert len(rows) == 6 and all(r["total_exposure_time"] >= 30 for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry._ping_queries()))
 def test_query(spark, connection, name):
-    frame = registry.queries()[name](spark, SF_DIR)
-    expected, missing, extra = oracle.differences(frame, connection, registry.oracle_sql()[name])
+    frame = registry._ping_queries()[name](spark, SF_DIR)
+    expected, missing, extra = oracle.differences(frame, connection, registry._ping_oracles()[name])
     assert not missing and not extra
