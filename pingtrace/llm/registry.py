@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pingtrace.llm.pii import op8_pii
 from pingtrace.llm.quality_classifier import op9_quality_classifier
 from pingtrace.llm.quality_rules import op10_quality_rules
+from pingtrace.llm.secret_scan import op7_secret_scans
 from pingtrace.llm.token_counts import op4_token_counts
 
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op7_secret_scans": op7_secret_scans,
+    "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
