@@ -7,9 +7,11 @@ from pingtrace.llm.quality_classifier import op9_quality_classifier
 from pingtrace.llm.quality_rules import op10_quality_rules
 from pingtrace.llm.secret_scan import op7_secret_scans
 from pingtrace.llm.token_counts import op4_token_counts
+from pingtrace.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op7_secret_scans": op7_secret_scans,
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
