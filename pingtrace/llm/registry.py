@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pingtrace.llm.jaccard_join import op3_jaccard_join
 from pingtrace.llm.pii import op8_pii
 from pingtrace.llm.quality_classifier import op9_quality_classifier
 from pingtrace.llm.quality_rules import op10_quality_rules
@@ -10,6 +11,7 @@ from pingtrace.llm.token_counts import op4_token_counts
 from pingtrace.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op7_secret_scans": op7_secret_scans,
