@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pingtrace.llm.arrays import LOWER, gram_hashes, mix, portions, utf8, word_hashes
 from pingtrace.llm.components import components
@@ -262,7 +263,11 @@ def _blocks(members: DataFrame, tile_rows: int) -> DataFrame:
 def similar_components(
     docs: DataFrame, similarity: Similarity, key: str = "doc_id", tile_rows: int = TILE_ROWS
 ) -> DataFrame:
-    """`key`, size, class and component (smallest id reachable by links) of every row of `docs`."""
+    """`key`, size, class, group and component of every row of `docs`.
+
+    The group names the connected classes (null without n-grams), the component
+    is the smallest id in the group.
+    """
     rows = staged(_classes(docs, key, similarity), "jaccard-rows")
     sets = rows.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
 
@@ -311,10 +316,43 @@ def similar_components(
     classes = classes.join(known.withColumnRenamed("node", "class"), "class", "left")
     classes = classes.select("class", F.coalesce("component", "class").alias("group"), "lowest")
     lowest = classes.groupBy("group").agg(F.min("lowest").alias("component"))
-    labels = staged(classes.join(lowest, "group").select("class", F.col("component")), "jaccard-labels")
+    labels = staged(classes.join(lowest, "group").select("class", "group", "component"), "jaccard-labels")
     full = rows.select(key, "size", "class").where("size > 0").join(labels, "class")
-    empty = rows.where("size = 0").select("class", key, "size", F.col(key).alias("component"))
-    return full.select("class", key, "size", "component").union(empty)
+    empty = rows.where("size = 0").select(
+        key, "size", "class", F.lit(None).cast("bigint").alias("group"), F.col(key).alias("component")
+    )
+    return full.select(key, "size", "class", "group", "component").union(empty)
+
+
+def keep_first(docs: DataFrame, similarity: Similarity, key: str = "doc_id") -> DataFrame:
+    """One row of each component, with all columns: that of the smallest id, ids before null.
+
+    Rows without n-grams stay. Among rows of one id the smallest class is taken,
+    and of rows equal in id and class any one.
+    """
+    found = staged(similar_components(docs, similarity, key).where("size > 0"), "jaccard-found")
+    entry = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("_id"), F.col("class").alias("_class"))
+    first = found.groupBy("group").agg(F.min(entry).alias("first"))
+    beside = found.join(first, "group").where(~(F.col(key).eqNullSafe(F.col("first._id")) & (F.col("class") == F.col("first._class"))))
+    drop = staged(beside.select(F.col(key).alias("_id"), F.col("class").alias("_dropped")).distinct(), "jaccard-dropped")
+    drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch):
+                classes = [set_hash(s) for s in shingle_sets(*utf8(part.column("text")), similarity.n)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(classes, pa.int64())], [*part.schema.names, "_class"]
+                )
+
+    marked = docs.mapInArrow(classify, T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
+    kept = marked.join(drop, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_dropped")), "left_anti")
+    if not found.groupBy(key, "class").count().where("count > 1").isEmpty():
+        # Rows equal in id and class: one of each stays, and every row without n-grams.
+        blank = set_hash(np.zeros(0, np.uint64))
+        empty = kept.where(F.col("_class") == blank)
+        kept = kept.where(F.col("_class") != blank).dropDuplicates([key, "_class"]).union(empty)
+    return kept.drop("_class")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

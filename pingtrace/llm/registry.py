@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pingtrace.llm import mixing
+from pingtrace.llm.decontamination import op1_benchmark_decontamination
 from pingtrace.llm.jaccard_join import op3_jaccard_join
 from pingtrace.llm.pii import op8_pii
 from pingtrace.llm.quality_classifier import op9_quality_classifier
@@ -11,6 +13,8 @@ from pingtrace.llm.token_counts import op4_token_counts
 from pingtrace.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_source_mixing": mixing.op2_source_mixing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
@@ -20,4 +24,6 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_source_mixing": mixing.ORACLE_SQL,
+}

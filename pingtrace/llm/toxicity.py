@@ -325,21 +325,36 @@ def train(docs: DataFrame, labels: DataFrame, held_out) -> Scorer | None:
     return scorer
 
 
-def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, held_out, keep: tuple[str, ...]) -> DataFrame:
-    """Columns `keep` of every row of `docs`, and `score`."""
-    scorer = train(training, labels, held_out)
+def score_toxicity(docs: DataFrame, labels: DataFrame, held_out, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep` and `score` of every row of `docs`, whose labelled rows outside the fold are learnt from."""
+    scorer = train(docs, labels, held_out)
     if scorer is None:
         return docs.select(*keep, F.lit(0.0).alias("score"))
     return _margins(docs, scorer, keep, scorer.chances).withColumnRenamed("margin", "score")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of `docs` that score below THRESHOLD, with all their columns and no shuffle."""
+    scorer = train(docs, labels, held_out())
+    if scorer is None:
+        return docs
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch, "text", _PORTION):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                yield part.filter(pa.array(scorer.chances(scorer.margins(texts)) < THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out():
     return F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = score_toxicity(docs, docs, labels, held_out(), ("doc_id",))
+    scored = score_toxicity(docs, labels, held_out())
     return scored.select(
         "doc_id",
         held_out().alias("held_out"),
