@@ -9,6 +9,7 @@ from pingtrace.llm.pii import op8_pii
 from pingtrace.llm.quality_classifier import op9_quality_classifier
 from pingtrace.llm.quality_rules import op10_quality_rules
 from pingtrace.llm.secret_scan import op7_secret_scans
+from pingtrace.llm.suffix_dedup import op6_suffix_dedup
 from pingtrace.llm.token_counts import op4_token_counts
 from pingtrace.llm.toxicity import op5_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_secret_scans": op7_secret_scans,
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
