@@ -334,7 +334,7 @@ def keep_first(docs: DataFrame, similarity: Similarity, key: str = "doc_id") ->
     entry = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("_id"), F.col("class").alias("_class"))
     first = found.groupBy("group").agg(F.min(entry).alias("first"))
     beside = found.join(first, "group").where(~(F.col(key).eqNullSafe(F.col("first._id")) & (F.col("class") == F.col("first._class"))))
-    drop = staged(beside.select(F.col(key).alias("_id"), F.col("class").alias("_dropped")).distinct(), "jaccard-dropped")
+    drop = staged(beside.select(F.col(key).alias("_jaccard_id"), F.col("class").alias("_jaccard_dropped")).distinct(), "jaccard-dropped")
     drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,17 +342,17 @@ def keep_first(docs: DataFrame, similarity: Similarity, key: str = "doc_id") ->
             for part in portions(batch):
                 classes = [set_hash(s) for s in shingle_sets(*utf8(part.column("text")), similarity.n)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(classes, pa.int64())], [*part.schema.names, "_class"]
+                    [*part.columns, pa.array(classes, pa.int64())], [*part.schema.names, "_jaccard_class"]
                 )
 
-    marked = docs.mapInArrow(classify, T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
-    kept = marked.join(drop, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_class") == F.col("_dropped")), "left_anti")
+    marked = docs.mapInArrow(classify, T.StructType([*docs.schema.fields, T.StructField("_jaccard_class", T.LongType())]))
+    kept = marked.join(drop, F.col(key).eqNullSafe(F.col("_jaccard_id")) & (F.col("_jaccard_class") == F.col("_jaccard_dropped")), "left_anti")
     if not found.groupBy(key, "class").count().where("count > 1").isEmpty():
         # Rows equal in id and class: one of each stays, and every row without n-grams.
         blank = set_hash(np.zeros(0, np.uint64))
-        empty = kept.where(F.col("_class") == blank)
-        kept = kept.where(F.col("_class") != blank).dropDuplicates([key, "_class"]).union(empty)
-    return kept.drop("_class")
+        empty = kept.where(F.col("_jaccard_class") == blank)
+        kept = kept.where(F.col("_jaccard_class") != blank).dropDuplicates([key, "_jaccard_class"]).union(empty)
+    return kept.drop("_jaccard_class")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

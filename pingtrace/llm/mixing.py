@@ -67,11 +67,11 @@ def n_words(text: Column) -> Column:
 
 def _matched(frame: DataFrame, other: DataFrame, columns: tuple[str, ...], how: str = "inner") -> DataFrame:
     """Join on `columns`, null being equal to null; `other` adds its remaining columns."""
-    named = other.select(*[F.col(c).alias(f"_{c}") if c in columns else F.col(c) for c in other.columns])
+    named = other.select(*[F.col(c).alias(f"_mix_{c}") if c in columns else F.col(c) for c in other.columns])
     condition = F.lit(True)
     for c in columns:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return frame.join(_small(named), condition, how).drop(*[f"_{c}" for c in columns])
+        condition = condition & F.col(c).eqNullSafe(F.col(f"_mix_{c}"))
+    return frame.join(_small(named), condition, how).drop(*[f"_mix_{c}" for c in columns])
 
 
 def _shared(nodes: DataFrame, parent: tuple[str, ...], level: str, targets: Targets) -> DataFrame:
@@ -151,11 +151,17 @@ def mix(docs: DataFrame, targets: Targets | None = None, domain: Column | None =
     ends = _matched(budgets.drop("rest"), cut.select(*TREE, "cut_range"), TREE, "left")
     ends = staged(_matched(ends, staged(last, "mix-last"), TREE, "left"), "mix-ends")
 
-    chosen = _matched(marked.where("n_tokens > 0"), ends, TREE).withColumn("_place", _place(targets, F.col("whole_epochs"), key))
-    mine = F.struct(F.col("_place"), F.col("n_tokens"), F.xxhash64("text").alias("_text"))
-    in_prefix = (F.substring("_place", 1, DIGITS) < F.col("cut_range")) | F.coalesce(mine <= F.col("last"), F.lit(False))
-    chosen = chosen.withColumn("epochs", (F.col("whole_epochs") + F.coalesce(in_prefix, F.lit(False)).cast("int")).cast("bigint"))
-    return chosen.where("epochs > 0").drop("whole_epochs", "cut_range", "last", "_place")
+    # Names that the documents' own columns are unlikely to have.
+    ends = ends.select(
+        *TREE, F.col("whole_epochs").alias("_mix_epochs"), F.col("cut_range").alias("_mix_range"), F.col("last").alias("_mix_last")
+    )
+    chosen = _matched(marked.where(F.col("n_tokens") > 0), ends, TREE)
+    place = _place(targets, F.col("_mix_epochs"), key)
+    mine = F.struct(place.alias("_place"), F.col("n_tokens"), F.xxhash64("text").alias("_text"))
+    in_prefix = (F.substring(place, 1, DIGITS) < F.col("_mix_range")) | F.coalesce(mine <= F.col("_mix_last"), F.lit(False))
+    epochs = F.col("_mix_epochs") + F.coalesce(in_prefix, F.lit(False)).cast("int")
+    chosen = chosen.withColumn("epochs", epochs.cast("bigint")).where("epochs > 0")
+    return chosen.drop("_mix_epochs", "_mix_range", "_mix_last")
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

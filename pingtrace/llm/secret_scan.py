@@ -96,21 +96,21 @@ def candidates(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "t
     for name, bits in needed.items():
         enough = enough | ((F.col("rule") == name) & (F.col("parts") == bits))
     # At most as many rules as there are in a group.
-    return met.where(enough).groupBy(key).agg(F.collect_set("rule").alias("_rules"))
+    return met.where(enough).groupBy(key).agg(F.collect_set("rule").alias("_secret_rules"))
 
 
 def _with_spans(docs: DataFrame, rules, key: str, text: str) -> DataFrame:
-    """`docs` with `_spans`: an array of (start, rank, end, kind) per rule, by rule name."""
-    chosen = staged(candidates(docs, rules, key, text), "secret-candidates").withColumnRenamed(key, "_key")
+    """`docs` with `_secret_spans`: an array of (start, rank, end, kind) per rule, by rule name."""
+    chosen = staged(candidates(docs, rules, key, text), "secret-candidates").withColumnRenamed(key, "_secret_key")
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    joined_ = docs.join(chosen, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    joined_ = docs.join(chosen, F.col(key).eqNullSafe(F.col("_secret_key")), "left").drop("_secret_key")
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def spans(rank: int, rule: Rule) -> Column:
         found = F.filter(matches(whole, rule.pattern), lambda m: rule.check(m["text"]))
         if trigram_query(rule.pattern):
-            found = F.when(F.array_contains("_rules", rule.name), found).otherwise(none())
+            found = F.when(F.array_contains("_secret_rules", rule.name), found).otherwise(none())
         else:
             found = F.when(whole.rlike(rule.pattern), found).otherwise(none())
         return F.transform(
@@ -121,12 +121,12 @@ def _with_spans(docs: DataFrame, rules, key: str, text: str) -> DataFrame:
         ).alias(rule.name)
 
     every = F.struct(*[spans(rank, rule) for rank, rule in enumerate(rules)])
-    return joined_.withColumn("_spans", every).drop("_rules")
+    return joined_.withColumn("_secret_spans", every).drop("_secret_rules")
 
 
 def find_secrets(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key` and, per rule, an array of (start, rank, end, kind), in code points, of every row."""
-    return _with_spans(docs.select(key, text), rules, key, text).select(key, "_spans.*")
+    return _with_spans(docs.select(key, text), rules, key, text).select(key, "_secret_spans.*")
 
 
 def redact(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,7 +135,7 @@ def redact(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text"
     Rows without spans are returned as they are.
     """
     found = _with_spans(docs, rules, key, text)
-    spans = F.array_sort(F.concat(*[F.col("_spans")[r.name] for r in rules]))
+    spans = F.array_sort(F.concat(*[F.col("_secret_spans")[r.name] for r in rules]))
     whole, state = F.col(text), F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("at"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -152,7 +152,7 @@ def redact(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text"
         cut,
         lambda acc: F.concat(acc["kept"], F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole))),
     )
-    return found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(whole)).drop("_spans")
+    return found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(whole)).drop("_secret_spans")
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
