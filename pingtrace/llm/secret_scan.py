@@ -74,14 +74,18 @@ def candidates(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "t
         query = trigram_query(rule.pattern)
         for g, group in enumerate(query):
             for a, trigrams in enumerate(group):
-                alternatives += [(rule.name, g, a, t, 1 << i, (1 << len(trigrams)) - 1) for i, t in enumerate(sorted(trigrams))]
+                all_bits = (1 << len(trigrams)) - 1
+                alternatives += [(rule.name, g, a, t, 1 << i, all_bits) for i, t in enumerate(sorted(trigrams))]
         if query:
             needed[rule.name] = (1 << len(query)) - 1
-    session = docs.sparkSession
     # As many rows as the rules' queries have trigrams.
-    lookup = session.createDataFrame(
-        alternatives, "rule string, part int, alternative int, trigram string, bit long, all_bits long"
-    )
+    names = ("rule", "part", "alternative", "trigram", "bit", "all_bits")
+    rows = [
+        F.struct(*[F.lit(v).cast("bigint" if n.endswith(("bit", "bits")) else "string" if isinstance(v, str) else "int").alias(n)
+                   for n, v in zip(names, row, strict=True)])
+        for row in alternatives
+    ]
+    lookup = docs.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
     index = postings(docs, sorted({a[3] for a in alternatives}), key, text)
     met = (
         index.join(F.broadcast(lookup), "trigram")
