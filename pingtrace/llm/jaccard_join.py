@@ -3,19 +3,22 @@
 Equal sets are one class (a 64-bit hash of the set, with its size). Classes are
 laid out in bands of set size; a tile takes a band and the next, as far as sizes
 in it can be similar enough. The symmetric difference of two similar sets is
-bounded by the tile's sizes, so when the range of n-gram hashes is cut into one
-part more than that bound, similar sets agree in at least one whole part. A tile
-is therefore divided by (part, content of the part), and only classes that meet
-there are compared:
-
-1. with the smallest class of each division (as many pairs as members, however
-   large a division is);
+bounded by the tile's sizes, so when the range of n-gram hashes is cut into more
+parts than that bound, similar sets agree in the remaining number of whole parts.
+A tile is therefore divided by (part, content of the part), and only classes that
+meet there are compared. Parts without n-grams tell nothing; a set leaves them out
+if it has fewer of them than parts must agree, since then another part agrees too.
+
+1. each class with the smallest one that it meets in any division, and with the
+   smallest in its smallest division (at most two pairs per class, however large
+   a division is);
 2. within divisions that then still hold several components, each class with
    those of other components. Divisions of over TILE_ROWS classes are cut into
    blocks, and each pair of blocks is a group of its own.
 
-A comparison first takes 1024-bit signatures: every bit of one that the other
-lacks is an n-gram the other lacks, which bounds the overlap from above. Pairs
+A comparison first takes hashed signatures of two bits per n-gram or more (of
+different lengths, the longer is folded): every bit of one that the other lacks is
+an n-gram the other lacks, which bounds the overlap from above. Pairs
 that pass are decided by intersecting the sorted n-gram arrays. No pair of
 similar classes is lost, nor are copies expanded into pairs.
 
@@ -42,7 +45,8 @@ from pingtrace.llm.components import components
 from pingtrace.llm.inputs import table
 from pingtrace.sources.staging import staged
 
-BITS = 1024
+LEAST_BITS, MOST_BITS = 1024, 1 << 16
+SLACK = 0.18  # parts beyond the bound, as a share of it, for parts without n-grams
 TILE_ROWS = 1024
 BROADCAST_ROWS = 200_000
 _U = np.uint64
@@ -74,8 +78,9 @@ def set_hash(grams: np.ndarray) -> int:
 
 
 def signature(grams: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(grams & _U(BITS - 1)).astype(np.int64)] = 1
+    n_bits = min(max(LEAST_BITS, 2 << len(grams).bit_length()), MOST_BITS)
+    bits = np.zeros(n_bits, np.uint8)
+    bits[(grams & _U(n_bits - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -96,8 +101,8 @@ class Similarity:
             edges.append(max(edges[-1] + 1, -(-edges[-1] * 10_000 // self.percent**2)))
         return edges
 
-    def tiles(self, size: int) -> list[tuple[int, int]]:
-        """(tile, number of parts) of each tile that a set of this size belongs to."""
+    def tiles(self, size: int) -> list[tuple[int, int, int]]:
+        """(tile, number of parts, parts that similar sets agree in) of each tile of a set of this size."""
         edges = self.band_edges(size)
         home = len(edges) - 2
         found = []
@@ -109,7 +114,8 @@ class Similarity:
             largest = most * 100 // self.percent
             if size <= largest:
                 bound = (most + largest) * (100 - self.percent) // (100 + self.percent)
-                found.append((band, bound + 1))
+                agree = 5 + int(bound * SLACK)
+                found.append((band, bound + agree, agree))
         return found
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
@@ -117,12 +123,14 @@ class Similarity:
         spread, keys = mix(grams), []
         sums = np.concatenate([[_U(0)], np.cumsum(spread, dtype=np.uint64)])
         high = grams >> _U(32)
-        for tile, parts in self.tiles(len(grams)):
+        for tile, parts, agree in self.tiles(len(grams)):
             starts = (np.arange(parts + 1, dtype=np.uint64) << _U(32)) // _U(parts)
             at = np.searchsorted(high, starts)
-            content = (sums[at[1:]] - sums[at[:-1]]) + np.diff(at).astype(np.uint64) * _U(_SHORT)
+            held = np.diff(at)
+            content = (sums[at[1:]] - sums[at[:-1]]) + held.astype(np.uint64) * _U(_SHORT)
             place = np.arange(parts, dtype=np.uint64) + _U(tile << 40)
-            keys.append(mix(content ^ mix(place)))
+            found = mix(content ^ mix(place))
+            keys.append(found[held > 0] if (held == 0).sum() < agree else found)
         return np.concatenate(keys)
 
 
@@ -185,8 +193,13 @@ def _overlap_bound(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.
     return np.minimum(size_a - only_a, size_b - only_b)
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def _folded(signatures: list[bytes], n_bytes: int) -> np.ndarray:
+    """Signatures as rows of uint64 words, all folded to one length."""
+    rows = [
+        raw if len(raw) == n_bytes else np.bitwise_or.reduce(np.frombuffer(raw, np.uint8).reshape(-1, n_bytes)).tobytes()
+        for raw in signatures
+    ]
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(-1, n_bytes // 8)
 
 
 def _side(frame: DataFrame, name: str) -> DataFrame:
@@ -199,8 +212,14 @@ def linked(pairs: DataFrame, sets: DataFrame, arrays: DataFrame, similarity: Sim
     def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = np.asarray(batch.column("size_a")), np.asarray(batch.column("size_b"))
-            most = _overlap_bound(_signatures(batch.column("bits_a")), _signatures(batch.column("bits_b")), a, b)
-            yield batch.select(["a", "b"]).filter(pa.array(similarity.holds(most, a, b)))
+            bits_a, bits_b = batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()
+            n_bytes = np.array([min(len(x), len(y)) for x, y in zip(bits_a, bits_b, strict=True)], np.int64)
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for n in np.unique(n_bytes).tolist():
+                at = np.flatnonzero(n_bytes == n)
+                x, y = (_folded([bits[k] for k in at], n) for bits in (bits_a, bits_b))
+                good[at] = similarity.holds(_overlap_bound(x, y, a[at], b[at]), a[at], b[at])
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     def are(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +244,8 @@ def _cross_pairs(tiles: DataFrame, similarity: Similarity) -> DataFrame:
         group = group.combine_chunks()
         size, component = np.asarray(group["size"]), np.asarray(group["component"])
         classes, block = np.asarray(group["class"]), np.asarray(group["block"])
-        bits = _signatures(group["bits"])
+        raw = group["bits"].to_pylist()
+        bits = _folded(raw, min(map(len, raw)))
         same = group["block_a"][0].as_py() == group["block_b"][0].as_py()
         first = np.flatnonzero(block == group["block_a"][0].as_py())
         second = np.flatnonzero(block == group["block_b"][0].as_py())
@@ -272,8 +292,10 @@ def similar_components(
     sets = rows.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
 
     divided = _division_rows(docs, key, similarity).repartition("division")
-    shared = divided.groupBy("division").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    members = divided.join(shared.where("low <> high").select("division", "low"), "division")
+    shared = divided.groupBy("division").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("held")
+    )
+    members = divided.join(shared.where("low <> high").select("division", "low", "held"), "division")
     members = staged(members.distinct(), "jaccard-members")
 
     involved = staged(members.select("class").distinct(), "jaccard-involved")
@@ -286,8 +308,10 @@ def similar_components(
     arrays = _arrays(texts, key, similarity).join(involved, "class", "left_semi").dropDuplicates(["class"])
     arrays = staged(arrays, "jaccard-arrays")
 
-    near = members.where("low <> class").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()
-    near = staged(near, "jaccard-pairs")
+    near = members.where("low <> class").groupBy(F.col("class").alias("b")).agg(
+        F.array_distinct(F.array(F.min("low"), F.min_by("low", F.struct("held", "low")))).alias("a")
+    )
+    near = staged(near.select(F.explode("a").alias("a"), "b"), "jaccard-pairs")
     links = staged(linked(near, sets, arrays, similarity), "jaccard-links")
 
     known = components(links)
@@ -304,9 +328,11 @@ def similar_components(
         F.expr("bit_xor(class)").alias("x"),
     )
     # Divisions with the same classes need one comparison.
-    mixed = mixed.where("c0 <> c1 and n > 2").groupBy("n", "total", "k0", "k1", "x").agg(F.min("division").alias("division"))
-    tiles = named.join(mixed.select("division", "n"), "division").join(sets, "class")
-    rest = _cross_pairs(_blocks(tiles, tile_rows), similarity).distinct()
+    mixed = mixed.where("c0 <> c1").groupBy("n", "total", "k0", "k1", "x").agg(F.min("division").alias("division"))
+    mixed = staged(mixed, "jaccard-mixed")
+    tiles = named.join(mixed.where("n > 2").select("division", "n"), "division").join(sets, "class")
+    twos = mixed.where("n = 2").select(F.col("k0").alias("a"), F.col("k1").alias("b"))
+    rest = _cross_pairs(_blocks(tiles, tile_rows), similarity).union(twos).distinct()
     rest = staged(rest.join(near, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
         more = staged(linked(rest, sets, arrays, similarity), "jaccard-links")
