@@ -94,10 +94,12 @@ class CellGrid:
         )
         first_row = self._row(f"greatest(-90D, {latitude} - {reach_lat})")
         last_row = self._row(f"least(90D, {latitude} + {reach_lat})")
+        # Beyond the poles (no such place, but it may be asked) the last row alone.
+        rows = f"sequence(least({first_row}, {last_row}), {last_row})"
         first, last = self._column(f"({longitude} - _reach)"), self._column(f"({longitude} + _reach)")
         # Two explodes instead of a nested transform keep this inside codegen.
         return (
-            df.selectExpr("*", f"{reach_lon} AS _reach", f"explode(sequence({first_row}, {last_row})) AS cy")
+            df.selectExpr("*", f"{reach_lon} AS _reach", f"explode({rows}) AS cy")
             .selectExpr("*", f"{self._columns('cy')} AS _columns")
             .selectExpr("*", f"explode(sequence({first}, least({last}, {first} + _columns - 1))) AS _cx")
             .selectExpr("* EXCEPT (_reach, _columns, _cx)", "pmod(_cx, _columns) AS cx")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,10 +23,8 @@ POINT_SCHEMA = T.StructType(
 # Steps of the two-dimensional golden-ratio (R2) sequence.
 R2_STEP_X, R2_STEP_Y = 0.7548776662466927, 0.5698402909980532
 
-# Number of people whose positions bound the search: 100 per candidate wanted,
-# up to a limit above which twice the wanted number has to do.
-ANCHORS_PER_CANDIDATE = 100
-MANY_ANCHORS = 20_000
+# People whose positions bound the search, per candidate wanted.
+ANCHORS_PER_CANDIDATE = 20
 
 
 def plane_minmax(pings: DataFrame, day: str | None = None) -> DataFrame:
@@ -143,7 +140,7 @@ def nearest_candidates(pings: DataFrame, targets: DataFrame, k: int | None = Non
 
 def _search_circles(people: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """Targets with a radius that is sure to hold the k nearest people."""
-    wanted = max(2 * k, min(ANCHORS_PER_CANDIDATE * k, MANY_ANCHORS), 1)
+    wanted = max(ANCHORS_PER_CANDIDATE * k, 1)
     # At most one person of each bucket, so all different. Both coordinates follow
     # the same smallest hash, so they are of one ping.
     first = "xxhash64(id, latitude, longitude)"
@@ -169,29 +166,24 @@ def _search_circles(people: DataFrame, targets: DataFrame, k: int) -> DataFrame:
 def pick_without_repeats(candidates: DataFrame) -> DataFrame:
     """(point_id, id): in order of the points, the nearest person not yet picked.
 
-    Points whose candidates are all taken get none. The turns depend on each
-    other, so one task reads the candidates in order; they number the square of
-    the points, whatever the pings, and the task holds only the picked ids.
+    Points whose candidates are all taken get none. Found in rounds: every point
+    without a person asks the nearest of its candidates that no earlier point
+    holds, a person stays with the earliest point that asks, and who is displaced
+    asks on. A person only ever passes to an earlier point, so this ends in the
+    pick by turns. Each round is a join and an aggregation over the candidates.
     """
-    ordered = (
-        candidates.select("point_id", "nearest_rank", "id")
-        .repartition(1)
-        .sortWithinPartitions("point_id", "nearest_rank")
-    )
-    return ordered.mapInPandas(_pick_in_order, "point_id int, id string")
-
-
-def _pick_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    taken: set[str] = set()
-    served = None
-    for batch in batches:
-        picks = []
-        for point, person in zip(batch["point_id"], batch["id"]):
-            if point != served and person not in taken:
-                taken.add(person)
-                served = point
-                picks.append((point, person))
-        yield pd.DataFrame(picks, columns=["point_id", "id"]).astype({"point_id": "int32"})
+    asked = staged(candidates.select("point_id", "nearest_rank", "id"), "pick-candidates")
+    held = asked.where("false").select("id", F.col("point_id").alias("holder"))
+    while True:
+        free = asked.join(held, "id", "left").where("holder IS NULL OR holder > point_id")
+        without = free.join(held.selectExpr("holder AS point_id"), "point_id", "left_anti")
+        asks = staged(
+            without.groupBy("point_id").agg(F.expr("min_by(id, nearest_rank) AS id")), "pick-asks"
+        )
+        if asks.isEmpty():
+            return held.selectExpr("holder AS point_id", "id")
+        both = held.union(asks.selectExpr("id", "point_id AS holder"))
+        held = staged(both.groupBy("id").agg(F.expr("min(holder) AS holder")), "pick-held")
 
 
 def balanced_sample(pings: DataFrame, points: DataFrame, plane: DataFrame | None = None) -> DataFrame:

@@ -23,6 +23,8 @@ STAY_COLUMNS = [
 
 # A person-day with more pings than this is worked on by several tasks.
 SPLIT_ABOVE = 5_000_000
+# Sampled pings by which a person-day of that size is known.
+PROBE_PINGS = 1_000
 
 
 def stays(pings: DataFrame, split_above: int | None = SPLIT_ABOVE) -> DataFrame:
@@ -33,10 +35,11 @@ def stays(pings: DataFrame, split_above: int | None = SPLIT_ABOVE) -> DataFrame:
     the stays of a person-day from 1. Pings at the same time are taken in order
     of their position.
 
-    One shuffle by person and day, one sort. Person-days of more than
-    `split_above` pings, counted beforehand, are taken apart from the others and
-    cut into time slices that are worked on separately and then joined up; None
-    leaves out the count.
+    One shuffle by person and day, one sort. Person-days of about `split_above`
+    pings or more, found by a sample of the rows, are taken apart from the others
+    and cut into time slices that are worked on separately and then joined up;
+    None leaves out the sample. The result does not depend on it. Pings without
+    time come first, ordered by their position.
     """
     if split_above is not None:
         busy = _busy_person_days(pings, split_above, "ts")
@@ -83,14 +86,21 @@ def _numbered(stays: DataFrame, group: list[str], before: str) -> DataFrame:
 
 
 def _plain_stays(pings: DataFrame) -> DataFrame:
-    weighted = pings.selectExpr("id", "iso_date", "latitude", "longitude", "ts", "1L AS n")
+    weighted = _one_zero(pings).selectExpr("*", "1L AS n")
     return _runs(weighted, PERSON_DAY).select(*STAY_COLUMNS)
 
 
+def _one_zero(pings: DataFrame) -> DataFrame:
+    """The columns of stays, with -0.0 as 0.0: equal places must also sort as equal."""
+    return pings.selectExpr("id", "iso_date", "latitude + 0D AS latitude", "longitude + 0D AS longitude", "ts")
+
+
 def _runs(pings: DataFrame, group: list[str]) -> DataFrame:
     """Runs of equal position within each group of weighted pings (`n` copies each)."""
     in_time = f"(PARTITION BY {', '.join(group)} ORDER BY ts, latitude, longitude"
+    # The first of a group has moved, also where it has no position.
     unmoved = (
+        f"lag(n) OVER {in_time}) IS NOT NULL AND "
         f"lag(latitude) OVER {in_time}) <=> latitude AND lag(longitude) OVER {in_time}) <=> longitude"
     )
     so_far = f"{in_time} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -109,13 +119,18 @@ def _collapse(rows: DataFrame, group: list[str], start: str, end: str, n: str) -
 
 
 def _busy_person_days(rows: DataFrame, split_above: int, time: str) -> DataFrame | None:
-    """Person-days above the limit, with their time span and number of slices; None if none.
+    """Person-days near or above the limit, with their time span and number of slices; None if none.
 
-    Written out, since several parts of a plan must read the same spans.
+    A sample tells which; rows without person or day stay with the others. Written
+    out, since several parts of a plan must read the same spans.
     """
-    counts = rows.groupBy(*PERSON_DAY).agg(F.expr("count(*) AS n")).where(f"n > {split_above}")
+    share = min(1.0, PROBE_PINGS / split_above)
+    probe = rows.select(*PERSON_DAY).na.drop()
+    probe = probe.sample(share, seed=1) if share < 1 else probe
+    counts = probe.groupBy(*PERSON_DAY).agg(F.expr("count(*) AS n")).where(f"n > {split_above * share}")
     if counts.isEmpty():
         return None
+    counts = staged(counts, "busy-probe")
     spans = (
         rows.join(broadcast_if_small(counts), PERSON_DAY)
         .groupBy(*PERSON_DAY)
@@ -129,7 +144,8 @@ def _busy_person_days(rows: DataFrame, split_above: int, time: str) -> DataFrame
 
 
 def _slice_of(time: str) -> str:
-    return f"floor(({micros(time)} - first) * slices / (last - first + 1))"
+    """Slice number from 0; rows without time are a slice of their own before it, as they sort first."""
+    return f"coalesce(floor(({micros(time)} - first) * slices / (last - first + 1)), -1L)"
 
 
 def _stays_of_slices(pings: DataFrame, busy: DataFrame) -> DataFrame:
@@ -140,7 +156,8 @@ def _stays_of_slices(pings: DataFrame, busy: DataFrame) -> DataFrame:
     position) tells how the numbering goes on and whether a run crosses the cut.
     """
     sliced = (
-        pings.join(busy, PERSON_DAY)
+        _one_zero(pings)
+        .join(busy, PERSON_DAY)
         .groupBy(*PERSON_DAY, "latitude", "longitude", "ts", F.expr(f"{_slice_of('ts')} AS slice"))
         .agg(F.expr("count(*) AS n"))
     )
@@ -154,7 +171,7 @@ def _stays_of_slices(pings: DataFrame, busy: DataFrame) -> DataFrame:
     )
     in_order = "(PARTITION BY id, iso_date ORDER BY slice)"
     starts = ends.selectExpr(
-        "*", f"coalesce(cast(lag(tail) OVER {in_order} = head AS int), 0) AS goes_on"
+        "*", f"cast(lag(runs) OVER {in_order} IS NOT NULL AND lag(tail) OVER {in_order} <=> head AS int) AS goes_on"
     ).selectExpr(*PERSON_DAY, "slice", f"sum(runs - goes_on) OVER {in_order} - runs AS before")
     renumbered = runs.join(starts, [*PERSON_DAY, "slice"]).withColumn(
         "track_position_counter", F.expr("cast(track_position_counter + before AS int)")

@@ -8,8 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pingtrace.functions.geo import number
-from pingtrace.operators.cohorts import keep_ids
+from pingtrace.functions.geo import CellGrid, number
 from pingtrace.operators.contacts import (
     BLOCK_ROWS,
     EXPOSURE_DISTANCE_M,
@@ -20,9 +19,9 @@ from pingtrace.operators.contacts import (
     with_length,
 )
 from pingtrace.operators.exposure import EXPOSURE_MINUTES, exposed_session, exposed_total
-from pingtrace.operators.stays import stays
+from pingtrace.operators.stays import cohort_stays, stays
 from pingtrace.operators.summaries import ping_totals
-from pingtrace.sources.staging import new_folder, staged
+from pingtrace.sources.staging import broadcast_if_small, new_folder, staged
 
 REACHED_SCHEMA = "id string, first_day int, hop int"
 
@@ -42,12 +41,22 @@ def all_contact_edges(
 def cohort_contacts(pings: DataFrame, cohort: DataFrame, overlapping: bool = True) -> DataFrame:
     """Close contacts of a cohort with everyone else, from pings.
 
-    Stays and cohort are each used more than once, so they are written out first.
+    The cohort's stays come first; of the others only person-days with a ping in
+    a grid cell within reach of these are shuffled into stays, whole, so that
+    their stays keep their numbers.
     """
-    table = stays(pings)
-    table = staged(with_length(table) if overlapping else table, "stays")
     members = staged(cohort.select("id").distinct(), "cohort")
-    return close_contacts(keep_ids(table, members), table, members, overlapping=overlapping)
+    mine = cohort_stays(pings, members)
+    mine = staged(with_length(mine) if overlapping else mine, "cohort-stays")
+    grid = CellGrid(EXPOSURE_DISTANCE_M)
+    reach = grid.with_reached_cells(mine, "latitude", "longitude").select("iso_date", "cy", "cx").distinct()
+    reach = staged(reach, "cohort-cells")
+    homes = grid.with_home_cell(pings.select("id", "iso_date", "latitude", "longitude"), "latitude", "longitude")
+    near = homes.join(broadcast_if_small(reach), ["iso_date", "cy", "cx"], "left_semi")
+    near = staged(near.select("id", "iso_date").distinct(), "near-person-days")
+    others = stays(pings.join(broadcast_if_small(near), ["id", "iso_date"], "left_semi"))
+    others = staged(with_length(others) if overlapping else others, "near-stays")
+    return close_contacts(mine, others, members, overlapping=overlapping)
 
 
 def cohort_exposure(
@@ -94,8 +103,8 @@ def exposure_cascade(
 
     def newcomers(date: datetime.date, reached: DataFrame) -> DataFrame:
         present = with_length(stays.where(f"iso_date = date '{date}'"))
-        # A plain join, used twice: `reached` is a written table whose size Spark knows.
-        marked = present.join(reached.select("id", "hop"), "id", "left")
+        # Used on both sides, so the marked day is written once.
+        marked = staged(present.join(reached.select("id", "hop"), "id", "left"), "cascade-day")
         pairs = near_pairs(
             marked.where("hop IS NOT NULL"),
             marked.where("hop IS NULL"),

@@ -14,7 +14,7 @@ PING_SCHEMA = T.StructType(
         T.StructField("id", T.StringType()),
         T.StructField("latitude", T.DoubleType()),
         T.StructField("longitude", T.DoubleType()),
-        T.StructField("ts", T.TimestampType()),
+        T.StructField("ts", T.TimestampNTZType()),
         T.StructField("iso_date", T.DateType()),
     ]
 )
@@ -41,24 +41,27 @@ def normalise_pings(
     """Bring any ping-like frame to (id, latitude, longitude, ts, iso_date).
 
     Times may be timestamps, with or without zone, numbers of seconds, or text;
-    what cannot be read as a time counts as missing. Rows without id, time or
-    position are left out, for they can be placed nowhere. Without a day column
-    (`day=None`) the day is the date of the time.
+    they become timestamps without zone, those with one as the session's clock
+    shows them. What cannot be read as a time, day or number counts as missing.
+    Rows without id, time, day or position are left out, for they can be placed
+    nowhere, and so are positions that are not finite or beyond 90 degrees of
+    latitude or 180 of longitude. Without a day column (`day=None`) the day is
+    the date of the time.
     """
     kind = df.schema[timestamp].dataType
     ts = F.col(timestamp)
-    if isinstance(kind, T.StringType):
+    if not isinstance(kind, (T.StringType, T.TimestampType, T.TimestampNTZType)):
         ts = ts.try_cast("timestamp")
-    elif not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        ts = ts.cast("timestamp")
+    ts = ts.try_cast("timestamp_ntz")
     out = df.select(
         F.col(id).cast("string").alias("id"),
         F.col(latitude).try_cast("double").alias("latitude"),
         F.col(longitude).try_cast("double").alias("longitude"),
         ts.alias("ts"),
-        (F.to_date(ts) if day is None else F.col(day).cast("date")).alias("iso_date"),
+        (F.to_date(ts) if day is None else F.col(day).try_cast("date")).alias("iso_date"),
     )
-    placed = ~F.isnan("latitude") & ~F.isnan("longitude")
+    # NaN is above every number and fails this too.
+    placed = F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180)
     return out.na.drop(subset=["id", "latitude", "longitude", "ts", "iso_date"]).where(placed)
 
 

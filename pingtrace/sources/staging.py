@@ -55,6 +55,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     A larger frame is returned without the request, so Spark shuffles it (and
     splits skewed partitions of the other side).
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
+    if df.count() <= max_rows:
         return F.broadcast(df)
     return df

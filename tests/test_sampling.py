@@ -137,3 +137,18 @@ def test_unit_points_and_targets(spark):
 def test_points_are_checked_against_their_schema(spark):
     with pytest.raises(Exception):
         sampling.points_from_rows(spark, [("one", 0.0, 0.0)])
+
+
+def test_many_picks_equal_the_turns_one_by_one(spark):
+    rng = random.Random(9)
+    wanted = {i: rng.sample(range(2500), 12) for i in range(1, 2001)}
+    rows = [(i, rank, str(p)) for i, people in wanted.items() for rank, p in enumerate(people, 1)]
+    table = spark.createDataFrame(rows, "point_id int, nearest_rank int, id string")
+    taken, expected = set(), {}
+    for i, people in wanted.items():
+        for p in people:
+            if p not in taken:
+                taken.add(p)
+                expected[i] = str(p)
+                break
+    assert {r["point_id"]: r["id"] for r in sampling.pick_without_repeats(table).collect()} == expected

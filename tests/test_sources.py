@@ -4,9 +4,10 @@ import pytest
 from helpers import DAY, at, ping, pings
 from pyspark.sql import functions as F
 
+from pingtrace.functions.geo import CellGrid
 from pingtrace.operators.cohorts import drop_ids, keep_ids
 from pingtrace.sources import results, staging
-from pingtrace.sources.pings import day_slice, normalise_pings, read_parquet, read_pings, write_pings
+from pingtrace.sources.pings import PING_SCHEMA, day_slice, normalise_pings, read_parquet, read_pings, write_pings
 
 NEXT = DAY + datetime.timedelta(days=1)
 
@@ -60,7 +61,7 @@ def test_normalising(spark):
     found = normalise_pings(raw, id="who", latitude="lat", longitude="lon", timestamp="moment", day="date")
     (row,) = found.collect()
     assert tuple(row) == ("1", 40.5, -3.0, at("10:00:00"), DAY)
-    assert [f.dataType.simpleString() for f in found.schema] == ["string", "double", "double", "timestamp", "date"]
+    assert [f.dataType.simpleString() for f in found.schema] == ["string", "double", "double", "timestamp_ntz", "date"]
 
 
 def test_normalising_numbers_and_days_from_times(spark):
@@ -114,3 +115,22 @@ def test_cohorts_of_any_size(spark, limit, monkeypatch):
     assert sorted(r["id"] for r in keep_ids(table, cohort).collect()) == ["a", "a"]
     assert sorted(r["id"] for r in drop_ids(table, cohort).collect()) == ["b", "c"]
     assert drop_ids(table, cohort.limit(0)).count() == 4
+
+
+def test_impossible_positions_and_unreadable_values_are_left_out(spark):
+    infinite = float("inf")
+    rows = [("a", 10.0, 20.0, "2024-01-01 10:00:00", "2024-01-01"), ("b", 91.0, 0.0, "2024-01-01 10:00:00", "2024-01-01"),
+            ("c", 200.0, 0.0, "2024-01-01 10:00:00", "2024-01-01"), ("d", infinite, 0.0, "2024-01-01 10:00:00", "2024-01-01"),
+            ("e", 0.0, 1e6, "2024-01-01 10:00:00", "2024-01-01"), ("f", float("nan"), 0.0, "2024-01-01 10:00:00", "2024-01-01"),
+            ("g", 90.0, -180.0, "2024-01-01 10:00:00", "2024-01-01"), ("h", 1.0, 1.0, "no time", "2024-01-01"),
+            ("i", 1.0, 1.0, "2024-01-01 10:00:00", "no day")]
+    frame = spark.createDataFrame(rows, "id string, latitude double, longitude double, timestamp string, iso_date string")
+    found = normalise_pings(frame)
+    assert sorted(r["id"] for r in found.collect()) == ["a", "g"]
+    assert found.schema.simpleString() == PING_SCHEMA.simpleString()
+
+
+def test_a_position_beyond_the_pole_is_copied_once(spark):
+    frame = spark.createDataFrame([(lat, 0.0) for lat in (40.0, 91.0, 200.0, -500.0)], "latitude double, longitude double")
+    counts = CellGrid(10.0).with_reached_cells(frame, "latitude", "longitude").groupBy("latitude").count().collect()
+    assert max(r["count"] for r in counts if abs(r["latitude"]) < 90) <= 9

@@ -3,6 +3,7 @@ import random
 
 from helpers import DAY, at, collected_runs, ids, ping, pings, runs
 
+from pingtrace.operators import stays as stays_module
 from pingtrace.operators.stays import cohort_stays, stay_sequence, stays
 
 A, B = (40.0, -3.7), (40.1, -3.7)
@@ -94,3 +95,44 @@ def test_plain_plan_shuffles_and_sorts_once(spark):
     initial = plan.split("Initial Plan")[-1]
     assert initial.count("Exchange hashpartitioning") == 1
     assert initial.count("Sort [") == 1
+
+
+def _odd_pings():
+    """Null times and positions, NaN, both zeros, and equal times, of a busy and some other people."""
+    rng = random.Random(11)
+    values = [0.0, -0.0, 40.0, float("nan"), None]
+    rows = []
+    for k in range(300):
+        time = None if rng.random() < 0.2 else at(f"{rng.randrange(4):02}:00:{rng.randrange(60):02}")
+        id = rng.choice(["p", "p", "q", None])
+        rows.append((id, rng.choice(values), rng.choice(values), time, DAY if k % 50 else None))
+    return rows
+
+
+def _as_text(frame):
+    return sorted(str(tuple(r)).replace("-0.0", "0.0") for r in frame.collect())
+
+
+def test_the_limit_for_splitting_does_not_change_the_result(spark):
+    rows = _odd_pings()
+    plain = stays(pings(spark, rows), split_above=None)
+    expected = _as_text(plain)
+    assert sum(r["tot_evts"] for r in plain.collect()) == len(rows)
+    for limit in (1, 7, 100, 10_000):
+        assert _as_text(stays(pings(spark, rows), split_above=limit)) == expected
+
+
+def test_the_limit_does_not_change_the_sequence(spark):
+    table = stays(pings(spark, _odd_pings()), split_above=None).drop("track_position_counter")
+    distinct = table.dropDuplicates(["id", "iso_date", "start_position_time", "latitude", "longitude"])
+    distinct.cache()
+    expected = _as_text(stay_sequence(distinct, None))
+    for limit in (1, 7, 10_000):
+        assert _as_text(stay_sequence(distinct, limit)) == expected
+    distinct.unpersist()
+
+
+def test_a_sampled_probe_finds_the_busy_person_day(spark, monkeypatch):
+    monkeypatch.setattr(stays_module, "PROBE_PINGS", 20)
+    rows = _random_pings(6)
+    assert collected_runs(stays(pings(spark, rows), split_above=100)) == runs(rows)
