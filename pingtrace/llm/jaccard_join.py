@@ -32,6 +32,7 @@ Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +49,7 @@ from pingtrace.sources.staging import staged
 LEAST_BITS, MOST_BITS = 1024, 1 << 16
 SLACK = 0.18  # parts beyond the bound, as a share of it, for parts without n-grams
 TILE_ROWS = 1024
+ARRAY_ROWS = 256
 BROADCAST_ROWS = 200_000
 _U = np.uint64
 _SHORT = 0xA0761D6478BD642F
@@ -202,12 +204,24 @@ def _folded(signatures: list[bytes], n_bytes: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint64).reshape(-1, n_bytes // 8)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While rows with whole arrays go to Python: few of them at once, whatever the arrays' sizes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ARRAY_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _side(frame: DataFrame, name: str) -> DataFrame:
     return frame.select(*[F.col(c).alias(name if c == "class" else f"{c}_{name}") for c in frame.columns])
 
 
 def linked(pairs: DataFrame, sets: DataFrame, arrays: DataFrame, similarity: Similarity) -> DataFrame:
-    """Those pairs (a, b) of classes that are similar: signatures first, then the arrays."""
+    """Those pairs (a, b) of classes that are similar, staged: signatures first, then the arrays."""
 
     def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +248,9 @@ def linked(pairs: DataFrame, sets: DataFrame, arrays: DataFrame, similarity: Sim
     passed = marked.select("a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(may_be, "a bigint, b bigint")
     passed = staged(passed, "jaccard-passed")
     exact = passed.join(_side(arrays, "a"), "a").join(_side(arrays, "b"), "b")
-    return exact.select("a", "b", "grams_a", "grams_b").mapInArrow(are, "a bigint, b bigint")
+    exact = exact.select("a", "b", "grams_a", "grams_b").mapInArrow(are, "a bigint, b bigint")
+    with _small_batches(pairs.sparkSession):
+        return staged(exact, "jaccard-links")
 
 
 def _cross_pairs(tiles: DataFrame, similarity: Similarity) -> DataFrame:
@@ -312,7 +328,7 @@ def similar_components(
         F.array_distinct(F.array(F.min("low"), F.min_by("low", F.struct("held", "low")))).alias("a")
     )
     near = staged(near.select(F.explode("a").alias("a"), "b"), "jaccard-pairs")
-    links = staged(linked(near, sets, arrays, similarity), "jaccard-links")
+    links = linked(near, sets, arrays, similarity)
 
     known = components(links)
     named = members.select("division", "class").join(known.withColumnRenamed("node", "class"), "class", "left")
@@ -335,8 +351,7 @@ def similar_components(
     rest = _cross_pairs(_blocks(tiles, tile_rows), similarity).union(twos).distinct()
     rest = staged(rest.join(near, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        more = staged(linked(rest, sets, arrays, similarity), "jaccard-links")
-        known = components(links.union(more))
+        known = components(links.union(linked(rest, sets, arrays, similarity)))
 
     classes = rows.where("size > 0").groupBy("class").agg(F.min(key).alias("lowest"))
     classes = classes.join(known.withColumnRenamed("node", "class"), "class", "left")
