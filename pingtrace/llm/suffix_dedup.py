@@ -263,24 +263,23 @@ def removals(
     most_contexts: int = MOST_CONTEXTS,
 ) -> DataFrame:
     """(h1, h2, begin, end): byte ranges to remove, possibly overlapping, by the rows' identity."""
-    met = _anchor_rows(docs, key, length, gram).repartition("anchor")
-    contents = met.groupBy("anchor", "content").agg(
-        F.count("*").alias("n"), F.min(F.struct(F.col("order").isNotNull(), "order", "h1", "h2", "low")).alias("first")
-    )
-    by_anchor = contents.groupBy("anchor").agg(
-        F.sum("n").alias("met"), F.count("*").alias("kinds"), F.min("n").alias("least")
-    )
-    repeated = by_anchor.where("met > 1").join(contents, "anchor").withColumnRenamed("anchor", "_anchor")
-    repeated = repeated.withColumnRenamed("content", "_content")
-    same = (F.col("anchor") == F.col("_anchor")) & (F.col("content") == F.col("_content"))
-    rows = staged(met.join(repeated, same).drop("_anchor", "_content"), "suffix-anchors")
+    met = _anchor_rows(docs, key, length, gram)
+    often = met.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1")
+    rows = staged(met.join(often, "anchor", "left_semi"), "suffix-anchors")
 
-    place = F.struct(F.col("order").isNotNull(), "order", "h1", "h2", "low")
-    again = rows.where((F.col("n") > 1) & (place > F.col("first") if keep_first else F.lit(True)))
+    place = F.struct(F.col("order").isNotNull(), "order", "h1", "h2", "low", "high")
+    contents = rows.groupBy("anchor", "content").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    contents = staged(contents, "suffix-contents")
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least"))
+
+    again = rows.join(contents.where("n > 1"), ["anchor", "content"])
+    again = again.where(place > F.col("first")) if keep_first else again
     whole = again.select("h1", "h2", F.col("low").alias("begin"), (F.col("high") + length).alias("end"))
 
-    differ = rows.where((F.col("kinds") > 1) & (F.lit(True) if keep_first else F.col("least") == 1))
-    chosen = differ.where(place == F.col("first")).withColumn("single", F.col("n") == 1)
+    differ = F.col("kinds") > 1 if keep_first else (F.col("kinds") > 1) & (F.col("least") == 1)
+    chosen = contents.join(kinds.where(differ), "anchor").select(
+        "anchor", "content", "kinds", (F.col("n") == 1).alias("single"), *[F.col(f"first.{c}") for c in ("order", "h1", "h2", "low", "high")]
+    )
     few = _contexts(docs, chosen.where(F.col("kinds") <= most_contexts), key, length)
     found = whole.union(_in_suffix_order(few, length, keep_first))
     crowded = chosen.where(F.col("kinds") > most_contexts)
