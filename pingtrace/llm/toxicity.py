@@ -62,26 +62,27 @@ _SIGNS = re.compile(r"[^\w\s]|_")
 _PORTION = 1 << 19
 
 
-def _letter_codes() -> np.ndarray:
-    """Class of each character below 0x250: letters and digits 0..ALPHABET-1, white space, or dropped."""
-    codes = np.full(0x250, _OUT, np.uint8)
-    for c in range(0x250):
-        if chr(c).isspace():
-            codes[c] = _BLANK
-        elif chr(c).isalnum():
-            codes[c] = c - 97 if 97 <= c < 123 else 26 + c % (ALPHABET - 26)
-    return codes
+def _letter_code(c: int) -> int:
+    """Class of a character: letters and digits 0..ALPHABET-1, white space, or dropped."""
+    if chr(c).isspace():
+        return _BLANK
+    if not chr(c).isalnum():
+        return _OUT
+    return c - 97 if 97 <= c < 123 else 26 + c % (ALPHABET - 26)
 
 
-_CODES = _letter_codes()
+_NEAR = 0x250
+_CODES = np.array([_letter_code(c) for c in range(_NEAR)], np.uint8)
 
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Letter classes of all words end to end, where each word begins (and the end), and each word's text."""
     points = np.frombuffer("\n".join(t.lower().replace("\n", " ") for t in texts).encode("utf-32-le"), np.uint32)
-    codes = _CODES[np.minimum(points, 0x24F)]
-    wide = np.flatnonzero(points >= 0x250)
-    codes[wide] = 26 + points[wide] % (ALPHABET - 26)
+    codes = _CODES[np.minimum(points, _NEAR - 1)]
+    wide = np.flatnonzero(points >= _NEAR)
+    if len(wide):
+        different, which = np.unique(points[wide], return_inverse=True)
+        codes[wide] = np.array([_letter_code(c) for c in different.tolist()], np.uint8)[which]
     text_end = points == 10
     kept = codes != _OUT
     codes, text_end = codes[kept], text_end[kept]
