@@ -164,9 +164,10 @@ def align(item: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _candidates(at, low, high, owner, bounds, block: Block):
-    """(item, document, first and last word of the window) of every candidate place, merged where they overlap."""
-    entries = np.repeat(low, high - low) + (np.arange((high - low).sum()) - np.repeat(np.cumsum(high - low) - (high - low), high - low))
-    at = np.repeat(at, high - low)
+    """(item, document, first word and end of the window) of every candidate place, merged where nearly equal."""
+    times = high - low
+    entries = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    at = np.repeat(at, times)
     item, place = block.item[entries], block.place[entries]
     sizes = np.diff(block.bounds)[item]
     slack = np.maximum(4, sizes // 4)
@@ -177,13 +178,13 @@ def _candidates(at, low, high, owner, bounds, block: Block):
     item, doc, begin, end = item[order], doc[order], begin[order], end[order]
     # Windows of equal diagonal or nearly so are one; others stay apart, so none grows beyond 2 items.
     fresh = np.ones(len(item), dtype=bool)
-    fresh[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] - begin[:-1] > np.maximum(4, np.diff(block.bounds)[item[1:]] // 4))
+    near = np.maximum(4, np.diff(block.bounds)[item[1:]] // 4)
+    fresh[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(begin) > near)
     group = np.cumsum(fresh) - 1
     first = np.flatnonzero(fresh)
     last = np.zeros(len(first), np.int64)
     np.maximum.at(last, group, end)
-    hits = np.bincount(group, minlength=len(first))
-    return item[first], doc[first], begin[first], last, hits
+    return item[first], doc[first], begin[first], last
 
 
 def _matches(words, bounds, block: Block):
@@ -191,7 +192,7 @@ def _matches(words, bounds, block: Block):
     at, low, high, owner = _hits(words, bounds, block.grams, block.lengths())
     if not len(at):
         return []
-    item, doc, begin, end, _ = _candidates(at, low, high, owner, bounds, block)
+    item, doc, begin, end = _candidates(at, low, high, owner, bounds, block)
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
     for i in np.unique(item):
         mine = np.flatnonzero(item == i)
