@@ -399,3 +399,31 @@ def keep_first(docs: DataFrame, similarity: Similarity, key: str = "doc_id") ->
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar_components(table(spark, sf_dir, "documents"), Similarity(n=3, percent=90))
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+#: The same by meeting documents on every n-gram and following links to the smallest id.
+ORACLE_SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) > 2 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))
+                      WHEN len(w) > 0 THEN [w] ELSE [] END AS grams
+  FROM split
+),
+held AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM held a JOIN held b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION
+  SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other
+)
+SELECT s.doc_id, cast(len(s.grams) AS bigint) AS n_shingles, min(r.other) AS component_id
+FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.grams
+"""

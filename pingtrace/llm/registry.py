@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pingtrace.llm import mixing
+from pingtrace.llm import jaccard_join, mixing
 from pingtrace.llm.decontamination import op1_benchmark_decontamination
-from pingtrace.llm.jaccard_join import op3_jaccard_join
 from pingtrace.llm.pii import op8_pii
 from pingtrace.llm.quality_classifier import op9_quality_classifier
 from pingtrace.llm.quality_rules import op10_quality_rules
@@ -16,7 +15,7 @@ from pingtrace.llm.toxicity import op5_toxicity
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_source_mixing": mixing.op2_source_mixing,
-    "op3_jaccard_join": op3_jaccard_join,
+    "op3_jaccard_join": jaccard_join.op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
     "op6_suffix_dedup": op6_suffix_dedup,
@@ -28,4 +27,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_source_mixing": mixing.ORACLE_SQL,
+    "op3_jaccard_join": jaccard_join.ORACLE_SQL,
 }

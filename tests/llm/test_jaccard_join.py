@@ -2,11 +2,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import oracle
 import pytest
 from text_fixtures import SF_DIR, documents, odd_rows
 
 from pingtrace.llm.components import components
-from pingtrace.llm.jaccard_join import Similarity, keep_first, op3_jaccard_join, similar_components
+from pingtrace.llm.jaccard_join import ORACLE_SQL, Similarity, keep_first, op3_jaccard_join, similar_components
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -66,6 +67,12 @@ def test_query(spark):
     assert Counter(map(tuple, op3_jaccard_join(spark, SF_DIR).collect())) == plain(rows, 3, 90)[0]
 
 
+def test_query_equals_its_sql(spark):
+    frame = op3_jaccard_join(spark, SF_DIR)
+    expected, missing, extra = oracle.differences(frame, oracle.connect(SF_DIR), ORACLE_SQL)
+    assert expected and not missing and not extra
+
+
 def test_similar_sets_share_a_division():
     """The tiles' promise, for sizes on both sides of every band's edge."""
     import numpy as np
