@@ -2,21 +2,23 @@
 
 1. Every n-gram of words of the test items is counted in the corpus: in how many
    documents it occurs. Partitions count on their own and the counts are summed.
-2. Of each item the rarer half of its n-grams (ties included) are its seeds.
-3. Every document is searched for the seeds. Hits of one item within the item's
-   length are a candidate place, and the words around it are aligned with the
-   item's words by Smith-Waterman (match 2, mismatch and gap -1), which scores
-   copies with replaced, dropped or inserted words. The score is the alignment's
-   share of the item's own, so 1 is a whole copy.
+2. An alignment that scores LEAST_SCORE holds at least `hits` of its item's n-grams
+   whole, however its edits lie (`_needs`). So all n-grams that occur are seeds but
+   for the `hits` - 1 most frequent: an alignment cannot do with those alone.
+3. Every document is searched for the seeds. A seed with so many n-grams of its item
+   around it, as far as an alignment can reach, is a candidate place, and the words
+   within that reach are aligned with the item's words by Smith-Waterman (match 2,
+   mismatch and gap -1), which scores copies with replaced, dropped or inserted
+   words. The score is the alignment's share of the item's own, so 1 is a whole
+   copy. No alignment of LEAST_SCORE is missed.
 
 The items travel to the tasks in blocks of at most BLOCK_GRAMS n-grams, so the
 corpus is passed over once per block and step; nothing of the documents comes to
 the driver, and no document is shuffled.
 
-Defined results: words are lower-cased (A-Z) runs without ASCII white space; an
-item of fewer than SEED_WORDS words has one seed, all its words; null and blank
-items match nothing; equal items are aligned each; null and empty documents match
-nothing; repeated rows and null ids are judged each. Extra columns are not read.
+Defined results: words are lower-cased (A-Z) runs without ASCII white space; null
+and blank items match nothing; equal items are aligned each; null and empty documents
+match nothing; repeated rows and null ids are judged each. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -32,30 +34,42 @@ from pyspark.sql import functions as F
 from pingtrace.llm.arrays import LOWER, gram_hashes, portions, utf8, word_hashes
 from pingtrace.llm.inputs import table
 
-SEED_WORDS = 3
 BLOCK_GRAMS = 500_000
 LEAST_SCORE = 0.6
 MATCH, MISS, GAP = 2, -1, -1
 _CELLS = 2_000_000
 
 
-def _grams(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text and place of every n-gram; a text of fewer words is one n-gram."""
+def _needs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of items of so many words: the words of an n-gram, how many n-grams an alignment of LEAST_SCORE
+    holds at least, and how many words it can insert.
+
+    m matched words and e edits score 2m - e, and e edits leave at most e + 1 runs, so m - e - 1
+    pairs of neighbours. Items for which that may be none are sought by single words.
+    """
+    least = np.ceil(LEAST_SCORE * MATCH * sizes - 1e-9).astype(np.int64)
+    pairs = least - sizes - 1
+    return np.where(pairs > 0, 2, 1), np.where(pairs > 0, pairs, -(-least // MATCH)), MATCH * sizes - least
+
+
+def _grams(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text and place of every n-gram."""
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    grams = gram_hashes(words, n)
-    at = np.flatnonzero(owner[: len(grams)] == owner[n - 1 :][: len(grams)])
-    hashes, texts, places = [grams[at]], [owner[at]], [at - bounds[owner[at]]]
-    for t in np.flatnonzero((sizes > 0) & (sizes < n)):
-        hashes.append(gram_hashes(words[bounds[t] : bounds[t + 1]], int(sizes[t])))
-        texts.append([t])
-        places.append([0])
-    return np.concatenate(hashes), np.concatenate(texts).astype(np.int64), np.concatenate(places).astype(np.int64)
+    wanted = _needs(sizes)[0][owner]
+    hashes, texts, places = [], [], []
+    for n in (1, 2):
+        grams = gram_hashes(words, n)
+        at = np.flatnonzero((wanted[: len(grams)] == n) & (owner[: len(grams)] == owner[n - 1 :][: len(grams)]))
+        hashes.append(grams[at])
+        texts.append(owner[at])
+        places.append(at - bounds[owner[at]])
+    return np.concatenate(hashes), np.concatenate(texts), np.concatenate(places)
 
 
 @dataclass
 class Block:
-    """Some test items: their ids, words, and n-grams sorted by hash."""
+    """Some test items: their ids, words, and n-grams sorted by hash, with which of them are seeds."""
 
     ids: list
     words: np.ndarray
@@ -63,19 +77,20 @@ class Block:
     grams: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    seed: np.ndarray
 
     @staticmethod
     def of(ids: list, texts: list[str | None]) -> Block:
         data, offsets = utf8(pa.array(texts, pa.string()))
         words, bounds = word_hashes(LOWER[data], offsets)
-        grams, item, place = _grams(words, bounds, SEED_WORDS)
+        grams, item, place = _grams(words, bounds)
         order = np.argsort(grams, kind="stable")
-        return Block(ids, words, bounds, grams[order], item[order], place[order])
+        return Block(ids, words, bounds, grams[order], item[order], place[order], np.ones(len(order), dtype=bool))
 
     def lengths(self) -> list[int]:
-        """Word counts of n-grams that may be seeds: the usual one, and those of short items."""
+        """Word counts of the n-grams."""
         sizes = np.diff(self.bounds)
-        return sorted({SEED_WORDS, *sizes[(sizes > 0) & (sizes < SEED_WORDS)].tolist()})
+        return sorted(set(_needs(sizes[sizes > 0])[0].tolist()))
 
 
 def blocks(items: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Block]:
@@ -104,11 +119,13 @@ def _hits(words: np.ndarray, bounds: np.ndarray, grams: np.ndarray, lengths: lis
         places.append(at)
         lows.append(low[at])
         highs.append(np.searchsorted(grams, hashes[at], side="right"))
+    if not places:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), owner
     return np.concatenate(places), np.concatenate(lows), np.concatenate(highs), owner
 
 
 def rare_seeds(docs: DataFrame, block: Block) -> Block:
-    """The block with only the rarer half of each item's n-grams, by number of documents."""
+    """The block with only the n-grams that occur; seeds are all but each item's most frequent, by number of documents."""
     distinct, place = np.unique(block.grams, return_inverse=True)
     lengths = block.lengths()
 
@@ -130,13 +147,13 @@ def rare_seeds(docs: DataFrame, block: Block) -> Block:
     for row in counted.collect():
         frequency[row["gram"]] = row["n"]
     mine = frequency[place]
-    order = np.lexsort((mine, block.item))
+    order = np.lexsort((-mine, block.item))
     sizes = np.bincount(block.item, minlength=len(block.ids))
-    middle = np.cumsum(sizes) - sizes + (np.maximum(sizes, 1) - 1) // 2
-    limit = np.zeros(len(block.ids), np.int64)
-    limit[sizes > 0] = mine[order][middle[sizes > 0]]
-    keep = mine <= limit[block.item]
-    return Block(block.ids, block.words, block.bounds, block.grams[keep], block.item[keep], block.place[keep])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[block.item[order]]
+    seed = rank >= (_needs(np.diff(block.bounds))[1] - 1)[block.item]
+    keep = mine > 0
+    return Block(block.ids, block.words, block.bounds, block.grams[keep], block.item[keep], block.place[keep], seed[keep])
 
 
 def align(item: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,23 +180,48 @@ def align(item: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return best, end
 
 
+def _entries(at, low, high, keep) -> tuple[np.ndarray, np.ndarray]:
+    """Entry of the block and place in the words of all hits that `keep` of these two chooses; some at a time."""
+    found = []
+    for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(high - low) // _CELLS)) + 1):
+        times = high[some] - low[some]
+        entries = np.repeat(low[some] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        places = np.repeat(at[some], times)
+        chosen = keep(entries, places)
+        found.append((entries[chosen], places[chosen]))
+    return np.concatenate([e for e, _ in found]), np.concatenate([p for _, p in found])
+
+
 def _candidates(at, low, high, owner, bounds, block: Block):
-    """(item, document, first word and end of the window) of every candidate place, merged where nearly equal."""
-    times = high - low
-    entries = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
-    at = np.repeat(at, times)
-    item, place = block.item[entries], block.place[entries]
-    sizes = np.diff(block.bounds)[item]
-    slack = np.maximum(4, sizes // 4)
-    doc = owner[at]
+    """(item, document, first word and end of the window) of every candidate place, merged where they are near."""
+    n_docs, n_words = len(bounds) - 1, len(owner)
+    all_sizes = np.diff(block.bounds)
+    _, hits, inserted = _needs(all_sizes)
+    seeds, seed_at = _entries(at, low, high, lambda e, p: block.seed[e])
+    pairs = np.unique(block.item[seeds] * n_docs + owner[seed_at])
+    entries, places = _entries(at, low, high, lambda e, p: np.isin(block.item[e] * n_docs + owner[p], pairs))
+    # A document's word counts once for an item, so `hits` of them in reach of each other are what an alignment holds.
+    known = np.unique(block.item[entries] * n_words + places)
+    item, place = np.divmod(known, n_words)
+    last = np.arange(len(known)) + hits[item] - 1
+    whole = last < len(known)
+    last = np.minimum(last, max(len(known) - 1, 0))
+    whole &= (item[last] == item) & (owner[place[last]] == owner[place])
+    whole &= place[last] - place < (all_sizes + inserted)[item]
+    within = np.zeros(len(known) + 1, np.int64)
+    np.add.at(within, np.flatnonzero(whole), 1)
+    np.add.at(within, last[whole] + 1, -1)
+    good = np.cumsum(within)[np.searchsorted(known, block.item[seeds] * n_words + seed_at)] > 0
+    item, place, at = block.item[seeds[good]], block.place[seeds[good]], seed_at[good]
+    doc, sizes, slack = owner[at], all_sizes[item], inserted[item]
     begin = np.maximum(at - place - slack, bounds[doc])
     end = np.minimum(at - place + sizes + slack, bounds[doc + 1])
-    order = np.lexsort((begin, doc, item))
+    order = np.lexsort((begin, item))
     item, doc, begin, end = item[order], doc[order], begin[order], end[order]
-    # Windows of equal diagonal or nearly so are one; others stay apart, so none grows beyond 2 items.
+    # Windows that begin in the same stretch of two items' length are one, so none grows beyond five.
+    stretch = begin // (2 * all_sizes[item])
     fresh = np.ones(len(item), dtype=bool)
-    near = np.maximum(4, np.diff(block.bounds)[item[1:]] // 4)
-    fresh[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (np.diff(begin) > near)
+    fresh[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (stretch[1:] != stretch[:-1])
     group = np.cumsum(fresh) - 1
     first = np.flatnonzero(fresh)
     last = np.zeros(len(first), np.int64)
@@ -208,7 +250,12 @@ def _matches(words, bounds, block: Block):
             for s, d, b, e in zip(score.tolist(), doc[some].tolist(), begin[some].tolist(), stop.tolist(), strict=True):
                 if s >= LEAST_SCORE and s > found.get((d, int(i)), (0.0,))[0]:
                     found[(d, int(i))] = (s, b, b + e)
-    return [(d, i, s, b - int(bounds[d]), e - int(bounds[d])) for (d, i), (s, b, e) in sorted(found.items())]
+    result = []
+    for (d, i), (s, b, e) in sorted(found.items()):
+        # Backwards from its end, the alignment ends where it began.
+        _, back = align(block.words[block.bounds[i] : block.bounds[i + 1]][::-1], words[b:e][::-1][None])
+        result.append((d, i, s, e - int(back[0]) - int(bounds[d]), e - int(bounds[d])))
+    return result
 
 
 def _seeded(docs: DataFrame, items: DataFrame) -> list[Block]:
@@ -218,8 +265,7 @@ def _seeded(docs: DataFrame, items: DataFrame) -> list[Block]:
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
     """(`key`, item_id, score, first_word, end_word) of every document and item that align.
 
-    `score` is at least LEAST_SCORE; words are counted from 0, the end is exclusive
-    and the first word may lie a little before the copied passage.
+    `score` is at least LEAST_SCORE; words are counted from 0 and the end is exclusive.
     """
     id_kind = items.schema["item_id"].dataType.simpleString()
     kind = docs.schema[key].dataType.simpleString()

@@ -62,6 +62,51 @@ def test_against_alignment_of_everything(spark, tables):
                 assert (doc_id, item_id) not in got
 
 
+def edited(chance, words, share, kinds):
+    """A copy in which such a share of the words is replaced or dropped, or has a word put in before it."""
+    result = []
+    for k, word in enumerate(words):
+        kind = chance.choice(kinds) if chance.random() < share else "keep"
+        result += {"keep": [word], "replace": [f"r{k}"], "drop": [], "insert": [f"i{k}", word]}[kind]
+    return result
+
+
+def test_single_edited_copies(spark):
+    """Each item stands in one document only, in an edited form: found just where the full alignment accepts it."""
+    chance = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items, rows = [], []
+    kinds = (["replace"], ["insert"], ["drop"], ["replace", "insert", "drop"])
+    for size in (40, 40, 25, 15, 6, 5, 3, 2):
+        for share in (0.15, 0.2, 0.25):
+            for kind in kinds:
+                words = chance.choices(vocabulary, k=size)
+                rows.append((len(items), " ".join(chance.choices(vocabulary, k=50) + edited(chance, words, share, kind))))
+                items.append(" ".join(words))
+    for step in (3, 4, 5):  # every so many words replaced
+        words = chance.choices(vocabulary, k=40)
+        rows.append((len(items), " ".join(w if k % step else f"r{k}" for k, w in enumerate(words))))
+        items.append(" ".join(words))
+    for most in (12, 28, 31, 33):  # words put in between almost all
+        words = chance.choices(vocabulary, k=40)
+        rows.append((len(items), " ".join(f"i{k} {w}" if 0 < k <= most else w for k, w in enumerate(words))))
+        items.append(" ".join(words))
+    found = {(r.doc_id, r.item_id): r for r in contaminated(documents(spark, rows), benchmark(spark, items)).collect()}
+    qualifying = 0
+    for k, text in rows:
+        item = items[k].split()
+        score = plain_score(item, text.split()) / (2 * len(item))
+        qualifying += score >= LEAST_SCORE
+        assert ((k, k) in found) == (score >= LEAST_SCORE)
+        if score >= LEAST_SCORE:
+            row = found[(k, k)]
+            assert row.score == pytest.approx(score)
+            passage = text.split()[row.first_word : row.end_word]
+            assert passage[0] in item and passage[-1] in item
+            assert plain_score(item, passage) / (2 * len(item)) == pytest.approx(score)
+    assert qualifying > 60
+
+
 def test_blocks_do_not_matter(spark, tables, monkeypatch):
     rows, items = tables
     frame, table = documents(spark, rows), benchmark(spark, items)
