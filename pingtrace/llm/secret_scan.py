@@ -44,6 +44,16 @@ class Rule:
 _ASSIGN = (
     r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 )
+# A key goes to its END line if no other line of dashes comes first; else as far as its lines of base64 go, with the
+# headers of an encrypted key before them. Lines may be quoted, indented or parted by a written \\n.
+_PARTED = r"(?:[\s\"'+>|#*;,]|\\[nrt]?+)*+"
+_PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    rf"|(?:{_PARTED}(?:Proc-Type|DEK-Info):\x20?+[A-Za-z0-9,-]++)*+"
+    rf"(?:{_PARTED}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
+    rf"(?:(?<=[A-Za-z0-9+/]{{16}}){_PARTED}[A-Za-z0-9+/]++(?:={{1,2}}+|(?=[\x20\t\"',]*+(?:[\r\n\\]|$))))?+)"
+)
 RULES = (
     Rule("assign", _ASSIGN, lambda m: F.length(F.regexp_extract(m, _ASSIGN, 2)) >= 6, base=True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
@@ -52,8 +62,8 @@ RULES = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("live_key", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("signed_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    Rule("login_in_url", r"[a-z]{3,10}://[^\s/:@]{1,64}:[^\s/@]{1,64}@"),
+    Rule("private_key", _PRIVATE_KEY),
+    Rule("login_in_url", r"[a-z]{3,10}://[^\s/:@]++:[^\s/@]++@"),
 )
 
 

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -76,5 +78,38 @@ def test_redact(spark):
     assert {r.doc_id: r.text for r in masked.collect()} == {1: f"a {MASK} b", 2: "none", 3: MASK, None: None, 4: ""}
 
 
+def key_lines(seed, n=20):
+    """The base64 lines of a made-up key."""
+    chance = random.Random(seed)
+    letters = string.ascii_letters + string.digits + "+/"
+    return ["".join(chance.choices(letters, k=64)) for _ in range(n)] + ["".join(chance.choices(letters, k=23)) + "="]
+
+
+def test_redact_whole_keys(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = key_lines(1)
+    secret = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", "", *lines]
+    body = "\n".join(lines)
+    cases = [
+        (f"a\n{begin}\n{body}\n{end}\nb", f"a\n{MASK}\nb"),
+        (f"a {begin} {' '.join(lines)} {end} b - c", f"a {MASK} b - c"),
+        (f'"{begin}\\n' + "\\n".join(lines) + f'\\n{end}\\n" b', f'"{MASK}\\n" b'),
+        ("\r\n".join(["> " + x for x in [begin, *secret, end]]) + "\r\nb", f"> {MASK}\r\nb"),
+        (f"{begin}\n{body}\n\nand so on", f"{MASK}\n\nand so on"),  # no END
+        (f"{begin}\n{body[:700]}", MASK),  # cut off
+        (f"{begin}\n{body[:650]}abcde\nand so on", f"{MASK}\nand so on"),
+        ("\n".join([begin, *secret]) + "\nand so on", f"{MASK}\nand so on"),
+        (f"{begin}\n{body}\n{begin}\n{body}\n{end} b", f"{MASK}\n{MASK} b"),
+        (f"the line {begin} is the first", f"the line {MASK} is the first"),
+        (begin + "\n" + "\n".join(key_lines(2, 20_000)) + f"\n{end} b", f"{MASK} b"),
+        (begin + "\n" + "\n".join(key_lines(3, 20_000)) + "\n\nb c", f"{MASK}\n\nb c"),
+        (f"x https://{'n' * 90}:{'p' * 300}@host/ y", f"x {MASK}host/ y"),
+    ]
+    frame = documents(spark, [(k, text) for k, (text, _) in enumerate(cases)])
+    got = {r.doc_id: r.text for r in redact(frame).collect()}
+    for k, (_, want) in enumerate(cases):
+        assert got[k] == want, k
+
+
 def test_empty_table(spark):
     assert find_secrets(documents(spark, [])).collect() == []
