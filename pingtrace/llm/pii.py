@@ -7,7 +7,10 @@ any score; the others from LEAST_SCORE on. All of it is Spark SQL functions.
 
 The patterns are the plain ones made linear: a look-behind forbids starts inside
 a run that has been tried from its beginning, and possessive quantifiers forbid
-giving back what nothing later could use.
+giving back what nothing later could use. International account numbers have the
+length of their country, and every country code with two digits is tried as a
+beginning, also within what another one would take in; codes without a length
+are no account numbers.
 
 Defined results: null counts as empty text and has no spans; repeated rows are
 searched each; a null id stays null; other columns are not read.
@@ -77,8 +80,21 @@ class Kind:
     score: float
     near: str
     base: bool = True
-
-
+    group: int = 0
+
+
+#: Characters of an account number by country: the registry, territories of its members, and countries in partial use.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "AX DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE GG IE IM JE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR",
+    27: "BF BI BL CF CG CM DJ FR GA GF GP GQ GR IT KM MC MF MG MQ MR NC PF PM RE SM TD TF WF YT",
+    28: "AL AZ BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(
+    rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{size - 4}}}+" for size, codes in IBAN_LENGTHS.items()
+)
 _WORD = r"[A-Za-z0-9._%+-]"
 KINDS = (
     Kind(
@@ -115,12 +131,13 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{_IBAN})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}",
         lambda t: t.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]"),
         lambda m: mod_97(F.replace(m, F.lit(" "), F.lit(""))),
         0.8,
         "iban|account|bank",
         base=False,
+        group=1,
     ),
     Kind(
         "ssn",
@@ -135,7 +152,7 @@ KINDS = (
 
 
 def _scored(kind: Kind, rank: int, text: Column) -> Column:
-    found = F.filter(matches(text, kind.pattern), lambda m: kind.check(m["text"]))
+    found = F.filter(matches(text, kind.pattern, kind.group), lambda m: kind.check(m["text"]))
     spans = F.transform(
         F.when(kind.worth(text), found).otherwise(none()),
         lambda m: F.struct(

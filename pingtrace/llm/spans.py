@@ -46,12 +46,16 @@ def _lengths(parts: Column) -> Column:
     return F.transform(parts, lambda p: F.length(p).cast("bigint"))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches of a pattern that matches no empty text, with the text before each."""
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """Leftmost non-overlapping matches of a pattern that matches no empty text, with the text before each.
+
+    With a `group` that looks ahead from the match's beginning, that group is what is given as text and by its
+    end, and only the match itself is passed over, so texts may overlap.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     parts = F.arrays_zip(
-        found.alias("text"),
+        (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found).alias("text"),
         F.slice(gaps, F.lit(1), F.size(found)).alias("gap"),
         _running(_lengths(found)).alias("found_before"),
         _running(_lengths(gaps)).alias("gap_before"),

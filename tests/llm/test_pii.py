@@ -67,5 +67,27 @@ def test_checksums_and_context(spark):
     assert found[1].iban[0].text == "DE89 3704 0044 0532 0130 00"
 
 
+def test_account_numbers_in_a_row(spark):
+    de, spaced, gb, no = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947"
+    mt = "MT84MALT011000012345MTLCAST001S"
+    cases = [
+        (f"IBAN {de} Please pay", [de]),
+        (f"IBAN {spaced} BIC COBADEFF", [spaced]),
+        (f"IBAN {de} 2 days", [de]),
+        (f"é {spaced} {gb} {no} {mt} END", [spaced, gb, no, mt]),
+        (f"{de},{gb}", [de, gb]),
+        (f"FR12 {de} A1 B2C3D4 E5F6", [de]),  # what begins like a number takes in none
+        (f"{no} 1 {spaced}", [no, spaced]),
+        (f"{de}X", []),
+        (f"X{de}", []),
+        ("DE88370400440532013000 Please", []),
+        ("ZZ89370400440532013000", []),
+    ]
+    found = {r.doc_id: r.iban for r in pii.find_pii(documents(spark, [(k, t) for k, (t, _) in enumerate(cases)])).collect()}
+    for k, (text, want) in enumerate(cases):
+        assert [s.text for s in found[k]] == want
+        assert [text[s.start : s.end] for s in found[k]] == want
+
+
 def test_empty_table(spark):
     assert pii.find_pii(documents(spark, [])).collect() == []
