@@ -13,11 +13,14 @@ into one weight per triple: scoring a text reads nine table entries per letter.
 
 Training sentences. A sentence of a clean document is clean. Of a toxic document
 one does not know which sentence is; a sentence is taken as toxic if it holds a
-witness, a word that stands in many different surroundings in toxic documents and
-in no clean one (surroundings, because copies repeat a whole passage). A sentence
+witness, a word that stands in many more different surroundings in toxic documents
+than chance would put there, and whose odds of being there are at least WITNESS_ODDS
+times those of all words (surroundings, because copies repeat a whole passage). So a
+few wrongly labelled or quoting clean documents do not take a witness away. A sentence
 scores as its highest word does, so the machine is trained on the witnesses against
 the clean sentences' words, and twice more against those clean words that then score
-highest. A text scores as its highest sentence.
+highest. A text scores as its highest sentence. All training is on single words:
+what is toxic only as several ordinary words together is not learnt.
 
 Training rows: labelled rows outside the held-out fold, at most MOST_DOCUMENTS of
 either label by a hash of the id, and at most MOST_WORDS words of either side.
@@ -34,6 +37,7 @@ enter a score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from zlib import crc32
@@ -54,6 +58,7 @@ DECAY = 0.6
 MOST_GAP = 3
 ALPHABET = 64
 THRESHOLD = 0.7
+WITNESS_ODDS = 10
 SEED = 29
 LOWEST = -4.0
 
@@ -229,11 +234,23 @@ def _words_of(training: DataFrame) -> DataFrame:
 
 
 def _evidence(training: DataFrame) -> DataFrame:
-    """word, number of different surroundings in toxic documents, number of clean documents."""
-    words = _words_of(training).groupBy("word", "around", "label").agg(F.count("*").alias("n"))
-    return words.groupBy("word").agg(
-        F.sum(F.col("label")).alias("toxic"), F.sum((1 - F.col("label")) * F.col("n")).alias("clean")
-    )
+    """word, numbers of its different surroundings in toxic and in clean documents."""
+    words = _words_of(training).select("word", "around", "label").distinct()
+    return words.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+
+
+def chance_of(toxic: int, clean: int, share: float) -> float:
+    """P(X >= toxic) of toxic + clean draws that are toxic with chance `share`, where `toxic` is above the mean."""
+    n = toxic + clean
+    log_term = math.lgamma(n + 1) - math.lgamma(toxic + 1) - math.lgamma(clean + 1)
+    log_term += toxic * math.log(share) + clean * math.log1p(-share)
+    total, part = 0.0, 1.0
+    for k in range(toxic, n + 1):
+        total += part
+        part *= (n - k) / (k + 1) * share / (1 - share)
+        if part < total * 1e-12:
+            break
+    return math.exp(min(log_term + math.log(total), 0.0))
 
 
 class Scorer:
@@ -301,16 +318,22 @@ def train(docs: DataFrame, labels: DataFrame, held_out) -> Scorer | None:
     evidence = staged(_evidence(training), "toxic-words")
 
     toxic_share = training.agg(F.avg("label")).first()[0]
-    n_words = evidence.count()
+    totals = evidence.agg(F.count("*"), F.sum("toxic"), F.sum("clean")).first()
+    n_words = totals[0]
     if toxic_share is None or not n_words:
         return None
-    # So many surroundings that chance alone would make less than a tenth of a word a witness.
-    least = max(2, int(np.ceil(np.log(10 * n_words) / -np.log(min(toxic_share, 0.9)))))
-    witnesses = evidence.where((F.col("clean") == 0) & (F.col("toxic") >= least))
-    if not witnesses.take(1):  # with few labels the best words stand in
-        witnesses = evidence.where((F.col("clean") == 0) & (F.col("toxic") >= 2))
+    share = min(max(toxic_share, totals[1] / (totals[1] + totals[2])), 0.9)
+    odds = WITNESS_ODDS * share / (1 - share)
+    apart = (F.col("toxic") >= 2) & (F.col("toxic") + 0.5 >= odds * (F.col("clean") + 0.5))
+    # Words by their counts, which are few; chance alone would make less than a tenth of a word a witness.
+    kinds = evidence.where(apart).groupBy("toxic", "clean").count().collect()
+    beyond = [(r["toxic"], r["clean"]) for r in kinds if chance_of(r["toxic"], r["clean"], share) * 10 * n_words < 1]
+    chosen = beyond or [(r["toxic"], r["clean"]) for r in kinds]  # with few labels the best words stand in
+    pairs = docs.sparkSession.createDataFrame(chosen, "toxic bigint, clean bigint")
+    witnesses = evidence.join(F.broadcast(pairs), ["toxic", "clean"])
     positive = [r["word"] for r in witnesses.orderBy(F.desc("toxic"), "word").limit(MOST_WORDS).collect()]
-    clean = evidence.where("clean > 0").select("word", F.col("word").alias("text"))
+    clean = evidence.where(F.col("clean") > 0).join(F.broadcast(pairs), ["toxic", "clean"], "left_anti")
+    clean = clean.select("word", F.col("word").alias("text"))
     by_hash = clean.orderBy(F.xxhash64("word"), "word").limit(MOST_WORDS).collect()
     negative = [r["word"] for r in by_hash]
     if not positive or not negative:

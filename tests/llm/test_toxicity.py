@@ -85,6 +85,20 @@ def test_learns_and_tolerates(spark, rows):
     assert (scorer.chances(scorer.margins(odd)) >= THRESHOLD).tolist() == [True] * 5 + [False]
 
 
+@pytest.mark.parametrize("share", [0.01, 0.02])
+def test_flipped_labels(spark, rows, share):
+    """Wrong labels, and a clean document that quotes every insult, take none of them away."""
+    chance = random.Random(9)
+    quoting = [(10_000 + k, " ".join(INSULTS) + " the ou shing anor") for k in range(3)]
+    table = [(i, 1, int(any(w in t for w in INSULTS)) ^ (chance.random() < share)) for i, t in rows]
+    known = spark.createDataFrame(table + [(i, 1, 0) for i, _ in quoting], "doc_id long, quality int, toxic int")
+    fold = held_out()
+    scorer = toxicity.train(documents(spark, rows + quoting), known, fold)
+    assert (scorer.chances(scorer.margins([*INSULTS, "the ou shing"])) >= THRESHOLD).tolist() == [True] * 3 + [False]
+    scores = scorer.chances(scorer.margins([t for _, t in rows]))
+    assert np.mean((scores >= THRESHOLD) == [any(w in t for w in INSULTS) for _, t in rows]) > 0.98
+
+
 def test_odd_texts_score(spark, rows):
     odd = odd_rows(["a ", "nitwit ", "é ", "!"], 50)
     scored = score_toxicity(documents(spark, rows + [(None if i is None else i + 10_000, t) for i, t in odd]),
