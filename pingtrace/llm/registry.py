@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pingtrace.llm import bit_sliced_topk, jaccard_join, mixing
+from pingtrace.llm import bit_sliced_topk, jaccard_join, mixing, phrases
+from pingtrace.llm.alignment import op11_token_alignment
 from pingtrace.llm.decontamination import op1_benchmark_decontamination
 from pingtrace.llm.pii import op8_pii
 from pingtrace.llm.quality_classifier import op9_quality_classifier
@@ -23,11 +24,14 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_phrase_collocations": phrases.op12_phrase_collocations,
     "op13_bit_sliced_topk": bit_sliced_topk.op13_bit_sliced_topk,
 }
 
 ORACLE_SQL = {
     "op2_source_mixing": mixing.ORACLE_SQL,
     "op3_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op12_phrase_collocations": phrases.ORACLE_SQL,
     "op13_bit_sliced_topk": bit_sliced_topk.ORACLE_SQL,
 }

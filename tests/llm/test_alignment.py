@@ -1,0 +1,151 @@
+from collections import Counter
+from hashlib import sha256
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from text_fixtures import SF_DIR, documents, odd_rows
+from tokenizers import Tokenizer
+
+from pingtrace.llm import alignment
+from pingtrace.llm.alignment import Tokenizers, aligned, link_summary
+from pingtrace.llm.csr import Csr, bounds_of, from_entries, product
+
+PATH_A, PATH_B = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+WORDS = ["it's", " we'll", "THE ", "éÉ", "ΑΣ ", "12 ", "½", "aaaa", "!!", " ", "  ", "\n", "\x1c", "\x85", "漢字", "😀", "​ ", " ﻿", "\xa0 ",
+         "<|endoftext|>", "<s>", "<unk>", "<0x41>", "<|", "é", "ﬁ", "_", "'S", " foo", " bar", "\t", "᠎ ", "　", "\x00", "é "]
+
+
+class Plain:
+    """Both libraries on whole texts."""
+
+    def __init__(self):
+        self.a = Tokenizer.from_file(PATH_A)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=PATH_B)
+        symbols = {}
+        spare = 256
+        for b in range(256):
+            if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+                symbols[chr(b)] = b
+            else:
+                symbols[chr(spare)] = b
+                spare += 1
+        self.bytes_a = lambda i: bytes(symbols[c] for c in self.a.id_to_token(i))
+
+    def bytes_b(self, i):
+        piece = self.b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
+
+    def groups(self, text, pairs=False):
+        """[(ids of A, ids of B)] of every group, and the overlaps [(token of A, token of B, bytes)]."""
+        if not text:
+            return [], []
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        raw_a, raw_b, raw = list(map(self.bytes_a, a)), list(map(self.bytes_b, b)), (" " + text).encode()
+        if b"".join(raw_a) != raw or b"".join(raw_b) != raw:
+            return [], []
+        ends_a, ends_b = np.cumsum(list(map(len, raw_a))).tolist(), np.cumsum(list(map(len, raw_b))).tolist()
+        found, last = [], 0
+        for end in sorted(set(ends_a) & set(ends_b)):
+            found.append(([i for i, e in zip(a, ends_a, strict=True) if last < e <= end], [i for i, e in zip(b, ends_b, strict=True) if last < e <= end]))
+            last = end
+        overlaps = []
+        for i, e in enumerate(ends_a if pairs else []):
+            for j, f in enumerate(ends_b):
+                shared = min(e, f) - max(e - len(raw_a[i]), f - len(raw_b[j]))
+                if shared > 0:
+                    overlaps.append((i, j, shared))
+        return found, overlaps
+
+    def summary(self, rows):
+        grouped = [(i, self.groups(t)[0]) for i, t in rows]
+        docs = Counter()
+        for _, groups in grouped:
+            docs.update({(x, y) for a, b in groups for x in a for y in b})
+        most = {}
+        for (x, _), n in docs.items():
+            most[x] = max(most.get(x, 0), n)
+        out = []
+        for i, groups in grouped:
+            links = [(x, y) for a, b in groups for x in a for y in b]
+            text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+            out.append(
+                (i, sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), len(links),
+                 sum(docs[p] == most[p[0]] for p in links), sum(docs[p] for p in links), sha256(text.encode()).hexdigest() if text else "")
+            )
+        return Counter(out)
+
+
+@pytest.fixture(scope="module")
+def plain():
+    return Plain()
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    return Tokenizers(PATH_A, PATH_B)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rows = odd_rows(WORDS, 250, seed=9, most=25)
+    rows = [(i, t if i != 253 else "".join(WORDS) * 5) for i, t in rows]
+    return rows + [(900, "a▁b"), (901, "▁"), (902, "x" * 3000), (903, "ab" * 500 + " " + "一" * 300)]
+
+
+@pytest.mark.parametrize("at_once", [alignment.PAIRS_AT_ONCE, 0])
+def test_summary_equals_the_libraries(spark, monkeypatch, plain, tokenizers, rows, at_once):
+    monkeypatch.setattr(alignment, "PAIRS_AT_ONCE", at_once)
+    monkeypatch.setattr(alignment, "KNOWN_CHARACTERS", 900)
+    monkeypatch.setattr(alignment, "COUNTS_HELD", 100)
+    got = Counter(map(tuple, link_summary(documents(spark, rows), tokenizers).collect()))
+    want = plain.summary(rows)
+    assert got == want
+    assert any(r[4] > 100 for r in got) and any(r[1] == 0 and r[0] == 900 for r in got)
+
+
+def test_alignment_of_whole_texts(spark, plain, tokenizers, rows):
+    some = [r for r in rows if r[1] is None or len(r[1]) < 500][::4]
+    want = Counter()
+    for i, t in some:
+        groups, overlaps = plain.groups(t, True)
+        flat = [[x for g in groups for x in g[side]] for side in (0, 1)]
+        numbers = [[k for k, g in enumerate(groups) for _ in g[side]] for side in (0, 1)]
+        want[(i, *map(tuple, (flat[0], numbers[0], flat[1], numbers[1], *(zip(*overlaps) if overlaps else ((), (), ())))))] += 1
+    got = Counter((r[0], *map(tuple, r[1:])) for r in aligned(documents(spark, some), tokenizers).collect())
+    assert got == want
+
+
+def test_query_equals_the_libraries(spark, plain):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    assert Counter(map(tuple, alignment.op11_token_alignment(spark, SF_DIR).collect())) == plain.summary(rows)
+
+
+def test_product_of_rows(monkeypatch):
+    from pingtrace.llm import csr
+
+    chance = np.random.default_rng(2)
+    for held in (1 << 22, 3):
+        monkeypatch.setattr(csr, "EXPANDED", held)
+        for _ in range(20):
+            n, m, k = chance.integers(1, 9, 3)
+            x, y = chance.integers(0, 3, (n, m)), chance.integers(0, 3, (m, k))
+            a, b = (from_entries(*np.nonzero(z), z[np.nonzero(z)], *z.shape) for z in (x, y))
+            c = product(a, b)
+            dense = np.zeros((n, k), np.int64)
+            dense[c.row_of_entry(), c.columns] = c.values
+            assert (dense == x @ y).all() and (c.values > 0).all()
+            back = a.transposed()
+            dense = np.zeros((m, n), np.int64)
+            dense[back.row_of_entry(), back.columns] = back.values
+            assert (dense == x.T).all()
+    empty = Csr(bounds_of(np.zeros(0, np.int64)), np.zeros(0, np.int64), np.zeros(0, np.int64), 4)
+    assert product(empty, from_entries(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 4, 2)).rows == 0
+
+
+def test_empty_table(spark, tokenizers):
+    assert link_summary(documents(spark, []), tokenizers).collect() == []
+    assert [tuple(r) for r in link_summary(documents(spark, [(1, None), (2, "")]), tokenizers).collect()] == [
+        (1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
