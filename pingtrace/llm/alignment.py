@@ -30,6 +30,7 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +44,22 @@ from pingtrace.llm.token_counts import _byte_symbols
 from pingtrace.sources.staging import staged
 
 PAIRS_AT_ONCE = 3_000_000
-KNOWN_CHARACTERS = 6_000_000
+KNOWN_BYTES = 160_000_000  # about, of what a task remembers of the pieces met
 COUNTS_HELD = 2_000_000
 #: A space between characters that no tokenizer takes for white space.
 CUT = re.compile(r"(?<=[^\s\u180e\u200b\ufeff]) (?=[^\s\u180e\u200b\ufeff])")
+PLAIN = re.compile(r"[!-~\u00a1-\u024f]+").fullmatch
+#: How byte-level vocabularies of this kind cut texts before merging: a fixed value of the format.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Tokenizers:
-    """Contents of both tokenizer files, which travel to the tasks; they are opened there."""
+    """Contents of both tokenizer files, which travel to the tasks; they are opened there.
+
+    A's library takes long for a short piece. Pieces of printable Latin characters, of which no
+    version of Unicode has another opinion, go through the faster library for the same vocabulary,
+    if its merges come in the order of the ids that they make; there both do the same.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         with open(path_a, encoding="utf-8") as file:
@@ -69,35 +78,72 @@ class Tokenizers:
         self.a = Tokenizer.from_str(self.file_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=self.file_b)
-        spec = json.loads(self.file_a)
+        model = json.loads(self.file_a)["model"]
         byte_of = {s: b for b, s in enumerate(_byte_symbols())}
-        # Special tokens lie outside the byte alphabet only by chance, and are never met.
-        self.bytes_a = {
-            i: bytes(byte_of[c] for c in s) for s, i in spec["model"]["vocab"].items() if all(c in byte_of for c in s)
-        }
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in enumerate(pieces)
-        ]
+        # Special tokens are outside this vocabulary or never met.
+        of_a = {i: bytes(byte_of[c] for c in s) for s, i in model["vocab"].items() if all(c in byte_of for c in s)}
+        self.bytes_a = ByteTable([of_a.get(i, b"") for i in range(max(of_a) + 1)])
+        pieces = [self.b.id_to_piece(i) for i in range(self.width_b)]
+        self.bytes_b = ByteTable(
+            [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        )
         self.separable = not any("▁" in p.lstrip("▁") for p in pieces)
+        self.fast = None
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in pairs]
+        if made == sorted(set(made)) and json.loads(self.file_a)["normalizer"] is None:
+            import tiktoken
+
+            ranks = {raw: i for i, raw in of_a.items() if i <= made[-1]}
+            self.fast = tiktoken.Encoding("a", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def pieces(self, text: str) -> list[str]:
         """The text without the spaces that it is cut at."""
         return CUT.split(text) if self.separable else [text]
 
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers for each piece after a space; none where the bytes differ."""
-        found_a = [e.ids for e in self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False)]
-        found_b = self.b.encode(pieces, num_threads=1)
-        for k, p in enumerate(pieces):
-            raw = b" " + p.encode()
-            if (
-                b"".join([self.bytes_a.get(i, b"") for i in found_a[k]]) != raw
-                or b"".join([self.bytes_b[i] for i in found_b[k]]) != raw
-            ):
-                found_a[k], found_b[k] = [], []
-        return found_a, found_b
+    def _encode_a(self, pieces: list[str]) -> list[list[int]]:
+        found = [self.fast.encode_ordinary(" " + p) if self.fast and PLAIN(p) else None for p in pieces]
+        slow = [k for k, ids in enumerate(found) if ids is None]
+        for k, e in zip(slow, self.a.encode_batch([" " + pieces[k] for k in slow], add_special_tokens=False), strict=True):
+            found[k] = e.ids
+        return found
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and their number in each piece after a space, and those of B; none where the bytes differ."""
+        raw = [(" " + p).encode() for p in pieces]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        sides, whole = [], np.ones(len(pieces), dtype=bool)
+        for lists, table in ((self._encode_a(pieces), self.bytes_a), (self.b.encode(pieces, num_threads=1), self.bytes_b)):
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum()))
+            sides.append((ids, counts))
+            whole &= table.spells(ids, counts, data, sizes)
+        kept = []
+        for ids, counts in sides:
+            kept += [ids[np.repeat(whole, counts)], np.where(whole, counts, 0)]
+        return tuple(kept)
+
+
+class ByteTable:
+    """The bytes of every token."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = bounds_of(self.sizes)[:-1]
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def spells(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each piece spell its bytes; pieces lie end to end in `data`."""
+        per_token = bounds_of(self.sizes[ids])
+        ends = bounds_of(counts)
+        fits = per_token[ends[1:]] - per_token[ends[:-1]] == sizes
+        some = np.repeat(fits, counts)
+        spelt = self.data[ragged(self.starts[ids[some]], self.sizes[ids[some]])]
+        same = bounds_of(spelt == data[np.repeat(fits, sizes)])
+        ends = bounds_of(sizes[fits])
+        fits[fits] = same[ends[1:]] - same[ends[:-1]] == sizes[fits]
+        return fits
 
 
 def tiling(sizes: np.ndarray) -> Csr:
@@ -170,17 +216,17 @@ class PairTable:
 
 
 class Lexicon:
-    """Tokens, overlaps, groups and pairs of every piece met so far."""
+    """What the pieces met so far come to; `keep` names what is asked for: pairs, digests, tokens."""
 
-    def __init__(self, tokenizers: Tokenizers, written: bool = False, counted: PairTable | None = None):
-        self.tokenizers, self.written, self.counted = tokenizers, written, counted
+    def __init__(self, tokenizers: Tokenizers, keep: tuple[str, ...], counted: PairTable | None = None):
+        self.tokenizers, self.keep, self.counted = tokenizers, keep, counted
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.characters = 0
-        self.whole = Grown(bool)
-        self.n_groups, self.n_links, self.n_best, self.count_sum = Grown(), Grown(), Grown(), Grown()
+        self.bytes = 0
+        self.n_a, self.n_b, self.n_groups, self.n_links = Grown(), Grown(), Grown(), Grown()
+        self.n_best, self.count_sum = Grown(), Grown()
         self.digests: list[str] = []
         self.a, self.b = Ragged(2), Ragged(2)  # id, group within the piece
         self.overlaps = Ragged(3)  # token of A, token of B within the piece, shared bytes
@@ -188,10 +234,10 @@ class Lexicon:
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the pieces of all texts, and where each text's begin."""
-        if self.characters > KNOWN_CHARACTERS:
+        if self.bytes > KNOWN_BYTES:
             self.clear()
         cut = [self.tokenizers.pieces(t) if t else [] for t in texts]
-        flat = [p for pieces in cut for p in pieces]
+        flat = list(chain.from_iterable(cut))
         new = list(set(flat).difference(self.known))
         if new:
             self.learn(new)
@@ -199,62 +245,59 @@ class Lexicon:
         return found, bounds_of(np.array([len(pieces) for pieces in cut], np.int64))
 
     def learn(self, pieces: list[str]) -> None:
-        tokens_a, tokens_b = self.tokenizers.encode(pieces)
-        sizes_a = np.array([len(x) for x in tokens_a], np.int64)
-        sizes_b = np.array([len(x) for x in tokens_b], np.int64)
-        a = np.array([i for x in tokens_a for i in x], np.int64)
-        b = np.array([i for x in tokens_b for i in x], np.int64)
-        bytes_a, bytes_b = self.tokenizers.bytes_a, self.tokenizers.bytes_b
-        rows = tiling(np.array([len(bytes_a[i]) for i in a.tolist()], np.int64))
-        overlap = product(rows, tiling(np.array([len(bytes_b[i]) for i in b.tolist()], np.int64)).transposed())
+        a, sizes_a, b, sizes_b = self.tokenizers.encode(pieces)
+        n, ends_a, ends_b = len(pieces), bounds_of(sizes_a), bounds_of(sizes_b)
+        rows = tiling(self.tokenizers.bytes_a.sizes[a])
+        overlap = product(rows, tiling(self.tokenizers.bytes_b.sizes[b]).transposed())
         group_a, group_b = groups_of(overlap)
         n_groups = int(group_a[-1]) + 1 if len(a) else 0
-        n = len(pieces)
         piece_a, piece_b = np.repeat(np.arange(n), sizes_a), np.repeat(np.arange(n), sizes_b)
+        whole = sizes_a > 0
+        first_group, groups = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        first_group[whole] = group_a[ends_a[:-1][whole]]
+        groups[whole] = group_a[ends_a[1:][whole] - 1] + 1 - first_group[whole]
 
         # Ids of A within a piece by groups, times groups by ids of B.
         width = self.tokenizers.width_b
         held, row = np.unique((piece_a << 32) | a, return_inverse=True)
-        ones = np.ones(max(len(a), len(b)), np.int64)
-        left = from_entries(row, group_a, ones[: len(a)], len(held), max(n_groups, 1))
-        links = product(left, from_entries(group_b, b, ones[: len(b)], max(n_groups, 1), width))
+        left = from_entries(row, group_a, np.ones(len(a), np.int64), len(held), max(n_groups, 1))
+        links = product(left, from_entries(group_b, b, np.ones(len(b), np.int64), max(n_groups, 1), width))
         owner = held[links.row_of_entry()]
         pairs, piece = (owner & 0xFFFFFFFF) * width + links.columns, owner >> 32
 
-        first_a, first_b = bounds_of(sizes_a)[:-1], bounds_of(sizes_b)[:-1]
-        group_base = np.zeros(n, np.int64)
-        group_base[sizes_a > 0] = group_a[first_a[sizes_a > 0]]
-        local_a, local_b = group_a - group_base[piece_a], group_b - group_base[piece_b]
-        groups = np.zeros(n, np.int64)
-        groups[sizes_a > 0] = local_a[(bounds_of(sizes_a)[1:] - 1)[sizes_a > 0]] + 1
-
-        self.a.add(sizes_a, a, local_a)
-        self.b.add(sizes_b, b, local_b)
-        token = overlap.row_of_entry()
-        self.overlaps.add(
-            np.bincount(piece_a[token], minlength=n),
-            token - first_a[piece_a[token]],
-            overlap.columns - first_b[piece_a[token]],
-            overlap.values,
-        )
-        self.pairs.add(np.bincount(piece, minlength=n), pairs, links.values)
-        self.whole.add(sizes_a > 0)
+        self.n_a.add(sizes_a)
+        self.n_b.add(sizes_b)
         self.n_groups.add(groups)
         self.n_links.add(_sums(piece, links.values, n))
         if self.counted is not None:
             docs, best = self.counted.of(pairs)
             self.count_sum.add(_sums(piece, links.values * docs, n))
             self.n_best.add(_sums(piece, links.values * best, n))
-        if self.written:
-            in_a = np.bincount(group_a, minlength=n_groups).tolist()
-            in_b = np.bincount(group_b, minlength=n_groups).tolist()
-            at = 0
-            for x, y, count in zip(tokens_a, tokens_b, groups.tolist(), strict=True):
-                self.digests.append(_written(x, y, in_a[at : at + count], in_b[at : at + count]))
-                at += count
+        if "pairs" in self.keep:
+            self.pairs.add(np.bincount(piece, minlength=n), pairs, links.values)
+        if "tokens" in self.keep:
+            token = overlap.row_of_entry()
+            self.a.add(sizes_a, a, group_a - first_group[piece_a])
+            self.b.add(sizes_b, b, group_b - first_group[piece_b])
+            shared = np.bincount(piece_a[token], minlength=n)
+            of = piece_a[token]
+            self.overlaps.add(shared, token - ends_a[of], overlap.columns - ends_b[of], overlap.values)
+        if "digests" in self.keep:
+            self.digests += _digests(a, group_a, b, group_b, n_groups, bounds_of(groups))
         start = len(self.known)
         self.known.update(zip(pieces, range(start, start + n), strict=True))
-        self.characters += sum(map(len, pieces)) + 20 * n
+        per_token = {"pairs": 16, "digests": 12, "tokens": 80}
+        self.bytes += sum(map(len, pieces)) + 250 * n + len(a) * sum(per_token[k] for k in self.keep)
+
+
+def _digests(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, n_groups: int, bounds: np.ndarray) -> list[str]:
+    """The groups of every piece as text; `bounds` has where the pieces' groups begin."""
+    a_at = bounds_of(np.bincount(group_a, minlength=n_groups)).tolist()
+    b_at = bounds_of(np.bincount(group_b, minlength=n_groups)).tolist()
+    a_ids, b_ids = list(map(str, a.tolist())), list(map(str, b.tolist()))
+    groups = [f"{','.join(a_ids[i:j])}|{','.join(b_ids[k:l])}" for i, j, k, l in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False)]
+    ends = bounds.tolist()
+    return [groups[i] if j == i + 1 else ";".join(groups[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -263,15 +306,6 @@ def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _written(a: list[int], b: list[int], sizes_a: list[int], sizes_b: list[int]) -> str:
-    """Groups of one piece as text."""
-    parts, i, j = [], 0, 0
-    for m, n in zip(sizes_a, sizes_b, strict=True):
-        parts.append(f"{','.join(map(str, a[i : i + m]))}|{','.join(map(str, b[j : j + n]))}")
-        i, j = i + m, j + n
-    return ";".join(parts)
-
-
 class Texts:
     """The pieces of a portion of texts; pieces of texts whose bytes differ are left out."""
 
@@ -280,7 +314,7 @@ class Texts:
         number, bounds = lexicon.numbers([t or "" for t in texts])
         text = np.repeat(np.arange(len(texts)), np.diff(bounds))
         whole = np.ones(len(texts), dtype=bool)
-        whole[text[~lexicon.whole.values[number]]] = False
+        whole[text[lexicon.n_a.values[number] == 0]] = False
         keep = whole[text]
         self.number, self.text = number[keep], text[keep]
         self.bounds = bounds_of(np.bincount(self.text, minlength=len(texts)))
@@ -302,12 +336,12 @@ class Texts:
         return found >> 33, found & ((1 << 33) - 1), _sums(inverse, links, len(found))
 
 
-def _mapped(docs: DataFrame, schema: str, rows: Callable, tokenizers: Tokenizers, written: bool = False, counted=None) -> DataFrame:
+def _mapped(docs: DataFrame, schema: str, rows: Callable, tokenizers: Tokenizers, keep: tuple[str, ...], counted=None) -> DataFrame:
     """`rows(batch, texts)` of every portion of `docs` (with the column `text`), as columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers.open()
-        lexicon = Lexicon(tokenizers, written, counted)
+        lexicon = Lexicon(tokenizers, keep, counted)
         for batch in batches:
             for part in portions(batch, "text"):
                 found = rows(part, Texts(lexicon, part.column("text").to_pylist()))
@@ -336,7 +370,7 @@ def aligned(docs: DataFrame, tokenizers: Tokenizers, key: str = "doc_id", text:
     def rows(part: pa.RecordBatch, texts: Texts) -> dict:
         lexicon, out = texts.lexicon, {key: part.column("id")}
         before = {}  # what stands before each piece in its text
-        for name, per_piece in (("groups", lexicon.n_groups.values), ("a", lexicon.a.sizes()), ("b", lexicon.b.sizes())):
+        for name, per_piece in (("groups", lexicon.n_groups.values), ("a", lexicon.n_a.values), ("b", lexicon.n_b.values)):
             sums = bounds_of(per_piece[texts.number])
             before[name] = sums[:-1] - sums[texts.bounds[texts.text]]
         for name, tokens in (("a", lexicon.a), ("b", lexicon.b)):
@@ -354,7 +388,7 @@ def aligned(docs: DataFrame, tokenizers: Tokenizers, key: str = "doc_id", text:
     kind = docs.schema[key].dataType.simpleString()
     names = "a_ids a_groups b_ids b_groups overlap_a overlap_b overlap_bytes".split()
     schema = ", ".join([f"`{key}` {kind}", *[f"{n} array<bigint>" for n in names]])
-    return _mapped(_taken(docs, key, text), schema, rows, tokenizers)
+    return _mapped(_taken(docs, key, text), schema, rows, tokenizers, ("tokens",))
 
 
 def pair_counts(docs: DataFrame, tokenizers: Tokenizers, text: str = "text") -> DataFrame:
@@ -366,7 +400,7 @@ def pair_counts(docs: DataFrame, tokenizers: Tokenizers, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers.open()
-        lexicon = Lexicon(tokenizers)
+        lexicon = Lexicon(tokenizers, ("pairs",))
         held, size = [], 0
         for batch in batches:
             for part in portions(batch, "text"):
@@ -399,8 +433,8 @@ def _counts(texts: Texts) -> dict:
     digests, numbers, bounds = lexicon.digests, texts.number.tolist(), texts.bounds.tolist()
     written = [";".join([digests[k] for k in numbers[i:j]]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
     return {
-        "n_a": pa.array(texts.total(lexicon.a.sizes())),
-        "n_b": pa.array(texts.total(lexicon.b.sizes())),
+        "n_a": pa.array(texts.total(lexicon.n_a.values)),
+        "n_b": pa.array(texts.total(lexicon.n_b.values)),
         "n_groups": pa.array(texts.total(lexicon.n_groups.values)),
         "n_links": pa.array(texts.total(lexicon.n_links.values)),
         "groups_sha256": pa.array([sha256(w.encode()).hexdigest() if w else "" for w in written]),
@@ -425,7 +459,7 @@ def link_summary(docs: DataFrame, tokenizers: Tokenizers, key: str = "doc_id", t
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, {_COUNTS}, n_best bigint, count_sum bigint"
-    return _mapped(_taken(docs, key, text), schema, rows, tokenizers, True, counted).select(key, *_RESULT)
+    return _mapped(_taken(docs, key, text), schema, rows, tokenizers, ("digests",), counted).select(key, *_RESULT)
 
 
 def _summary_by_shuffle(docs: DataFrame, tokenizers: Tokenizers, pairs: DataFrame, key: str, text: str) -> DataFrame:
@@ -443,7 +477,7 @@ def _summary_by_shuffle(docs: DataFrame, tokenizers: Tokenizers, pairs: DataFram
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, row bigint, {_COUNTS}, a array<bigint>, b array<bigint>, links array<bigint>"
     numbered = _taken(docs, key, text).withColumn("row", F.monotonically_increasing_id())
-    found = staged(_mapped(numbered, schema, rows, tokenizers, True), "alignment-documents")
+    found = staged(_mapped(numbered, schema, rows, tokenizers, ("pairs", "digests")), "alignment-documents")
     linked = found.select("row", F.explode(F.arrays_zip("a", "b", "links")).alias("p")).select("row", "p.*")
     sums = linked.join(pairs, ["a", "b"]).groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"),

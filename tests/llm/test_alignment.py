@@ -98,7 +98,7 @@ def rows():
 @pytest.mark.parametrize("at_once", [alignment.PAIRS_AT_ONCE, 0])
 def test_summary_equals_the_libraries(spark, monkeypatch, plain, tokenizers, rows, at_once):
     monkeypatch.setattr(alignment, "PAIRS_AT_ONCE", at_once)
-    monkeypatch.setattr(alignment, "KNOWN_CHARACTERS", 900)
+    monkeypatch.setattr(alignment, "KNOWN_BYTES", 90_000)
     monkeypatch.setattr(alignment, "COUNTS_HELD", 100)
     got = Counter(map(tuple, link_summary(documents(spark, rows), tokenizers).collect()))
     want = plain.summary(rows)
