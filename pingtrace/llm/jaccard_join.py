@@ -12,11 +12,18 @@ if it has fewer of them than parts must agree, since then another part agrees to
 1. each class with the smallest one that it meets in any division, and with the
    smallest in its smallest division (at most two pairs per class, however large
    a division is);
-2. within divisions that then still hold several components, each class with
-   those of other components. Divisions of over TILE_ROWS classes are cut into
-   blocks, and each pair of blocks is a group of its own.
-
-A comparison first takes hashed signatures of two bits per n-gram or more (of
+2. within divisions that then still hold several components, as few pairs as would
+   join those components whose classes may be similar: at most one less than there are
+   components;
+3. within divisions that even then hold several components, all classes that may be
+   similar to one of another component come with their arrays and are compared, until
+   their components are joined. Only links that join two of them leave the group.
+
+Divisions of over TILE_ROWS classes (or ARRAY_BYTES of arrays) are cut into blocks, and each pair of
+blocks is a group of its own in steps 2 and 3. So no step makes more rows than the divisions
+have classes, times the blocks.
+
+Whether two classes may be similar is told by hashed signatures of two bits per n-gram or more (of
 different lengths, the longer is folded): every bit of one that the other lacks is
 an n-gram the other lacks, which bounds the overlap from above. Pairs
 that pass are decided by intersecting the sorted n-gram arrays. No pair of
@@ -43,13 +50,15 @@ from pyspark.sql import types as T
 
 from pingtrace.llm.arrays import LOWER, gram_hashes, mix, portions, utf8, word_hashes
 from pingtrace.llm.components import components
-from pingtrace.llm.inputs import table
+from pingtrace.llm.inputs import fresh_names, table
 from pingtrace.sources.staging import staged
 
 LEAST_BITS, MOST_BITS = 1024, 1 << 16
 SLACK = 0.18  # parts beyond the bound, as a share of it, for parts without n-grams
 TILE_ROWS = 1024
+ARRAY_BYTES = 1 << 25  # of n-gram arrays in a block
 ARRAY_ROWS = 256
+TILE_BITS = 8  # of a division's key, for the number of its tile
 BROADCAST_ROWS = 200_000
 _U = np.uint64
 _SHORT = 0xA0761D6478BD642F
@@ -120,6 +129,12 @@ class Similarity:
                 found.append((band, bound + agree, agree))
         return found
 
+    def block_rows(self, tile_rows: int) -> list[int]:
+        """Classes in a block, by the tile's number: `tile_rows`, or as many as have ARRAY_BYTES of arrays."""
+        edges = self.band_edges(ARRAY_BYTES)
+        most = [(edges[min(t + 2, len(edges) - 1)] - 1) * 8 for t in range(1 << TILE_BITS)]
+        return [min(tile_rows, max(1, ARRAY_BYTES // size)) for size in most]
+
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """The divisions of all tiles that a set belongs to."""
         spread, keys = mix(grams), []
@@ -131,7 +146,8 @@ class Similarity:
             held = np.diff(at)
             content = (sums[at[1:]] - sums[at[:-1]]) + held.astype(np.uint64) * _U(_SHORT)
             place = np.arange(parts, dtype=np.uint64) + _U(tile << 40)
-            found = mix(content ^ mix(place))
+            found = mix(content ^ mix(place)) >> _U(TILE_BITS) << _U(TILE_BITS)
+            found |= _U(min(tile, (1 << TILE_BITS) - 1))
             keys.append(found[held > 0] if (held == 0).sum() < agree else found)
         return np.concatenate(keys)
 
@@ -253,34 +269,94 @@ def linked(pairs: DataFrame, sets: DataFrame, arrays: DataFrame, similarity: Sim
         return staged(exact, "jaccard-links")
 
 
-def _cross_pairs(tiles: DataFrame, similarity: Similarity) -> DataFrame:
-    """Pairs of different components within a group (tile, block_a, block_b) that signatures leave possible."""
+class _Parts:
+    """The components of a group, as far as they are not joined yet."""
+
+    def __init__(self, component: np.ndarray):
+        self.of = np.unique(component, return_inverse=True)[1]
+        self.left = int(self.of.max(initial=-1)) + 1
+
+    def join(self, i: int, j: int) -> None:
+        self.of[self.of == self.of[j]] = self.of[i]
+        self.left -= 1
+
+
+def _hits(group: pa.Table, parts: _Parts, similarity: Similarity) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of one block, each with those of the other that it may be similar to, in a part not its own."""
+    size, block = np.asarray(group["size"]), np.asarray(group["block"])
+    raw = group["bits"].to_pylist()
+    bits = _folded(raw, min(map(len, raw)))
+    block_a, block_b = group["block_a"][0].as_py(), group["block_b"][0].as_py()
+    first, second = np.flatnonzero(block == block_a), np.flatnonzero(block == block_b)
+    for at, i in enumerate(first.tolist()):
+        if parts.left < 2:
+            return
+        others = second[at + 1 :] if block_a == block_b else second
+        others = others[parts.of[others] != parts.of[i]]
+        most = _overlap_bound(bits[i], bits[others], size[i], size[others])
+        yield i, others[similarity.holds(most, size[i], size[others])]
+
+
+GROUP = ["division", "block_a", "block_b"]
+
+
+def _possible_links(tiles: DataFrame, similarity: Similarity) -> DataFrame:
+    """Pairs (a, b) within each group that would join all components that may be similar: a forest."""
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        size, component = np.asarray(group["size"]), np.asarray(group["component"])
-        classes, block = np.asarray(group["class"]), np.asarray(group["block"])
-        raw = group["bits"].to_pylist()
-        bits = _folded(raw, min(map(len, raw)))
-        same = group["block_a"][0].as_py() == group["block_b"][0].as_py()
-        first = np.flatnonzero(block == group["block_a"][0].as_py())
-        second = np.flatnonzero(block == group["block_b"][0].as_py())
-        found_a, found_b = [], []
-        for at, i in enumerate(first.tolist()):
-            others = second[at + 1 :] if same else second
-            others = others[component[others] != component[i]]
-            most = _overlap_bound(bits[i], bits[others], size[i], size[others])
-            hit = others[similarity.holds(most, size[i], size[others])]
-            found_a.append(np.minimum(classes[i], classes[hit]))
-            found_b.append(np.maximum(classes[i], classes[hit]))
-        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
-
-    return tiles.groupBy("division", "block_a", "block_b").applyInArrow(compare, "a bigint, b bigint")
-
-
-def _blocks(members: DataFrame, tile_rows: int) -> DataFrame:
+        classes, parts, found = np.asarray(group["class"]), _Parts(np.asarray(group["component"])), []
+        for i, hits in _hits(group, parts, similarity):
+            for j in hits.tolist():
+                if parts.of[i] != parts.of[j]:
+                    parts.join(i, j)
+                    found.append(sorted((classes[i], classes[j])))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return tiles.groupBy(*GROUP).applyInArrow(compare, "a bigint, b bigint")
+
+
+def _in_question(tiles: DataFrame, similarity: Similarity) -> DataFrame:
+    """Rows of `tiles` without bits, of classes that may be similar to one of another component in their group."""
+    schema = "division bigint, block_a int, block_b int, block int, class bigint, component bigint"
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        parts, keep = _Parts(np.asarray(group["component"])), np.zeros(len(group), dtype=bool)
+        for i, hits in _hits(group, parts, similarity):
+            keep[hits] = True
+            keep[i] |= len(hits) > 0
+        return group.select([*GROUP, "block", "class", "component"]).filter(pa.array(keep))
+
+    return tiles.groupBy(*GROUP).applyInArrow(compare, schema)
+
+
+def _joining_links(tiles: DataFrame, similarity: Similarity) -> DataFrame:
+    """Links (a, b) that join the components of each group, found by their arrays."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        classes, parts, found = np.asarray(group["class"]), _Parts(np.asarray(group["component"])), []
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["grams"]]
+        for i, hits in _hits(group, parts, similarity):
+            for j in hits.tolist():
+                if parts.of[i] != parts.of[j]:
+                    both = len(np.intersect1d(grams[i], grams[j], assume_unique=True))
+                    if similarity.holds(both, len(grams[i]), len(grams[j])):
+                        parts.join(i, j)
+                        found.append((classes[i], classes[j]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return tiles.groupBy(*GROUP).applyInArrow(compare, "a bigint, b bigint")
+
+
+def _blocks(members: DataFrame, similarity: Similarity, tile_rows: int) -> DataFrame:
     """Rows of `members`, each once for every pair of blocks that its block is in."""
-    count = F.ceil(F.col("n") / tile_rows).cast("int")
+    sizes = F.array(*[F.lit(rows) for rows in similarity.block_rows(tile_rows)])
+    tile = F.col("division").bitwiseAND((1 << TILE_BITS) - 1).cast("int")
+    count = F.ceil(F.col("n") / F.element_at(sizes, tile + 1)).cast("int")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     own = members.withColumn("blocks", count).withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -296,6 +372,34 @@ def _blocks(members: DataFrame, tile_rows: int) -> DataFrame:
     )
 
 
+def _mixed_divisions(
+    members: DataFrame, known: DataFrame, sets: DataFrame, similarity: Similarity, tile_rows: int, among: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Divisions with several components (of `among`, if given), the pairs of those with two classes, the rows of the others.
+
+    Of divisions with the same classes one is enough.
+    """
+    if among is not None:
+        members = members.join(among.select("division"), "division", "left_semi")
+    named = members.select("division", "class").join(known.withColumnRenamed("node", "class"), "class", "left")
+    named = named.withColumn("component", F.coalesce("component", "class"))
+    named = staged(named, "jaccard-named")
+    mixed = named.groupBy("division").agg(
+        F.min("component").alias("c0"),
+        F.max("component").alias("c1"),
+        F.count("*").alias("n"),
+        F.sum(F.shiftright("class", 20)).alias("total"),
+        F.min("class").alias("k0"),
+        F.max("class").alias("k1"),
+        F.expr("bit_xor(class)").alias("x"),
+    )
+    mixed = mixed.where("c0 <> c1").groupBy("n", "total", "k0", "k1", "x").agg(F.min("division").alias("division"))
+    mixed = staged(mixed, "jaccard-mixed")
+    tiles = named.join(mixed.where("n > 2").select("division", "n"), "division").join(sets, "class")
+    twos = mixed.where("n = 2").select(F.col("k0").alias("a"), F.col("k1").alias("b"))
+    return mixed, twos, _blocks(tiles, similarity, tile_rows)
+
+
 def similar_components(
     docs: DataFrame, similarity: Similarity, key: str = "doc_id", tile_rows: int = TILE_ROWS
 ) -> DataFrame:
@@ -331,27 +435,20 @@ def similar_components(
     links = linked(near, sets, arrays, similarity)
 
     known = components(links)
-    named = members.select("division", "class").join(known.withColumnRenamed("node", "class"), "class", "left")
-    named = named.withColumn("component", F.coalesce("component", "class"))
-    named = staged(named, "jaccard-named")
-    mixed = named.groupBy("division").agg(
-        F.min("component").alias("c0"),
-        F.max("component").alias("c1"),
-        F.count("*").alias("n"),
-        F.sum(F.shiftright("class", 20)).alias("total"),
-        F.min("class").alias("k0"),
-        F.max("class").alias("k1"),
-        F.expr("bit_xor(class)").alias("x"),
-    )
-    # Divisions with the same classes need one comparison.
-    mixed = mixed.where("c0 <> c1").groupBy("n", "total", "k0", "k1", "x").agg(F.min("division").alias("division"))
-    mixed = staged(mixed, "jaccard-mixed")
-    tiles = named.join(mixed.where("n > 2").select("division", "n"), "division").join(sets, "class")
-    twos = mixed.where("n = 2").select(F.col("k0").alias("a"), F.col("k1").alias("b"))
-    rest = _cross_pairs(_blocks(tiles, tile_rows), similarity).union(twos).distinct()
+    mixed, twos, tiles = _mixed_divisions(members, known, sets, similarity, tile_rows)
+    rest = _possible_links(tiles, similarity).union(twos).distinct()
     rest = staged(rest.join(near, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        known = components(links.union(linked(rest, sets, arrays, similarity)))
+        links = links.union(linked(rest, sets, arrays, similarity))
+        known = components(links)
+        mixed, _, tiles = _mixed_divisions(members, known, sets, similarity, tile_rows, mixed)
+        asked = staged(_in_question(tiles, similarity), "jaccard-asked")
+        if not asked.isEmpty():
+            whole = asked.join(sets, "class").join(arrays, "class")
+            with _small_batches(docs.sparkSession):
+                joining = staged(_joining_links(whole, similarity), "jaccard-joining")
+            if not joining.isEmpty():
+                known = components(links.union(joining))
 
     classes = rows.where("size > 0").groupBy("class").agg(F.min(key).alias("lowest"))
     classes = classes.join(known.withColumnRenamed("node", "class"), "class", "left")
@@ -368,32 +465,32 @@ def similar_components(
 def keep_first(docs: DataFrame, similarity: Similarity, key: str = "doc_id") -> DataFrame:
     """One row of each component, with all columns: that of the smallest id, ids before null.
 
-    Rows without n-grams stay. Among rows of one id the smallest class is taken,
+    Rows without n-grams stay; columns may have any names. Among rows of one id the smallest class is taken,
     and of rows equal in id and class any one.
     """
     found = staged(similar_components(docs, similarity, key).where("size > 0"), "jaccard-found")
+    of, gone, own = fresh_names(docs, "id", "dropped", "class")
     entry = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("_id"), F.col("class").alias("_class"))
     first = found.groupBy("group").agg(F.min(entry).alias("first"))
-    beside = found.join(first, "group").where(~(F.col(key).eqNullSafe(F.col("first._id")) & (F.col("class") == F.col("first._class"))))
-    drop = staged(beside.select(F.col(key).alias("_jaccard_id"), F.col("class").alias("_jaccard_dropped")).distinct(), "jaccard-dropped")
+    kept_one = F.col(key).eqNullSafe(F.col("first._id")) & (F.col("class") == F.col("first._class"))
+    beside = found.join(first, "group").where(~kept_one)
+    drop = staged(beside.select(F.col(key).alias(of), F.col("class").alias(gone)).distinct(), "jaccard-dropped")
     drop = F.broadcast(drop) if drop.count() <= BROADCAST_ROWS else drop
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch):
                 classes = [set_hash(s) for s in shingle_sets(*utf8(part.column("text")), similarity.n)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(classes, pa.int64())], [*part.schema.names, "_jaccard_class"]
-                )
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(classes, pa.int64())], [*part.schema.names, own])
 
-    marked = docs.mapInArrow(classify, T.StructType([*docs.schema.fields, T.StructField("_jaccard_class", T.LongType())]))
-    kept = marked.join(drop, F.col(key).eqNullSafe(F.col("_jaccard_id")) & (F.col("_jaccard_class") == F.col("_jaccard_dropped")), "left_anti")
+    marked = docs.mapInArrow(classify, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    kept = marked.join(drop, F.col(key).eqNullSafe(F.col(of)) & (F.col(own) == F.col(gone)), "left_anti")
     if not found.groupBy(key, "class").count().where("count > 1").isEmpty():
         # Rows equal in id and class: one of each stays, and every row without n-grams.
         blank = set_hash(np.zeros(0, np.uint64))
-        empty = kept.where(F.col("_jaccard_class") == blank)
-        kept = kept.where(F.col("_jaccard_class") != blank).dropDuplicates([key, "_jaccard_class"]).union(empty)
-    return kept.drop("_jaccard_class")
+        empty = kept.where(F.col(own) == blank)
+        kept = kept.where(F.col(own) != blank).dropDuplicates([key, own]).union(empty)
+    return kept.drop(own)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

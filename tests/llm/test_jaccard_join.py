@@ -6,6 +6,7 @@ import oracle
 import pytest
 from text_fixtures import SF_DIR, documents, odd_rows
 
+from pingtrace.llm import jaccard_join
 from pingtrace.llm.components import components
 from pingtrace.llm.jaccard_join import ORACLE_SQL, Similarity, keep_first, op3_jaccard_join, similar_components
 
@@ -104,6 +105,53 @@ def test_keep_first(spark, rows):
         assert sum(got[r] > 0 for r in {rows[k] for k in group} if r[0] == lowest) == 1
 
 
+def test_keep_first_with_columns_of_any_names(spark):
+    names = ["_jaccard_id", "_jaccard_class", "_own_id", "_own_class", "_own_dropped", "_OWN_CLASS_", "group", "first"]
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i"), (None, "g h i"), (4, None)]
+    frame = documents(spark, rows).selectExpr("*", *[f"'x' AS `{n}`" for n in names])
+    kept = keep_first(frame, Similarity(3, 90))
+    assert kept.columns == frame.columns
+    found = kept.collect()
+    assert sorted(r.doc_id for r in found) == [1, 3, 4] and all(r[n] == "x" for r in found for n in names)
+
+
+def test_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """One large family of near copies, of which most pairs are links, and one whose pairs lie below the bound."""
+    chance = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+
+    def family(n, base, changes):
+        made = []
+        for _ in range(n):
+            words = list(base)
+            for _ in range(changes):
+                words[chance.randrange(len(words))] = chance.choice(vocabulary)
+            made.append(" ".join(words))
+        return made
+
+    near, apart = chance.choices(vocabulary, k=240), chance.choices(vocabulary, k=240)
+    texts = family(300, near, 2) + family(300, apart, 5)
+    rows = list(enumerate(texts))
+    made = {}
+    for name in ("_possible_links", "_in_question", "_joining_links"):
+        whole = getattr(jaccard_join, name)
+
+        def counted(tiles, similarity, name=name, whole=whole):
+            found = whole(tiles, similarity)
+            made[name] = (tiles.count(), found.count(), tiles.select("division", "block_a", "block_b").distinct().count())
+            return found
+
+        monkeypatch.setattr(jaccard_join, name, counted)
+    whole_linked, pairs = jaccard_join.linked, []
+    monkeypatch.setattr(jaccard_join, "linked", lambda p, *a: pairs.append(p.count()) or whole_linked(p, *a))
+    frame = similar_components(documents(spark, rows), Similarity(3, 90), tile_rows=64)
+    got = Counter((r.doc_id, r["size"], r.component) for r in frame.collect())
+    assert got == plain(rows, 3, 90)[0]
+    # Never more rows than came in; pairs are few for each text, where a family has 44,850.
+    assert made and all(out <= came for came, out, _ in made.values())
+    assert all(n <= 12 * len(rows) for n in pairs)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (501, 501)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
