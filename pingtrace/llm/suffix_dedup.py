@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pingtrace.llm.arrays import hash_prefix, mix, portions, range_hash, row_of, utf8
 from pingtrace.llm.inputs import table
@@ -62,7 +63,26 @@ def _sliding_argmin(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Of every anchor: text, hash, hash of its context, place, and first and last window, all from the text's start."""
+    """Of every anchor: text, hash, hash of its context, place, and first and last window, all from the text's start.
+
+    Places have _PLACE_BITS beside the hashes. What is longer is worked through in pieces that
+    overlap by length - 1 bytes, so every window lies in one piece and names the same anchor; an
+    anchor next to a cut may have two contexts.
+    """
+    most = 1 << _PLACE_BITS
+    if len(data) <= most:
+        return _anchors_of_piece(data, offsets, length, gram)
+    found = []
+    for start in range(0, len(data), most - length + 1):
+        piece = data[start : start + most]
+        inside = np.clip(offsets - start, 0, len(piece))
+        text, anchor, content, *places = _anchors_of_piece(piece, inside, length, gram)
+        shift = inside[text] + start - offsets[text]
+        found.append((text, anchor, content, *(p + shift for p in places)))
+    return tuple(np.concatenate(column) for column in zip(*found, strict=True))
+
+
+def _anchors_of_piece(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     empty = np.zeros(0, np.int64)
     if len(data) < length:
         return empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty
@@ -174,7 +194,7 @@ def _contexts(docs: DataFrame, chosen: DataFrame, key: str, length: int) -> Data
                 yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     out = pa.schema(
-        [("h1", pa.int64()), ("h2", pa.int64()), ("order", _arrow_type(kind)), ("anchor", pa.int64()), ("content", pa.int64()),
+        [("h1", pa.int64()), ("h2", pa.int64()), ("order", to_arrow_type(chosen.schema["order"].dataType)), ("anchor", pa.int64()), ("content", pa.int64()),
          ("low", pa.int64()), ("high", pa.int64()), ("single", pa.bool_()), ("bytes", pa.binary())]
     )
     texts = docs.select("text", *_identity(key)).join(lists, ["h1", "h2"]).select("h1", "h2", "text", "wanted")
@@ -182,10 +202,6 @@ def _contexts(docs: DataFrame, chosen: DataFrame, key: str, length: int) -> Data
     return texts.mapInArrow(cut, schema)
 
 
-def _arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def _in_suffix_order(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """(h1, h2, begin, end) to remove, from contexts of anchors with few enough of them."""
     columns = ["h1", "h2", "low", "single", "bytes"]

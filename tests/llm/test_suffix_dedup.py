@@ -1,9 +1,12 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from text_fixtures import SF_DIR, documents, odd_rows
 
+from pingtrace.llm import suffix_dedup
 from pingtrace.llm.suffix_dedup import dedup, op6_suffix_dedup
 
 WORDS = ["ab", "ba", "a", "é", " ", "abba", "bb", "\n", "the end of it", "😀"]
@@ -50,6 +53,34 @@ def test_small_windows(spark, keep_first, most_contexts):
     assert got == plain(rows, 20, keep_first)
 
 
+@pytest.mark.parametrize("bits", [7, 9])
+def test_texts_longer_than_the_place_bits(spark, monkeypatch, bits):
+    """Places of a text that do not fit beside the hashes: pieces give the same."""
+    monkeypatch.setattr(suffix_dedup, "_PLACE_BITS", bits)
+    chance = random.Random(bits)
+    middle = "".join(chance.choices("abcdefgh é", k=600))
+    rows = [(1, "x" + middle + "yz" * 90), (2, middle[50:500]), (3, "q" * 400), (4, middle[:130] + "w" + middle[300:420]), (5, None)]
+    got = digest(dedup(documents(spark, rows), length=40, gram=8))
+    assert got == plain(rows, 40)
+
+
+def test_a_very_long_text(spark):
+    chance = random.Random(5)
+    noise = "".join(chance.choices("abcdefghijklmnopqrstuvwxyz ", k=2_000_000))
+    rows = [(1, noise + noise[1_000_000:1_000_500] + "!" + noise[:300]), (2, noise[5000:5399]), (3, noise[77_000:77_450])]
+    found = {r.doc_id: (r.n_bytes, [(s.begin, s.end) for s in r.spans]) for r in dedup(documents(spark, rows)).collect()}
+    assert found[1][1] == [(77_000, 77_450), (1_000_000, 1_000_500), (2_000_000, 2_000_500)]
+    assert found[2] == (399, []) and found[3] == (450, [(0, 450)])
+
+
+def test_ids_of_any_type(spark):
+    rows = [(1, "ab" * 40), (2, "ab" * 40), (None, "c")]
+    frame = documents(spark, rows)
+    for kind in ("string", "smallint", "decimal(10,0)", "date"):
+        typed = frame.withColumn("doc_id", F.expr("date '2024-01-01' + cast(doc_id AS int)") if kind == "date" else F.col("doc_id").cast(kind))
+        assert sorted(len(r.kept) for r in dedup(typed, length=20, gram=8).collect()) == [0, 0, 1]
+
+
 def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     assert Counter(map(tuple, op6_suffix_dedup(spark, SF_DIR).collect())) == plain(rows, 400)
