@@ -12,7 +12,7 @@ texts, above that both sides are shuffled by id.
 
 Defined results: null counts as empty text and has no spans; repeated rows are
 searched each, rows of the same id share their candidates (which may only cost a
-needless search); a null id is an id like any other; other columns are kept by
+needless search); a null id is an id like any other; other columns, of any names, are kept by
 `redact` and not read by `find_secrets`.
 """
 
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pingtrace.llm.inputs import table
+from pingtrace.llm.inputs import fresh_names, table
 from pingtrace.llm.spans import joined, matches, none
 from pingtrace.llm.trigrams import trigram_query
 from pingtrace.sources.staging import staged
@@ -48,9 +48,9 @@ _ASSIGN = (
 # headers of an encrypted key before them. Lines may be quoted, indented or parted by a written \\n.
 _PARTED = r"(?:[\s\"'+>|#*;,]|\\[nrt]?+)*+"
 _PRIVATE_KEY = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    rf"|(?:{_PARTED}(?:Proc-Type|DEK-Info):\x20?+[A-Za-z0-9,-]++)*+"
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_PARTED}(?:(?:Proc-Type|DEK-Info):\x20?+[A-Za-z0-9,-]++|(?:Version|Comment|Charset):[^\r\n\\]*+))*+"
     rf"(?:{_PARTED}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+"
     rf"(?:(?<=[A-Za-z0-9+/]{{16}}){_PARTED}[A-Za-z0-9+/]++(?:={{1,2}}+|(?=[\x20\t\"',]*+(?:[\r\n\\]|$))))?+)"
 )
@@ -113,18 +113,19 @@ def candidates(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "t
     return met.where(enough).groupBy(key).agg(F.collect_set("rule").alias("_secret_rules"))
 
 
-def _with_spans(docs: DataFrame, rules, key: str, text: str) -> DataFrame:
-    """`docs` with `_secret_spans`: an array of (start, rank, end, kind) per rule, by rule name."""
-    chosen = staged(candidates(docs, rules, key, text), "secret-candidates").withColumnRenamed(key, "_secret_key")
+def _with_spans(docs: DataFrame, name: str, rules, key: str, text: str) -> DataFrame:
+    """`docs` with the column `name`: a struct with an array of (start, rank, end, kind) for each rule, by its name."""
+    id_, held = fresh_names(docs, "key", "rules")
+    chosen = staged(candidates(docs, rules, key, text), "secret-candidates").toDF(id_, held)
     if chosen.count() <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    joined_ = docs.join(chosen, F.col(key).eqNullSafe(F.col("_secret_key")), "left").drop("_secret_key")
+    searched = docs.join(chosen, F.col(f"`{key}`").eqNullSafe(F.col(id_)), "left").drop(id_)
     whole = F.coalesce(F.col(text), F.lit(""))
 
     def spans(rank: int, rule: Rule) -> Column:
         found = F.filter(matches(whole, rule.pattern), lambda m: rule.check(m["text"]))
         if trigram_query(rule.pattern):
-            found = F.when(F.array_contains("_secret_rules", rule.name), found).otherwise(none())
+            found = F.when(F.array_contains(held, rule.name), found).otherwise(none())
         else:
             found = F.when(whole.rlike(rule.pattern), found).otherwise(none())
         return F.transform(
@@ -135,12 +136,14 @@ def _with_spans(docs: DataFrame, rules, key: str, text: str) -> DataFrame:
         ).alias(rule.name)
 
     every = F.struct(*[spans(rank, rule) for rank, rule in enumerate(rules)])
-    return joined_.withColumn("_secret_spans", every).drop("_secret_rules")
+    return searched.withColumn(name, every).drop(held)
 
 
 def find_secrets(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key` and, per rule, an array of (start, rank, end, kind), in code points, of every row."""
-    return _with_spans(docs.select(key, text), rules, key, text).select(key, "_secret_spans.*")
+    taken = docs.select(key, text)
+    (name,) = fresh_names(taken, "spans")
+    return _with_spans(taken, name, rules, key, text).select(key, f"{name}.*")
 
 
 def redact(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,8 +151,9 @@ def redact(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text"
 
     Rows without spans are returned as they are.
     """
-    found = _with_spans(docs, rules, key, text)
-    spans = F.array_sort(F.concat(*[F.col("_secret_spans")[r.name] for r in rules]))
+    (name,) = fresh_names(docs, "spans")
+    found = _with_spans(docs, name, rules, key, text)
+    spans = F.array_sort(F.concat(*[F.col(name)[r.name] for r in rules]))
     whole, state = F.col(text), F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("at"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -166,7 +170,7 @@ def redact(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text"
         cut,
         lambda acc: F.concat(acc["kept"], F.substring(whole, (acc["at"] + 1).cast("int"), F.length(whole))),
     )
-    return found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(whole)).drop("_secret_spans")
+    return found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(whole)).drop(name)
 
 
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

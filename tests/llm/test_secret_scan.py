@@ -87,6 +87,7 @@ def key_lines(seed, n=20):
 
 def test_redact_whole_keys(spark):
     begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    begin_pgp, end_pgp = "-----BEGIN PGP PRIVATE KEY BLOCK-----", "-----END PGP PRIVATE KEY BLOCK-----"
     lines = key_lines(1)
     secret = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", "", *lines]
     body = "\n".join(lines)
@@ -103,6 +104,8 @@ def test_redact_whole_keys(spark):
         (f"the line {begin} is the first", f"the line {MASK} is the first"),
         (begin + "\n" + "\n".join(key_lines(2, 20_000)) + f"\n{end} b", f"{MASK} b"),
         (begin + "\n" + "\n".join(key_lines(3, 20_000)) + "\n\nb c", f"{MASK}\n\nb c"),
+        ("a\n" + "\n".join([begin_pgp, "Version: GnuPG v2", "Comment: a - b", "", *lines, "=aB3d", end_pgp]) + "\nb", f"a\n{MASK}\nb"),
+        ("\n".join([begin_pgp, "Version: GnuPG v2", "", *lines]) + "\n\nand so on", f"{MASK}\n\nand so on"),
         (f"x https://{'n' * 90}:{'p' * 300}@host/ y", f"x {MASK}host/ y"),
     ]
     frame = documents(spark, [(k, text) for k, (text, _) in enumerate(cases)])
@@ -113,3 +116,20 @@ def test_redact_whole_keys(spark):
 
 def test_empty_table(spark):
     assert find_secrets(documents(spark, [])).collect() == []
+
+
+def test_columns_of_any_names(spark):
+    names = ["_secret_rules", "_secret_spans", "_secret_key", "_own_key", "_own_rules", "_OWN_SPANS", "_own_spans_", "trigram"]
+    frame = documents(spark, [(1, "a password=abcdefgh b"), (2, None)]).selectExpr("*", *[f"'x' AS `{n}`" for n in names])
+    masked = redact(frame)
+    assert masked.columns == frame.columns
+    rows = {r.doc_id: r for r in masked.collect()}
+    assert rows[1].text == f"a {MASK} b" and all(rows[2][n] == "x" for n in names)
+    assert redact(frame.limit(0)).collect() == [] and find_secrets(frame).count() == 2
+
+
+def test_a_very_long_text(spark):
+    filler = "plain words without anything, " * 340_000  # 10 MB
+    rows = [(1, filler + "password=abcdefgh " + filler), (2, "x")]
+    row = find_secrets(documents(spark, rows)).where("doc_id = 1").first()
+    assert [(s.start, s.end) for s in row["assign"]] == [(len(filler), len(filler) + len("password=abcdefgh"))]
