@@ -3,12 +3,23 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from text_fixtures import SF_DIR, documents, odd_rows
 
-from pingtrace.llm import quality_rules
 from pingtrace.llm.quality_classifier import Model, fit, op9_quality_classifier, pool_adjacent_violators, score_quality
 from pingtrace.llm.inputs import fold
-from pingtrace.llm.quality_rules import apply_rules, choose_cutoff, op10_quality_rules, upper_bound
+from pingtrace.llm.quality_rules import (
+    COUNTS_OF_RATIOS,
+    NEVER,
+    RISK,
+    apply_rules,
+    choose_threshold,
+    learn_cutoffs,
+    op10_quality_rules,
+    rejected,
+    severities,
+    upper_bound,
+)
 from pingtrace.llm.text_stats import with_counts
 
 WORDS = ["a ", "bb ", "the ", "É", "#", "$|", "\n", "same line\n", "x y z w v u t s r ", "<>", " ", "😀 ", "1", "UP "]
@@ -61,13 +72,16 @@ def test_upper_bound():
         assert total == pytest.approx(0.01, rel=1e-6)
 
 
-def test_choose_cutoff():
+def test_severities_and_threshold():
     good, bad = [0] * 201, [0] * 201
     good[3], bad[90], bad[3] = 5000, 40, 10
-    assert choose_cutoff(good, bad, 0.001) == 90
-    good[120] = 400  # too many good ones above
-    assert choose_cutoff(good, bad, 0.001) is None
-    assert choose_cutoff([0] * 201, [0] * 201, 0.001) is None
+    found = severities(good, bad)
+    assert found[0] == NEVER and found[3] == 1 and found[4] == found[200] == 1 / 5001
+    assert severities(good, [0] * 201) == [NEVER] * 201 == severities(good, good)
+    assert choose_threshold([0.0, 0.5, NEVER], [0, 5000, 0], [40, 0, 10], 0.001) == 0.0
+    assert choose_threshold([0.0, 0.1], [400, 4600], [40, 10], 0.001) is None  # too many good ones
+    assert choose_threshold([0.0, 0.1], [0, 300], [40, 10], 0.001) is None  # too few to prove it
+    assert choose_threshold([], [], [], 0.001) is None
 
 
 def junk(k):
@@ -93,11 +107,57 @@ def test_small_holdouts_keep_documents(spark, marked):
     assert judged.where("kept = base_failed").isEmpty()
 
 
-def test_rare_strata_are_pooled(spark, marked, monkeypatch):
+def test_joint_risk_of_a_hundred_strata(spark):
+    """All rules together reject at most RISK of the good documents to come, in every stratum."""
+    strata, labelled, fresh = 100, 4000, 20_000
+    rows = spark.range(strata * (labelled + fresh)).selectExpr(
+        "id AS doc_id",
+        f"concat('l', id % {strata}) AS lang",
+        f"id < {strata * labelled} AS known",
+        "pmod(xxhash64(id, 'bad'), 4) = 0 AS junk",
+        "pmod(xxhash64(id, 'a'), 100000) / 1e5 AS a",
+        "pmod(xxhash64(id, 'b'), 100000) / 1e5 AS b",
+    )
+    # Two rules whose levels have tails of their own, and do not go together.
+    stats = rows.selectExpr(
+        "doc_id",
+        "lang",
+        "known",
+        "junk",
+        "1000L AS word_chars",
+        "1000L AS n_words",
+        "cast(if(junk AND a < 0.4, 890 - 400 * b, 900 * pow(a, 60)) AS bigint) AS n_symbols",
+        "cast(if(junk AND a > 0.4, 890 - 400 * b, 900 * pow(b, 60)) AS bigint) AS n_repeat_words",
+        *[f"0L AS {c}" for c in sorted(COUNTS_OF_RATIOS - {"word_chars", "n_words", "n_symbols", "n_repeat_words"})],
+    )
+    labels = stats.where("known").selectExpr("doc_id", "cast(NOT junk AS int) AS quality", "0 AS toxic")
+    cuts = learn_cutoffs(stats, labels)
+    assert cuts.count() == strata
+    judged = stats.where("NOT known").join(cuts, stats.lang == cuts.stratum).withColumn("gone", rejected())
+    rates = (
+        judged.selectExpr("lang", "if(junk, NULL, cast(gone AS int)) AS good", "if(junk, cast(gone AS int), NULL) AS bad")
+        .groupBy("lang")
+        .agg(F.avg("good").alias("good"), F.avg("bad").alias("bad"))
+    ).collect()
+    assert len(rates) == strata
+    assert all(r.good <= RISK for r in rates) and all(r.bad > 0.2 for r in rates)
+
+
+def test_strata_without_labels_reject_nothing(spark, marked):
     rows, labels = marked
-    monkeypatch.setattr(quality_rules, "MOST_STRATA", 1)
-    judged = apply_rules(documents(spark, rows), labels)
-    assert judged.where("kept != (doc_id % 4 != 0)").isEmpty()
+    frame = documents(spark, rows)
+    elsewhere = frame.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx").otherwise("yy"))
+    judged = apply_rules(elsewhere, labels.where("doc_id % 2 = 0"))
+    assert judged.where("lang = 'yy' AND kept = base_failed").isEmpty()
+    assert not judged.where("lang = 'xx' AND NOT kept AND NOT base_failed").isEmpty()
+
+
+def test_few_good_documents_of_the_query_are_lost(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    known = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    good = op10_quality_rules(spark, sf_dir).join(known, "doc_id")
+    lost = good.where("NOT kept AND NOT base_failed").count()
+    assert lost <= RISK * good.count()
 
 
 def test_isotonic():
