@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pingtrace.llm import decontamination, jaccard_join, mixing, secret_scan, toxicity
-from pingtrace.llm.inputs import table
+from pingtrace.llm.inputs import fresh_names, table
 from pingtrace.sources.staging import staged
 
 #: The toxicity classifier is trained, which SQL cannot express.
@@ -35,9 +35,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked; n_chars follows where a text has changed."""
-    masked = secret_scan.redact(docs.withColumnRenamed("text", "_before").withColumn("text", F.col("_before")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    """All documents, secrets masked; n_chars follows where a text has changed. Columns may have any names."""
+    (before,) = fresh_names(docs, "before")
+    masked = secret_scan.redact(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     n_chars = F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return masked.withColumn("n_chars", n_chars).select(*docs.columns)
 
