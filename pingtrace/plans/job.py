@@ -14,8 +14,8 @@ from pingtrace.plans.tracing import (
     lasting_stays_by_day,
 )
 from pingtrace.sources.pings import day_slice, read_pings
-from pingtrace.sources.results import write_daily_counts, write_geo_totals
-from pingtrace.sources.staging import staged
+from pingtrace.sources.results import all_or_nothing, write_daily_counts, write_geo_totals
+from pingtrace.sources.staging import StageScope, staged
 
 
 def spread(
@@ -42,14 +42,18 @@ def run(
     start: datetime.date,
     days: int = 15,
     people: int = 100,
+    mode: str = "error",
     **columns: str | None,
 ) -> None:
     """Read a ping table and write `daily_infected.csv` and `daily_geoloc_evts.csv` folders.
 
-    Further keywords name the columns of the ping table, as in `normalise_pings`.
+    Both appear under `result_path` together or not at all, and the tables staged on the
+    way are deleted. Further keywords name the columns of the ping table, as in
+    `normalise_pings`.
     """
     last = start + datetime.timedelta(days=days - 1)
     pings = read_pings(spark, ping_path, days=(str(start), str(last)), **columns)
-    _, daily, totals = spread(pings, start, days, people)
-    write_daily_counts(daily, f"{result_path}/daily_infected.csv")
-    write_geo_totals(totals, f"{result_path}/daily_geoloc_evts.csv")
+    with StageScope(spark), all_or_nothing(spark, result_path, mode) as folder:
+        _, daily, totals = spread(pings, start, days, people)
+        write_daily_counts(daily, f"{folder}/daily_infected.csv")
+        write_geo_totals(totals, f"{folder}/daily_geoloc_evts.csv")
