@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import datetime
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pingtrace.functions.geo import EARTH_RADIUS_M, number
+from pingtrace.functions.hilbert import with_hilbert
+
 PING_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType()),
@@ -97,3 +101,57 @@ def read_pings(
 def write_pings(pings: DataFrame, path: str, mode: str = "error") -> None:
     """Write pings as Parquet, one folder per day, without piling a day into one task."""
     pings.hint("rebalance", "iso_date").write.mode(mode).partitionBy("iso_date").parquet(path)
+
+
+def write_pings_by_place(pings: DataFrame, path: str, mode: str = "error") -> None:
+    """Write pings as Parquet, one folder per day, in the order of a Hilbert curve within each.
+
+    Every file holds a compact area, and so does every page of it, so their statistics let
+    readers who ask for an area (`near_boxes`) pass over the others. Pings at one place
+    may be spread over several files: a place with a great part of a day's pings is not
+    written by one task.
+    """
+    placed = with_hilbert(pings, "latitude", "longitude")
+    spread = placed.repartitionByRange("iso_date", "hilbert", F.xxhash64("id", "ts"))
+    laid = spread.sortWithinPartitions("iso_date", "hilbert").drop("hilbert")
+    laid.write.mode(mode).partitionBy("iso_date").parquet(path)
+
+
+def near_boxes(places: DataFrame, metres: float, most: int = 32) -> str:
+    """A condition in SQL that holds for all positions within `metres` of `places`: up to some `most` boxes.
+
+    It compares latitude and longitude with literals, so file readers can use it on their
+    statistics. Boxes are those of the occupied tiles of a grid over the extent; a few
+    numbers for each come to the driver.
+    """
+    extent = [
+        F.min("latitude").alias("south"),
+        F.max("latitude").alias("north"),
+        F.min("longitude").alias("west"),
+        F.max("longitude").alias("east"),
+    ]
+    whole = places.agg(*extent).first()
+    if whole["south"] is None:
+        return "false"
+    side = max(1, math.isqrt(most))
+    tall = max((whole["north"] - whole["south"]) / side, 1e-9)
+    wide = max((whole["east"] - whole["west"]) / side, 1e-9)
+    tile = [
+        F.expr(f"least({side - 1}, floor((latitude - {number(whole['south'])}) / {number(tall)})) AS row"),
+        F.expr(f"least({side - 1}, floor((longitude - {number(whole['west'])}) / {number(wide)})) AS col"),
+    ]
+    boxes = places.groupBy(*tile).agg(*extent).collect()
+    reach = math.degrees(metres / EARTH_RADIUS_M) * (1 + 1e-6)
+    tests = []
+    for box in boxes:
+        south, north = box["south"] - reach, box["north"] + reach
+        within = f"latitude BETWEEN {number(south)} AND {number(north)}"
+        # Towards a pole a degree of longitude shrinks; next to one all longitudes are near.
+        steepest = max(abs(south), abs(north))
+        if steepest < 89.9:
+            across = math.degrees(math.asin(min(1.0, math.sin(math.radians(reach)) / math.cos(math.radians(steepest)))))
+            west, east = box["west"] - across, box["east"] + across
+            if west >= -180 and east <= 180:  # else it reaches across the 180 degree meridian
+                within += f" AND longitude BETWEEN {number(west)} AND {number(east)}"
+        tests.append(f"({within})")
+    return " OR ".join(tests)
