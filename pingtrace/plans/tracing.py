@@ -21,9 +21,12 @@ from pingtrace.operators.contacts import (
 from pingtrace.operators.exposure import EXPOSURE_MINUTES, exposed_session, exposed_total
 from pingtrace.operators.stays import cohort_stays, stays
 from pingtrace.operators.summaries import ping_totals
-from pingtrace.sources.staging import broadcast_if_small, new_folder, staged
+from pingtrace.sources.pings import near_boxes
+from pingtrace.sources.staging import broadcast_if_small, folder_exists, new_folder, staged
 
 REACHED_SCHEMA = "id string, first_day int, hop int"
+# People reached, handed on from one of their days to the next: `since` is the day of the hand-over.
+_HANDED_ON = "id string, hop int, first_day int, since int"
 
 
 def lasting_stays_by_day(pings: DataFrame) -> DataFrame:
@@ -38,12 +41,18 @@ def all_contact_edges(
     return contact_edges(staged(with_length(stays(pings)), "stays"), metres, min_minutes)
 
 
-def cohort_contacts(pings: DataFrame, cohort: DataFrame, overlapping: bool = True) -> DataFrame:
+def cohort_contacts(
+    pings: DataFrame, cohort: DataFrame, overlapping: bool = True, most_boxes: int | None = None
+) -> DataFrame:
     """Close contacts of a cohort with everyone else, from pings.
 
     The cohort's stays come first; of the others only person-days with a ping in
     a grid cell within reach of these are shuffled into stays, whole, so that
     their stays keep their numbers.
+
+    On a table written by place (`write_pings_by_place`) `most_boxes` lets the search for
+    these person-days pass over files without pings near the cohort: by about as
+    many boxes around its stays, from two small jobs.
     """
     members = staged(cohort.select("id").distinct(), "cohort")
     mine = cohort_stays(pings, members)
@@ -51,7 +60,8 @@ def cohort_contacts(pings: DataFrame, cohort: DataFrame, overlapping: bool = Tru
     grid = CellGrid(EXPOSURE_DISTANCE_M)
     reach = grid.with_reached_cells(mine, "latitude", "longitude").select("iso_date", "cy", "cx").distinct()
     reach = staged(reach, "cohort-cells")
-    homes = grid.with_home_cell(pings.select("id", "iso_date", "latitude", "longitude"), "latitude", "longitude")
+    searched = pings if most_boxes is None else pings.where(near_boxes(mine, EXPOSURE_DISTANCE_M, most_boxes))
+    homes = grid.with_home_cell(searched.select("id", "iso_date", "latitude", "longitude"), "latitude", "longitude")
     near = homes.join(broadcast_if_small(reach), ["iso_date", "cy", "cx"], "left_semi")
     near = staged(near.select("id", "iso_date").distinct(), "near-person-days")
     others = stays(pings.join(broadcast_if_small(near), ["id", "iso_date"], "left_semi"))
@@ -65,12 +75,13 @@ def cohort_exposure(
     min_minutes: float = EXPOSURE_MINUTES,
     continuous: bool = False,
     literal: bool = False,
+    most_boxes: int | None = None,
 ) -> DataFrame:
     """People exposed to the cohort: (iso_date, id, total_exposure_seconds) per contact.
 
     `continuous` asks for one unbroken session of that length.
     """
-    contacts = cohort_contacts(pings, cohort)
+    contacts = cohort_contacts(pings, cohort, most_boxes=most_boxes)
     if continuous:
         return exposed_session(contacts, min_minutes, literal)
     return exposed_total(contacts, min_minutes)
@@ -93,18 +104,22 @@ def exposure_cascade(
     first day. `days` ends the search after that many days.
 
     `stays` should be a table, best by day (`lasting_stays_by_day`): every day
-    reads its own part. Only the people reached so far are compared with the
-    others, and each day's newcomers are written to the shared folder, so a lost
-    executor costs at most the work of one day.
+    reads its own part. A day gets from earlier ones only the people reached who
+    are there on it, and hands them and its newcomers on to the next day on which each
+    of them has a stay; nobody is looked at on days without them. Only reached people are
+    compared, with the others. Each day writes once, so a lost executor costs at
+    most the work of one day.
     """
     # As many rows as there are days.
-    counts = stays.where(f"iso_date > date '{start}'").groupBy("iso_date").count().collect()
-    sizes = {row["iso_date"]: row["count"] for row in counts}
+    later = stays.where(f"iso_date > date '{start}'")
+    sizes = {row["iso_date"]: row["count"] for row in later.groupBy("iso_date").count().collect()}
 
-    def newcomers(date: datetime.date, reached: DataFrame) -> DataFrame:
+    def newcomers(date: datetime.date, state: DataFrame) -> DataFrame:
         present = with_length(stays.where(f"iso_date = date '{date}'"))
-        # Used on both sides, so the marked day is written once.
-        marked = staged(present.join(reached.select("id", "hop"), "id", "left"), "cascade-day")
+        marked = present.join(state.select("id", "hop"), "id", "left")
+        if sizes[date] > block_rows:
+            # Used on both sides, so a large marked day is written once.
+            marked = staged(marked, "cascade-day")
         pairs = near_pairs(
             marked.where("hop IS NOT NULL"),
             marked.where("hop IS NULL"),
@@ -120,7 +135,7 @@ def exposure_cascade(
         )
         return exposed.groupBy(F.expr("b_id AS id")).agg(F.expr("min(a_hop) + 1 AS hop"))
 
-    return _day_by_day(seeds, start, sorted(sizes), days, newcomers)
+    return _day_by_day(seeds, start, sorted(sizes), days, with_length(later), newcomers)
 
 
 def cascade_over_edges(
@@ -135,21 +150,31 @@ def cascade_over_edges(
     For many seed sets over the same days, where the edges of all people are
     worth building once. Keep the edges partitioned by day.
     """
-    later = edges.where(f"iso_date > date '{start}'")
-    dates = sorted(row["iso_date"] for row in later.select("iso_date").distinct().collect())
     enough = f"round(total_exposure_time * 60) >= {number(min_minutes * 60)}"
+    later = edges.where(f"iso_date > date '{start}' AND {enough}")
+    dates = sorted(row["iso_date"] for row in later.select("iso_date").distinct().collect())
 
-    def newcomers(date: datetime.date, reached: DataFrame) -> DataFrame:
+    def newcomers(date: datetime.date, state: DataFrame) -> DataFrame:
         return (
-            edges.where(f"iso_date = date '{date}' AND {enough}")
+            later.where(f"iso_date = date '{date}'")
             .selectExpr("i1 AS source", "i2 AS id")
-            .join(reached.selectExpr("id AS source", "hop"), "source")
+            .join(state.selectExpr("id AS source", "hop"), "source")
             .groupBy("id")
             .agg(F.expr("min(hop) + 1 AS hop"))
-            .join(reached.select("id"), "id", "left_anti")
+            .join(state.select("id"), "id", "left_anti")
         )
 
-    return _day_by_day(seeds, start, dates, days, newcomers)
+    return _day_by_day(seeds, start, dates, days, later.selectExpr("i1 AS id", "iso_date"), newcomers)
+
+
+def following_days(present: DataFrame) -> DataFrame:
+    """(id, iso_date, next_day): each day of a person and the person's next one, staged by day.
+
+    A person has at most one row per day here, however busy.
+    """
+    in_order = "lead(iso_date) OVER (PARTITION BY id ORDER BY iso_date) AS next_day"
+    days = present.select("id", "iso_date").distinct().selectExpr("id", in_order, "iso_date")
+    return staged(days, "following-days", ("iso_date",))
 
 
 def _day_by_day(
@@ -157,24 +182,40 @@ def _day_by_day(
     start: datetime.date,
     dates: list[datetime.date],
     days: int | None,
+    present: DataFrame,
     newcomers: Callable[[datetime.date, DataFrame], DataFrame],
 ) -> DataFrame:
-    """Add each date's newcomers to the people reached before, one written partition per day."""
+    """Add each date's newcomers to the people reached before.
+
+    `present` has (id, iso_date) of whoever can take part on a date, and
+    `newcomers(date, state)` finds (id, hop) outside the state, which are the reached
+    people of that date. Each date's state lies in a folder of its own.
+    """
     spark = seeds.sparkSession
     folder = new_folder(spark, "cascade")
+    calendar = following_days(present)
+
+    def hand_on(people: DataFrame) -> None:
+        people.write.mode("append").partitionBy("next_day").parquet(folder)
+
+    first = calendar.groupBy("id").agg(F.min("iso_date").alias("next_day"))
     known = seeds.where("id IS NOT NULL").select("id").distinct()
-    known.selectExpr("id", "0 AS hop").write.parquet(f"{folder}/first_day=0")
+    hand_on(known.join(first, "id", "left").selectExpr("id", "0 AS hop", "0 AS first_day", "0 AS since", "next_day"))
     for date in dates:
         day = (date - start).days
         if days is not None and day >= days:
             break
-        newcomers(date, _reached(spark, folder)).write.parquet(f"{folder}/first_day={day}")
-    return _reached(spark, folder)
-
-
-def _reached(spark: SparkSession, folder: str) -> DataFrame:
-    table = spark.read.schema(REACHED_SCHEMA).parquet(folder)
-    return table.select("id", "first_day", "hop")
+        here = f"{folder}/next_day={date}"
+        if not folder_exists(spark, here):
+            continue
+        state = spark.read.schema(_HANDED_ON).parquet(here)
+        found = newcomers(date, state).selectExpr("id", "hop", f"{day} AS first_day", f"{day} AS since")
+        people = state.selectExpr("id", "hop", "first_day", f"{day} AS since").unionAll(found)
+        follow = calendar.where(f"iso_date = date '{date}'").select("id", "next_day")
+        hand_on(people.join(follow, "id", "left"))
+    table = spark.read.schema(f"{_HANDED_ON}, next_day date").parquet(folder)
+    # Everyone stands once with the day of joining; the other rows hand them on.
+    return table.where("since = first_day").select("id", "first_day", "hop")
 
 
 def daily_reach(reached: DataFrame, last_day: int) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime
 import random
+from pathlib import Path
 
 import pytest
 from helpers import DAY, ids, ping, pings
@@ -8,10 +9,10 @@ from pingtrace.operators.contacts import close_contacts, contact_edges
 from pingtrace.operators.exposure import contact_flags, session_labels, session_totals
 from pingtrace.operators.stays import stays
 from pingtrace.operators.summaries import geo_event_totals
-from pingtrace.plans import job, tracing
+from pingtrace.plans import job, reports, tracing
 from pingtrace.sources import events, results
 from pingtrace.sources.pings import write_pings
-from pingtrace.sources.staging import staged
+from pingtrace.sources.staging import StageScope, folder_exists, new_folder, shared_folder, staged
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -111,3 +112,92 @@ def test_whole_job_from_files_to_files(spark, tmp_path):
         if day < 4 and r["id"] in first_day:
             expected += first_day[r["id"]] < day or day == first_day[r["id"]] == 0
     assert totals.selectExpr("sum(tot_evts)").first()[0] == expected > 0
+
+
+def _staged_now(spark):
+    root = Path(shared_folder(spark).removeprefix("file:")) / "pingtrace"
+    return {p.name for p in root.iterdir()} if root.exists() else set()
+
+
+def test_reports_share_one_cascade_and_leave_nothing(spark, monkeypatch):
+    runs, whole = [], reports.exposure_cascade
+    monkeypatch.setattr(reports, "exposure_cascade", lambda *a: runs.append(1) or whole(*a))
+    pings = events.daily_pings(spark, SF_DIR)
+    seeds = ids(spark, ["0", "1", "2"])
+    before = _staged_now(spark)
+    with reports.CascadeReports(pings, seeds, DAY, days=15) as made:
+        counts = [r["total_infected"] for r in made.daily_reach().orderBy("day").collect()]
+        totals = sorted(map(tuple, made.geo_totals().collect()))
+        by_day = made.geo_totals(by_day=True).collect()
+        reached = made.reached.collect()
+        assert len(_staged_now(spark) - before) == 1
+    assert _staged_now(spark) == before and len(runs) == 1
+    assert counts == [3, 3, 5, 5, 5, 6, 6, 6, 7, 7, 7, 9, 9, 9, 10]
+    again = spark.createDataFrame(reached, tracing.REACHED_SCHEMA)
+    within = pings.where(f"iso_date < date '{DAY + datetime.timedelta(days=15)}'")
+    assert totals == sorted(map(tuple, tracing.cohort_geo_totals(within, again, DAY).collect()))
+    assert sum(r["tot_evts"] for r in by_day) == sum(t[2] for t in totals)
+    with pytest.raises(RuntimeError):
+        reports.CascadeReports(pings, seeds, DAY).daily_reach()
+
+
+def test_scopes_nest_and_end(spark):
+    with StageScope(spark) as outer:
+        mine = staged(spark.range(3), "mine")
+        with StageScope(spark) as inner:
+            assert new_folder(spark, "x").startswith(inner.folder)
+            staged(spark.range(2), "theirs")
+            assert folder_exists(spark, inner.folder)
+        assert not folder_exists(spark, inner.folder)
+        assert mine.count() == 3 and new_folder(spark, "x").startswith(outer.folder)
+    assert not folder_exists(spark, outer.folder)
+    assert "scope-" not in new_folder(spark, "x")
+
+
+def test_a_job_that_fails_leaves_no_result(spark, tmp_path, monkeypatch):
+    write_pings(events.daily_pings(spark, SF_DIR), str(tmp_path / "pings"))
+    out = tmp_path / "out"
+
+    def fails(totals, path, mode="error"):
+        results.write_lines(spark.createDataFrame([("half",)], "line string"), path)
+        raise OSError("disk full")
+
+    before = _staged_now(spark)
+    run = {"timestamp": "ts", "days": 2, "people": 3}
+    with monkeypatch.context() as patch:
+        patch.setattr(job, "write_geo_totals", fails)
+        with pytest.raises(OSError, match="disk full"):
+            job.run(spark, str(tmp_path / "pings"), str(out), DAY, **run)
+    assert [p.name for p in tmp_path.iterdir()] == ["pings"] and _staged_now(spark) == before
+    job.run(spark, str(tmp_path / "pings"), str(out), DAY, **run)
+    held = sorted(p.name for p in out.iterdir())
+    assert held == ["daily_geoloc_evts.csv", "daily_infected.csv"]
+    with pytest.raises(FileExistsError):
+        job.run(spark, str(tmp_path / "pings"), str(out), DAY, **run)
+    with monkeypatch.context() as patch:
+        patch.setattr(job, "write_geo_totals", fails)
+        with pytest.raises(OSError):
+            job.run(spark, str(tmp_path / "pings"), str(out), DAY, mode="overwrite", **run)
+    assert sorted(p.name for p in out.iterdir()) == held
+    assert results.read_daily_counts(spark, str(out / "daily_infected.csv")).count() == 2
+    job.run(spark, str(tmp_path / "pings"), str(out), DAY, mode="overwrite", **(run | {"days": 3}))
+    assert results.read_daily_counts(spark, str(out / "daily_infected.csv")).count() == 3
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out", "pings"]
+
+
+def test_people_absent_for_days_are_handed_on(spark):
+    """Someone reached is seen again only after days away, and reaches others then."""
+
+    def together(people, latitude, day, hour=10):
+        date = DAY + datetime.timedelta(days=day)
+        return [ping(id, (latitude, -3.7), f"{h}:00:00", date) for id in people for h in (hour, hour + 1)]
+
+    rows = together("pq", 40.0, 1) + together("xy", 40.0, 2) + together("qr", 41.0, 7)
+    rows += together("rs", 40.0, 8) + together("ps", 42.0, 8, hour=12)
+    table = staged(stays(pings(spark, rows)), "away")
+    for block_rows in (1, 10_000):
+        reached = tracing.exposure_cascade(table, ids(spark, ["p"]), DAY, block_rows=block_rows)
+        assert {tuple(r) for r in reached.collect()} == {("p", 0, 0), ("q", 1, 1), ("r", 7, 2), ("s", 8, 1)}
+        edges = staged(contact_edges(table), "edges", ("iso_date",))
+        along = tracing.cascade_over_edges(edges, ids(spark, ["p", None]), DAY)
+        assert sorted(map(tuple, along.collect())) == sorted(map(tuple, reached.collect()))
