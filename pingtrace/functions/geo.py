@@ -104,3 +104,56 @@ class CellGrid:
             .selectExpr("*", f"explode(sequence({first}, least({last}, {first} + _columns - 1))) AS _cx")
             .selectExpr("* EXCEPT (_reach, _columns, _cx)", "pmod(_cx, _columns) AS cx")
         )
+
+
+class CubeGrid:
+    """Cubes around the earth's surface in levels, each with half the side of the one before.
+
+    Cubes know no poles and no meridian. The block of a point at a level is the cube
+    that it lies in with the 26 around it, as far as they touch the surface.
+    """
+
+    LEVELS = 25  # sides from the earth's diameter down to less than a metre
+    key = ["level", "kx", "ky", "kz"]
+    every_level = f"sequence(0, {LEVELS - 1})"
+
+    @staticmethod
+    def _side(level: str) -> str:
+        """Side of a cube, in radii of the earth."""
+        return f"pow(2D, 1 - {level})"
+
+    def _with_vector(self, df: DataFrame, latitude: str, longitude: str) -> DataFrame:
+        lat, lon = f"radians({latitude})", f"radians({longitude})"
+        return df.selectExpr("*", f"cos({lat}) * cos({lon}) AS _x", f"cos({lat}) * sin({lon}) AS _y", f"sin({lat}) AS _z")
+
+    def with_cubes(self, df: DataFrame, latitude: str, longitude: str, levels: str) -> DataFrame:
+        """One row for each of `levels` (an array), with the cube that the point lies in."""
+        keys = [f"cast(floor((_{c} + 1D) / {self._side('level')}) AS int) AS k{c}" for c in "xyz"]
+        spread = self._with_vector(df, latitude, longitude).selectExpr("*", f"explode({levels}) AS level")
+        return spread.selectExpr("* EXCEPT (_x, _y, _z)", *keys)
+
+    def with_blocks(self, df: DataFrame, latitude: str, longitude: str, levels: str) -> DataFrame:
+        """One row for each cube of the point's blocks at `levels` (an array; column `level` is replaced)."""
+        own = df.drop("level") if "level" in df.columns else df
+        chosen = f"explode({levels}) AS level"
+        spread = self._with_vector(df, latitude, longitude).selectExpr(
+            *own.columns, "_x", "_y", "_z", chosen
+        )
+        for c in "xyz":
+            here = f"cast(floor((_{c} + 1D) / {self._side('level')}) AS int)"
+            spread = spread.selectExpr("*", f"explode(sequence({here} - 1, {here} + 1)) AS k{c}")
+        centre = " + ".join(f"pow((k{c} + 0.5D) * {self._side('level')} - 1D, 2D)" for c in "xyz")
+        touches = f"abs(sqrt({centre}) - 1D) <= {number(math.sqrt(3) / 2 * _MARGIN)} * {self._side('level')} + 1e-12D"
+        return spread.where(touches).drop("_x", "_y", "_z")
+
+    def block_reach_m(self, level: str) -> str:
+        """Metres within which everything in a block at `level` lies; everything for a null level."""
+        chord = f"{number(2 * math.sqrt(3) * _MARGIN)} * {self._side(level)}"
+        arc = f"{number(2 * EARTH_RADIUS_M)} * asin(least(1D, {chord} / 2D))"
+        return f"coalesce({arc} * {number(1 + 1e-9)} + 1e-6D, {number(HALF_CIRCUMFERENCE_M * (1 + 1e-9))})"
+
+    @staticmethod
+    def level_around(level: str) -> str:
+        """The level whose blocks hold all that is within `block_reach_m` of a point."""
+        # A block reaches at least one side from its point, and 2 * sqrt(3) is below 4.
+        return f"greatest(coalesce({level}, 0) - 2, 0)"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pingtrace.functions.geo import HALF_CIRCUMFERENCE_M, CellGrid, haversine_m, number, rescale
+from pingtrace.functions.geo import CubeGrid, haversine_m, number, rescale
 from pingtrace.functions.quantiles import exact_quantiles
 from pingtrace.sources.pings import day_slice
 from pingtrace.sources.staging import broadcast_if_small, staged
@@ -23,8 +24,8 @@ POINT_SCHEMA = T.StructType(
 # Steps of the two-dimensional golden-ratio (R2) sequence.
 R2_STEP_X, R2_STEP_Y = 0.7548776662466927, 0.5698402909980532
 
-# People whose positions bound the search, per candidate wanted.
-ANCHORS_PER_CANDIDATE = 20
+# Candidates that a point asks for at first, and how many times more whenever all are taken.
+FIRST_ASK, ASK_AGAIN = 8, 4
 
 
 def plane_minmax(pings: DataFrame, day: str | None = None) -> DataFrame:
@@ -107,83 +108,137 @@ def nearest_candidates(pings: DataFrame, targets: DataFrame, k: int | None = Non
     A person is as near as their nearest ping; equal distances go by id. `k` is
     the number of targets by default: in a pick without repeats, at most that
     many people can be taken before a target's turn.
+    """
+    search = NearestPeople(pings, targets)
+    k = search.n_targets if k is None else k
+    return search.nearest(search.targets.selectExpr("point_id", f"{k} AS k"))
+
+
+class NearestPeople:
+    """Search for the people nearest to targets, in rings that widen until they hold enough.
 
-    The search first takes one position each of some people and notes for every
-    target the distance of the k-th nearest of them. The k nearest people of all
-    lie within it, so only pings in grid cells touched by these circles are
-    measured, and the exact ranking is done on them.
+    Around each target lie nested blocks of cubes, each block with twice the side of the one
+    before. One position of every person is counted into the blocks, once: the smallest block
+    with at least k people tells how far the k-th nearest is at most. Only pings in
+    cubes within that reach are measured.
     """
-    people = pings.where("id != ''")
-    targets = staged(targets, "targets")
-    if k is None:
-        k = targets.count()
-    circles = staged(_search_circles(people, targets, k), "circles")
-    widest = circles.agg(F.max("radius")).first()[0] or 0.0
-    grid = CellGrid(max(widest, 1.0))
-    cells = grid.with_reached_cells(circles, "rand_lat", "rand_lon", "radius")
-    distance = haversine_m("rand_lat", "rand_lon", "latitude", "longitude")
-    # Of the pings in cells within reach, each place of a person is measured once.
-    places = (
-        grid.with_home_cell(people.select("id", "latitude", "longitude"), "latitude", "longitude")
-        .join(broadcast_if_small(cells.select("cy", "cx").distinct()), ["cy", "cx"], "left_semi")
-        .distinct()
-    )
-    near = (
-        places.join(broadcast_if_small(cells), ["cy", "cx"])
-        .where(f"{distance} <= radius")
-        .groupBy("point_id", "id")
-        .agg(F.expr(f"min({distance}) AS distance"))
-    )
-    by_distance = "row_number() OVER (PARTITION BY point_id ORDER BY distance, id) AS nearest_rank"
-    return near.selectExpr("point_id", by_distance, "id", "distance").where(f"nearest_rank <= {k}")
-
-
-def _search_circles(people: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """Targets with a radius that is sure to hold the k nearest people."""
-    wanted = max(ANCHORS_PER_CANDIDATE * k, 1)
-    # At most one person of each bucket, so all different. Both coordinates follow
-    # the same smallest hash, so they are of one ping.
-    first = "xxhash64(id, latitude, longitude)"
-    anchors = people.groupBy(F.expr(f"pmod(xxhash64(id), {wanted}) AS bucket")).agg(
-        F.expr(f"min_by(latitude, {first}) AS anchor_lat"),
-        F.expr(f"min_by(longitude, {first}) AS anchor_lon"),
-    )
-    reach = haversine_m("rand_lat", "rand_lon", "anchor_lat", "anchor_lon")
-    # Both sides are bounded by the number of targets, not by the pings.
-    kth = (
-        targets.crossJoin(anchors)
-        .selectExpr("point_id", f"{reach} AS reach")
-        .selectExpr("*", "row_number() OVER (PARTITION BY point_id ORDER BY reach) AS place")
-        .where(f"place = {k}")
-    )
-    # With fewer than k people there is no k-th: then everyone is a candidate.
-    everywhere = number(HALF_CIRCUMFERENCE_M * (1 + 1e-9))
-    return targets.join(kth, "point_id", "left").selectExpr(
-        "point_id", "rand_lat", "rand_lon", f"coalesce(reach * (1D + 1e-9) + 1e-6, {everywhere}) AS radius"
-    )
+
+    def __init__(self, pings: DataFrame, targets: DataFrame):
+        self.people = pings.where("id != ''").select("id", "latitude", "longitude")
+        self.targets = staged(targets.select("point_id", "rand_lat", "rand_lon"), "targets")
+        self.n_targets = self.targets.count()
+        self._rings = staged(self._count_rings(), "rings")
+
+    def _count_rings(self) -> DataFrame:
+        """(point_id, level, people): people with their one position in each block around a target."""
+        grid = CubeGrid()
+        # Both coordinates follow the same smallest hash, so they are of one ping.
+        first = "xxhash64(latitude, longitude)"
+        anchors = self.people.groupBy("id").agg(
+            F.expr(f"min_by(latitude, {first}) AS latitude"), F.expr(f"min_by(longitude, {first}) AS longitude")
+        )
+        blocks = grid.with_blocks(self.targets, "rand_lat", "rand_lon", grid.every_level)
+        cubes = grid.with_cubes(anchors, "latitude", "longitude", grid.every_level)
+        held = cubes.join(broadcast_if_small(blocks.select("point_id", *grid.key)), grid.key)
+        return held.groupBy("point_id", "level").agg(F.count("*").alias("people"))
+
+    def nearest(self, asks: DataFrame) -> DataFrame:
+        """The nearest people of each point in `asks` (point_id, k), as many as it asks for."""
+        grid = CubeGrid()
+        enough = asks.join(self._rings, "point_id", "left").groupBy("point_id", "k").agg(
+            F.expr("max(level) FILTER (WHERE people >= k) AS ring")
+        )
+        circles = self.targets.join(enough, "point_id").selectExpr(
+            "point_id",
+            "k",
+            "rand_lat",
+            "rand_lon",
+            f"{grid.block_reach_m('ring')} AS radius",
+            f"{grid.level_around('ring')} AS level",
+        )
+        circles = staged(circles, "circles")
+        # As many as there are levels.
+        levels = sorted(r["level"] for r in circles.select("level").distinct().collect())
+        reached = grid.with_blocks(circles, "rand_lat", "rand_lon", "array(level)")
+        distance = haversine_m("rand_lat", "rand_lon", "latitude", "longitude")
+        # Of the pings in cubes within reach, each place of a person is measured once.
+        cubes = grid.with_cubes(self.people, "latitude", "longitude", f"array({', '.join(map(str, levels)) or 'cast(NULL AS int)'})")
+        places = cubes.join(broadcast_if_small(reached.select(*grid.key).distinct()), grid.key, "left_semi").distinct()
+        near = (
+            places.join(broadcast_if_small(reached), grid.key)
+            .where(f"{distance} <= radius")
+            .groupBy("point_id", "k", "id")
+            .agg(F.expr(f"min({distance}) AS distance"))
+        )
+        by_distance = "row_number() OVER (PARTITION BY point_id ORDER BY distance, id) AS nearest_rank"
+        ranked = near.selectExpr("point_id", by_distance, "id", "distance", "k").where("nearest_rank <= k")
+        return ranked.drop("k")
+
+
+def _picks_in_turn(candidates: DataFrame) -> DataFrame:
+    """(point_id, id, passed): each point's first candidate that no earlier point has, null if there is none.
+
+    `passed` is the number of candidates that were taken. The points go one after the
+    other, so their candidates pass through one task: a few for each point, whatever the
+    number of pings. It holds the people taken, at most one for each point.
+    """
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken, point, found, passed = set(), None, None, 0
+        rows = ([], [], [])
+
+        def settle() -> None:
+            for column, value in zip(rows, (point, found, passed), strict=True):
+                column.append(value)
+
+        for batch in batches:
+            for asking, person in zip(batch.column("point_id").to_pylist(), batch.column("id").to_pylist(), strict=True):
+                if asking != point:
+                    if point is not None:
+                        settle()
+                    point, found, passed = asking, None, 0
+                if found is None and person in taken:
+                    passed += 1
+                elif found is None:
+                    found = person
+                    taken.add(person)
+        if point is not None:
+            settle()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.string(), pa.int32()), strict=True)],
+                                         ["point_id", "id", "passed"])
+
+    in_order = candidates.selectExpr("cast(point_id AS int) AS point_id", "nearest_rank", "id")
+    in_order = in_order.repartition(1).sortWithinPartitions("point_id", "nearest_rank").select("point_id", "id")
+    return in_order.mapInArrow(pick, "point_id int, id string, passed int")
 
 
 def pick_without_repeats(candidates: DataFrame) -> DataFrame:
     """(point_id, id): in order of the points, the nearest person not yet picked.
 
-    Points whose candidates are all taken get none. Found in rounds: every point
-    without a person asks the nearest of its candidates that no earlier point
-    holds, a person stays with the earliest point that asks, and who is displaced
-    asks on. A person only ever passes to an earlier point, so this ends in the
-    pick by turns. Each round is a join and an aggregation over the candidates.
+    Points whose candidates are all taken get none.
     """
-    asked = staged(candidates.select("point_id", "nearest_rank", "id"), "pick-candidates")
-    held = asked.where("false").select("id", F.col("point_id").alias("holder"))
+    return _picks_in_turn(candidates).where("id IS NOT NULL").select("point_id", "id")
+
+
+def spread_picks(pings: DataFrame, targets: DataFrame) -> DataFrame:
+    """(point_id, id): `pick_without_repeats` among all people, asking for candidates as they are needed.
+
+    Every point asks for a few people. Points that find all of theirs taken by earlier ones ask
+    for more, and the turns are taken anew, until nobody is left without.
+    """
+    search = NearestPeople(pings, targets)
+    asked = search.targets.selectExpr("point_id", f"{min(FIRST_ASK, max(search.n_targets, 1))} AS k")
+    lists = staged(search.nearest(asked).drop("distance"), "candidates")
     while True:
-        free = asked.join(held, "id", "left").where("holder IS NULL OR holder > point_id")
-        without = free.join(held.selectExpr("holder AS point_id"), "point_id", "left_anti")
-        asks = staged(
-            without.groupBy("point_id").agg(F.expr("min_by(id, nearest_rank) AS id")), "pick-asks"
-        )
-        if asks.isEmpty():
-            return held.selectExpr("holder AS point_id", "id")
-        both = held.union(asks.selectExpr("id", "point_id AS holder"))
-        held = staged(both.groupBy("id").agg(F.expr("min(holder) AS holder")), "pick-held")
+        picks = staged(_picks_in_turn(lists), "picks")
+        # Nobody can be passed over by more points than there are, and nobody is left behind the last one.
+        short = picks.where("id IS NULL").join(asked, "point_id").where(f"passed >= k AND k < {search.n_targets}")
+        more = staged(short.selectExpr("point_id", f"least(k * {ASK_AGAIN}, {search.n_targets}) AS k"), "asks")
+        if more.isEmpty():
+            return picks.where("id IS NOT NULL").select("point_id", "id")
+        asked = staged(asked.join(more, "point_id", "left_anti").unionByName(more), "asked")
+        longer = search.nearest(more).drop("distance")
+        lists = staged(lists.join(more, "point_id", "left_anti").unionByName(longer), "candidates")
 
 
 def balanced_sample(pings: DataFrame, points: DataFrame, plane: DataFrame | None = None) -> DataFrame:
@@ -192,4 +247,4 @@ def balanced_sample(pings: DataFrame, points: DataFrame, plane: DataFrame | None
     The plane is the 35 to 65 percent box of the pings unless given.
     """
     box = plane_percentile(pings) if plane is None else plane
-    return pick_without_repeats(nearest_candidates(pings, target_points(points, box)))
+    return spread_picks(pings, target_points(points, box))

@@ -5,29 +5,59 @@ import numpy as np
 import pytest
 from helpers import metres, ping, pings
 
-from pingtrace.functions.quantiles import exact_quantiles
+from pingtrace.functions import quantiles
+from pingtrace.functions.quantiles import exact_quantiles, with_image
 from pingtrace.operators import sampling
 
 
-@pytest.mark.parametrize("buckets", [(4096, 65536), (3,), (2, 2, 2), ()])
-def test_quantiles_are_those_of_numpy(spark, buckets):
-    rng = random.Random(len(buckets))
+@pytest.mark.parametrize("digits", [(16, 16, 16, 16), (20, 30, 14), (64,), (1, 7, 50, 6)])
+def test_quantiles_are_those_of_numpy(spark, digits):
+    rng = random.Random(len(digits))
     for values in (
         [rng.gauss(40, 1) for _ in range(501)],
         [rng.choice([1.0, 2.0, 5.0]) for _ in range(200)],
         [7.0] * 50,
         [1.0, 2.0],
         [3.0],
-        [0.0, 1e-12, 1.0, 1e9, -5.0, 2.0],
+        [0.0, -0.0, 1e-12, 1.0, 1e9, -5.0, 2.0],
+        [1e12, *(40 + rng.random() for _ in range(300))],
+        [5e-324, 2.2e-308, -1e-310, 1.7e308, -1.7e308, 0.0, 2.0**-1022, 1.0],
     ):
         table = spark.createDataFrame([(v, -v) for v in values], "up double, down double")
         fractions = [0.0, 0.35, 0.5, 0.65, 1.0]
-        found = exact_quantiles(table, ["up", "down"], fractions, buckets).collect()
+        found = exact_quantiles(table, ["up", "down"], fractions, digits).collect()
         got = {(r["axis"], r["fraction"]): r["quantile"] for r in found}
         assert len(got) == len(found) == 10
         for f in fractions:
-            assert got["up", f] == pytest.approx(np.percentile(values, 100 * f), abs=1e-9)
-            assert got["down", f] == pytest.approx(np.percentile([-v for v in values], 100 * f), abs=1e-9)
+            assert got["up", f] == pytest.approx(np.percentile(values, 100 * f), rel=1e-12, abs=1e-9)
+            assert got["down", f] == pytest.approx(np.percentile([-v for v in values], 100 * f), rel=1e-12, abs=1e-9)
+
+
+def test_images_are_in_the_order_of_the_values(spark):
+    rng = random.Random(7)
+    values = [s * m * 2.0**e for s in (1, -1) for e in range(-1074, 1024, 3) for m in (1.0, 1.5, 1 + rng.random())]
+    edges = [2.0**e for e in range(-1074, 1024)]
+    values += edges + [np.nextafter(x, 0) for x in edges] + [np.nextafter(x, np.inf) for x in edges[:-1]]
+    values += [0.0, -0.0, float("inf"), float("-inf"), float("nan")]
+    table = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = [r["image"] for r in with_image(table, "v").collect()]
+    bits = np.array(values).view(np.int64)
+    expected = np.where(bits < 0, -(bits & 0x7FFF_FFFF_FFFF_FFFF), bits)
+    expected[np.isnan(values)] = 0x7FFF_FFFF_FFFF_FFFF
+    assert got == expected.tolist()
+
+
+def test_rows_of_the_last_pass_are_bounded(spark, monkeypatch):
+    """An outlier neither adds passes nor leaves more to count in the last one."""
+    rng = random.Random(8)
+    values = [40 + rng.random() for _ in range(5000)] + [1e12]
+    seen = []
+    whole = quantiles._holding_rank
+    monkeypatch.setattr(quantiles, "_holding_rank", lambda counts: seen.append(counts.count()) or whole(counts))
+    table = spark.createDataFrame([(v,) for v in values], "v double")
+    found = exact_quantiles(table, ["v"], [0.5]).first()["quantile"]
+    assert found == pytest.approx(np.percentile(values, 50), rel=1e-15)
+    assert len(seen) == 4 and seen[2] <= 10 and seen[3] == 1
 
 
 def _people(seed, people, n, box=0.02):
@@ -73,11 +103,42 @@ def test_nearest_people(spark, people, k):
     assert all(got[key][0] == pytest.approx(d, abs=1e-4) for key, (d, _) in expected.items())
 
 
-def test_few_anchors_still_bound_the_search(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "ANCHORS_PER_CANDIDATE", 1)
-    rows = _people(8, 100, 300)
-    found = sampling.nearest_candidates(pings(spark, rows), _targets(spark, [(1, 40.0, -3.7)]), 5).collect()
-    assert [r["id"] for r in sorted(found)] == [name for _, name in _ranking(rows, 40.0, -3.7, 5)]
+def test_rings_hold_enough_wherever_the_target_is(spark):
+    rng = random.Random(12)
+    names = [f"p{i:03}" for i in range(300)]
+    rows = [ping(n, (rng.gauss(0, 1) ** 3 * 10, rng.uniform(-180, 180)), "10:00:00") for n in names]
+    rows += [ping(n, (89.99 - i * 1e-3, i * 40.0 - 170), "10:00:00") for i, n in enumerate(names[:9])]
+    rows += [ping(n, (0.001 * i, 180 - 0.001 * i), "10:00:00") for i, n in enumerate(names[20:40])]
+    points = [(1, 0.0, 179.9999), (2, 0.0, -179.9999), (3, 90.0, 0.0), (4, -90.0, 10.0), (5, 45.0, 45.0), (6, 0.0, 0.0)]
+    for k in (1, 7, 60):
+        found = sampling.nearest_candidates(pings(spark, rows), _targets(spark, points), k).collect()
+        got = {(r["point_id"], r["nearest_rank"]): r["distance"] for r in found}
+        for i, lat, lon in points:
+            for rank, (d, _) in enumerate(_ranking(rows, lat, lon, k), 1):
+                assert got[i, rank] == pytest.approx(d, abs=1e-3)
+
+
+def test_two_thousand_points_ask_for_few_people(spark, monkeypatch):
+    """People in villages, so that points far from each other want the same ones."""
+    rng = random.Random(21)
+    villages = [(40 + rng.uniform(-1, 1), -3.7 + rng.uniform(-1, 1)) for _ in range(60)]
+    rows = []
+    for i in range(6000):
+        lat, lon = villages[int(rng.paretovariate(1)) % 60]
+        rows.append(ping(f"p{i:04}", (lat + rng.gauss(0, 0.02), lon + rng.gauss(0, 0.02)), "10:00:00"))
+    n = 2000
+    points = [(i, 40 + rng.uniform(-1, 1), -3.7 + rng.uniform(-1, 1)) for i in range(1, n + 1)]
+    asked, whole = [], sampling._picks_in_turn
+    monkeypatch.setattr(sampling, "_picks_in_turn", lambda lists: asked.append(lists.count()) or whole(lists))
+    found = {r["point_id"]: r["id"] for r in sampling.spread_picks(pings(spark, rows), _targets(spark, points)).collect()}
+    lat, lon = np.radians([r[1] for r in rows]), np.radians([r[2] for r in rows])
+    free = np.ones(len(rows), dtype=bool)
+    for i, y, x in points:
+        h = np.sin((lat - np.radians(y)) / 2) ** 2 + np.cos(lat) * np.cos(np.radians(y)) * np.sin((lon - np.radians(x)) / 2) ** 2
+        best = int(np.argmin(np.where(free, h, 9)))
+        free[best] = False
+        assert found[i] == rows[best][0], i
+    assert max(asked) < n * n / 10
 
 
 def test_picks_take_turns_without_repeats(spark):
