@@ -50,8 +50,17 @@ _EXTENT = {
 }
 
 
-def _binned(totals: DataFrame, bins: int) -> DataFrame:
-    extent = totals.agg(*[F.expr(f"{value} AS {name}") for name, value in _EXTENT.items()])
+def _extent(totals: DataFrame) -> DataFrame:
+    """One row with the extent of the coordinates.
+
+    All columns of `totals` take part, so that this and the bins are worked out from one and
+    the same shuffle of it: Spark reuses an exchange only for equal plans below.
+    """
+    bounds = [F.expr(f"{value} AS {name}") for name, value in _EXTENT.items()]
+    return totals.agg(*bounds, F.expr("sum(tot_evts) AS all_events")).where("all_events IS NOT NULL")
+
+
+def _binned(totals: DataFrame, extent: DataFrame, bins: int) -> DataFrame:
     # An aggregate without keys: exactly one row.
     return totals.crossJoin(F.broadcast(extent)).selectExpr(
         "*",
@@ -69,28 +78,21 @@ def _edges(bins: int) -> list[str]:
 
 def bin_edges(totals: DataFrame, bins: int = BINS) -> DataFrame:
     """Add the equal-width bin of each latitude and longitude, and the bin's left edge."""
-    return _binned(totals, bins).selectExpr(*totals.columns, "lat_bin", "lon_bin", *_edges(bins))
+    binned = _binned(totals, _extent(totals), bins)
+    return binned.selectExpr(*totals.columns, "lat_bin", "lon_bin", *_edges(bins))
 
 
 def grid_histogram(totals: DataFrame, bins: int = BINS) -> DataFrame:
     """Events per cell of a `bins` by `bins` grid over the extent of the coordinates.
 
-    Cells without events are in the result with 0.
+    Cells without events are in the result with 0. What `totals` is made of is read once.
     """
-    filled = (
-        _binned(totals, bins)
-        .groupBy("lat_bin", "lon_bin")
-        .agg(F.expr("sum(tot_evts) AS n_events"), *[F.expr(f"max({c}) AS {c}") for c in _EXTENT])
-    )
-    # From here on there are at most bins * bins rows.
+    extent = _extent(totals)
+    # At most bins * bins rows, as the grid has.
+    filled = _binned(totals, extent, bins).groupBy("lat_bin", "lon_bin").agg(F.expr("sum(tot_evts) AS n_events"))
     every_bin = f"explode(sequence(0, {bins - 1}))"
-    cells = (
-        filled.agg(*[F.expr(f"max({c}) AS {c}") for c in _EXTENT])
-        .where("lat_low IS NOT NULL")
-        .selectExpr("*", f"{every_bin} AS lat_bin")
-        .selectExpr("*", f"{every_bin} AS lon_bin")
-    )
-    return cells.join(F.broadcast(filled.drop(*_EXTENT)), ["lat_bin", "lon_bin"], "left").selectExpr(
+    cells = extent.selectExpr("*", f"{every_bin} AS lat_bin").selectExpr("*", f"{every_bin} AS lon_bin")
+    return cells.join(F.broadcast(filled), ["lat_bin", "lon_bin"], "left").selectExpr(
         "lat_bin", "lon_bin", *_edges(bins), "coalesce(n_events, 0L) AS n_events"
     )
 

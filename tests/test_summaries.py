@@ -44,6 +44,17 @@ def test_histogram_counts_every_event(spark):
     }
 
 
+def test_histogram_reads_its_table_once(spark, tmp_path):
+    rows, totals = _totals(spark, 4)
+    totals.write.parquet(str(tmp_path / "totals"))
+    counted = spark.read.parquet(str(tmp_path / "totals")).groupBy("latitude", "longitude").agg({"tot_evts": "sum"})
+    counted = counted.withColumnRenamed("sum(tot_evts)", "tot_evts")
+    histogram = summaries.grid_histogram(counted)
+    assert sum(r["n_events"] for r in histogram.collect()) == sum(r[2] for r in rows)
+    plan = histogram._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+
+
 def test_one_value_and_the_maximum(spark):
     totals = spark.createDataFrame([(40.0, -4.0, 2), (40.0, -3.0, 5)], SCHEMA)
     found = {(r["lat_bin"], r["lon_bin"]): r["n_events"] for r in summaries.grid_histogram(totals).collect()}
