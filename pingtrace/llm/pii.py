@@ -2,8 +2,10 @@
 
 Every kind has a pattern, a cheap condition on the whole text that spares most
 texts the pattern, a check of the match, a score, and words that raise the score
-when they stand shortly before the match. Kinds of the base list are kept with
-any score; the others from LEAST_SCORE on. All of it is Spark SQL functions.
+when one begins shortly before or after the match. What a checksum or a form that nothing else has
+confirms scores above LEAST_SCORE alone; the others start below it, so near words decide.
+`find_pii` returns the spans that reach LEAST_SCORE, and those of the base list with
+any score unless told otherwise; every span has its score. All of it is Spark SQL functions.
 
 The patterns are the plain ones made linear: a look-behind forbids starts inside
 a run that has been tried from its beginning, and possessive quantifiers forbid
@@ -110,7 +112,7 @@ KINDS = (
         r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
         lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"),
         lambda m: F.forall(F.split(m, "[.]"), _small_part),
-        0.6,
+        0.3,
         "ip|host|server|address|client",
     ),
     Kind(
@@ -126,7 +128,7 @@ KINDS = (
         r"\+[0-9][ ().0-9-]+[0-9]",
         lambda t: t.contains("+"),
         lambda m: F.length(_digits(m)).between(9, 15),
-        0.6,
+        0.4,
         "phone|tel|call|mobile|fax",
     ),
     Kind(
@@ -151,7 +153,13 @@ KINDS = (
 )
 
 
-def _scored(kind: Kind, rank: int, text: Column) -> Column:
+def _near(kind: Kind, match: Column) -> Column:
+    """Whether a word of the kind begins near the match."""
+    word = rf"(?<![a-z])(?:{kind.near})"
+    return F.lower(match["before"]).rlike(word) | F.lower(match["after"]).rlike(word)
+
+
+def _scored(kind: Kind, rank: int, text: Column, whole_base: bool) -> Column:
     found = F.filter(matches(text, kind.pattern, kind.group), lambda m: kind.check(m["text"]))
     spans = F.transform(
         F.when(kind.worth(text), found).otherwise(none()),
@@ -162,28 +170,34 @@ def _scored(kind: Kind, rank: int, text: Column) -> Column:
             F.lit(kind.name).alias("kind"),
             F.least(
                 F.lit(1.0),
-                F.lit(kind.score) + F.when(F.lower(m["before"]).rlike(kind.near), NEAR_WORDS).otherwise(0.0),
+                F.lit(kind.score) + F.when(_near(kind, m), NEAR_WORDS).otherwise(0.0),
             ).alias("score"),
             m["text"].alias("text"),
         ),
     )
-    return spans if kind.base else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE)
+    return spans if kind.base and whole_base else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE)
+
 
+def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", whole_base: bool = True) -> DataFrame:
+    """`key` and, per kind, an array of (start, rank, end, kind, score, text); no shuffle.
 
-def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key` and, per kind, an array of (start, rank, end, kind, score, text); no shuffle."""
+    With `whole_base` spans of the base kinds are kept with any score, else the score decides for all.
+    """
     whole = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     return whole.select(
-        key, *[_scored(kind, rank, F.col("_text")).alias(kind.name) for rank, kind in enumerate(KINDS)]
+        key, *[_scored(kind, rank, F.col("_text"), whole_base).alias(kind.name) for rank, kind in enumerate(KINDS)]
     )
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     base = F.concat(*[F.col(k.name) for k in KINDS if k.base])
+    every = F.concat(*[F.col(k.name) for k in KINDS])
     return found.select(
         "doc_id",
         *[F.size(k.name).cast("bigint").alias(f"n_{k.name}") for k in KINDS if k.base],
         F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.concat(*[F.col(k.name) for k in KINDS])).alias("spans"),
+        joined(every).alias("spans"),
+        F.array_join(F.transform(F.array_sort(every), lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
+        F.size(F.filter(every, lambda s: s["score"] >= LEAST_SCORE)).cast("bigint").alias("n_likely"),
     )

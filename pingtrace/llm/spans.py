@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = 128
-MATCHES = "array<struct<start:bigint,end:bigint,text:string,before:string>>"
-CONTEXT = 40  # code points before a match that count as near
+MATCHES = "array<struct<start:bigint,end:bigint,text:string,before:string,after:string>>"
+CONTEXT = 40  # code points on either side of a match that count as near
 
 
 def _running(values: Column) -> Column:
@@ -47,7 +47,7 @@ def _lengths(parts: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Leftmost non-overlapping matches of a pattern that matches no empty text, with the text before each.
+    """Leftmost non-overlapping matches of a pattern that matches no empty text, with the text on both sides of each.
 
     With a `group` that looks ahead from the match's beginning, that group is what is given as text and by its
     end, and only the match itself is passed over, so texts may overlap.
@@ -57,6 +57,7 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     parts = F.arrays_zip(
         (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found).alias("text"),
         F.slice(gaps, F.lit(1), F.size(found)).alias("gap"),
+        F.slice(gaps, F.lit(2), F.size(found)).alias("next_gap"),
         _running(_lengths(found)).alias("found_before"),
         _running(_lengths(gaps)).alias("gap_before"),
     )
@@ -69,6 +70,7 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
             (start + F.length(p["text"])).alias("end"),
             p["text"].alias("text"),
             F.right(p["gap"], F.lit(CONTEXT)).alias("before"),
+            F.left(p["next_gap"], F.lit(CONTEXT)).alias("after"),
         )
 
     return F.transform(parts, place)

@@ -67,6 +67,36 @@ def test_checksums_and_context(spark):
     assert found[1].iban[0].text == "DE89 3704 0044 0532 0130 00"
 
 
+def test_near_words_on_both_sides_decide(spark):
+    pairs = [
+        ("ip", "the server is 10.1.2.3 now", "version 10.1.2.3 now"),
+        ("ip", "10.1.2.3 is the address", "10.1.2.3 is the release"),
+        ("phone", "call +34 911 222 333", "sum +34 911 222 333"),
+        ("phone", "+34 911 222 333 (mobile)", "+34 911 222 333 (total)"),
+        ("ssn", "123-45-6789 is his social number", "123-45-6789 is his part"),
+        ("ip", "his IP: 10.1.2.3", "the ship 10.1.2.3 and more"),  # words count from their beginning
+    ]
+    rows = [(2 * k + j, p[j + 1]) for k, p in enumerate(pairs) for j in (0, 1)]
+    frame = documents(spark, rows)
+    decided = {r.doc_id: r for r in pii.find_pii(frame, whole_base=False).collect()}
+    whole = {r.doc_id: r for r in pii.find_pii(frame).collect()}
+    for k, (kind, *_) in enumerate(pairs):
+        with_, without = decided[2 * k][kind], decided[2 * k + 1][kind]
+        assert len(with_) == 1 and with_[0].score >= pii.LEAST_SCORE and without == [], k
+        if kind != "ssn":
+            assert [len(whole[i][kind]) for i in (2 * k, 2 * k + 1)] == [1, 1]
+            assert whole[2 * k + 1][kind][0].score < pii.LEAST_SCORE
+
+
+def test_query_returns_scores(spark, monkeypatch):
+    rows = [(1, "mail a@b.co, version 1.2.3.4 of 4111111111111111 x"), (2, None)]
+    monkeypatch.setattr(pii, "table", lambda *_: documents(spark, rows))
+    found = {r.doc_id: r for r in pii.op8_pii(spark, "").collect()}
+    assert found[1].spans == "email:5:11,ip:21:28,card:32:48"
+    assert found[1].scores == "1.00,0.30,0.70" and found[1].n_likely == 2
+    assert (found[2].spans, found[2].scores, found[2].n_likely) == ("", "", 0)
+
+
 def test_account_numbers_in_a_row(spark):
     de, spaced, gb, no = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947"
     mt = "MT84MALT011000012345MTLCAST001S"
