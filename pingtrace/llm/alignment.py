@@ -290,14 +290,28 @@ class Lexicon:
         self.bytes += sum(map(len, pieces)) + 250 * n + len(a) * sum(per_token[k] for k in self.keep)
 
 
+_DIGITS: list[ByteTable] = []
+
+
 def _digests(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray, n_groups: int, bounds: np.ndarray) -> list[str]:
     """The groups of every piece as text; `bounds` has where the pieces' groups begin."""
-    a_at = bounds_of(np.bincount(group_a, minlength=n_groups)).tolist()
-    b_at = bounds_of(np.bincount(group_b, minlength=n_groups)).tolist()
-    a_ids, b_ids = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    groups = [f"{','.join(a_ids[i:j])}|{','.join(b_ids[k:l])}" for i, j, k, l in zip(a_at, a_at[1:], b_at, b_at[1:], strict=False)]
-    ends = bounds.tolist()
-    return [groups[i] if j == i + 1 else ";".join(groups[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+    most = max(int(a.max(initial=0)), int(b.max(initial=0))) + 1
+    if not _DIGITS or len(_DIGITS[-1].sizes) < most:
+        _DIGITS.append(ByteTable([f"{i},".encode() for i in range(max(most, 1 << 16))]))
+    digits = _DIGITS[-1]
+    a_at, b_at = (bounds_of(np.bincount(g, minlength=n_groups)) for g in (group_a, group_b))
+    # The tokens of A and then of B, group by group, each with a sign behind it.
+    ids = np.zeros(len(a) + len(b), np.int64)
+    ids[np.arange(len(a)) + b_at[group_a]] = a
+    ids[np.arange(len(b)) + a_at[group_b + 1]] = b
+    sizes = digits.sizes[ids]
+    written = digits.data[ragged(digits.starts[ids], sizes)]
+    ends = bounds_of(sizes)
+    written[ends[a_at[1:] + b_at[:-1]] - 1] = ord("|")
+    written[ends[a_at[1:] + b_at[1:]] - 1] = ord(";")
+    whole = written.tobytes().decode("ascii")
+    places = ends[(a_at + b_at)[bounds]].tolist()
+    return [whole[i : j - 1] if j > i else "" for i, j in zip(places, places[1:], strict=False)]
 
 
 def _sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
