@@ -49,6 +49,7 @@ def near_pairs(
     block_rows: int | None = BLOCK_ROWS,
     probe_fraction: float = PROBE_FRACTION,
     left_columns: tuple[str, ...] = (),
+    small_left: bool = False,
 ) -> DataFrame:
     """All pairs of a `left` and a `right` stay of one day within `metres`.
 
@@ -69,6 +70,9 @@ def near_pairs(
     `block_rows=None` leaves it out. The sample decides only who does the work,
     not what is found.
 
+    `small_left` asks for a broadcast of the left side, copies included; the caller has
+    counted it.
+
     `condition` is a further test, in SQL, on the prefixed columns. Columns of
     `left` besides those of a stay come along when named in `left_columns`.
     """
@@ -83,6 +87,7 @@ def near_pairs(
         tests.insert(0, f"{SHARED_SECONDS} > 0")
 
     def pairs(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+        one = F.broadcast(one) if small_left else one
         found = one.join(other, keys).where(" AND ".join(tests))
         return found.selectExpr("iso_date", *own_columns, f"{_DISTANCE} AS distance")
 

@@ -24,6 +24,8 @@ from pingtrace.operators.summaries import ping_totals
 from pingtrace.sources.pings import near_boxes
 from pingtrace.sources.staging import broadcast_if_small, folder_exists, new_folder, staged
 
+# Stays of a day whose copies to all cells in reach may be broadcast.
+SMALL_DAY = 10_000
 REACHED_SCHEMA = "id string, first_day int, hop int"
 # People reached, handed on from one of their days to the next: `since` is the day of the hand-over.
 _HANDED_ON = "id string, hop int, first_day int, since int"
@@ -127,6 +129,7 @@ def exposure_cascade(
             overlapping=True,
             block_rows=block_rows if sizes[date] > block_rows else None,
             left_columns=("hop",),
+            small_left=sizes[date] <= SMALL_DAY,
         )
         exposed = (
             pairs.groupBy("a_id", "a_hop", "b_id")
