@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader
 from pyspark.sql import functions as F
 
 from pingtrace.functions.geo import CellGrid, number
@@ -132,11 +132,11 @@ def exposure_cascade(
             small_left=sizes[date] <= SMALL_DAY,
         )
         exposed = (
-            pairs.groupBy("a_id", "a_hop", "b_id")
+            pairs.groupBy("iso_date", "a_id", "a_hop", "b_id")
             .agg(F.expr(f"sum({SHARED_SECONDS}) AS seconds"))
             .where(f"seconds >= {number(min_minutes * 60)}")
         )
-        return exposed.groupBy(F.expr("b_id AS id")).agg(F.expr("min(a_hop) + 1 AS hop"))
+        return exposed.groupBy("iso_date", F.expr("b_id AS id")).agg(F.expr("min(a_hop) + 1 AS hop"))
 
     return _day_by_day(seeds, start, sorted(sizes), days, with_length(later), newcomers)
 
@@ -160,9 +160,9 @@ def cascade_over_edges(
     def newcomers(date: datetime.date, state: DataFrame) -> DataFrame:
         return (
             later.where(f"iso_date = date '{date}'")
-            .selectExpr("i1 AS source", "i2 AS id")
+            .selectExpr("iso_date", "i1 AS source", "i2 AS id")
             .join(state.selectExpr("id AS source", "hop"), "source")
-            .groupBy("id")
+            .groupBy("iso_date", "id")
             .agg(F.expr("min(hop) + 1 AS hop"))
             .join(state.select("id"), "id", "left_anti")
         )
@@ -191,13 +191,17 @@ def _day_by_day(
     """Add each date's newcomers to the people reached before.
 
     `present` has (id, iso_date) of whoever can take part on a date, and
-    `newcomers(date, state)` finds (id, hop) outside the state, which are the reached
-    people of that date. Each date's state lies in a folder of its own.
+    `newcomers(date, state)` finds (iso_date, id, hop) outside the state, which are the reached
+    people of that date. Each date's state lies in a folder of its own. Days are taken from
+    the data, not written into the expressions, so that Spark compiles them once for all dates.
     """
     spark = seeds.sparkSession
     folder = new_folder(spark, "cascade")
     calendar = following_days(present)
 
+    def table() -> DataFrameReader:
+        return spark.read.schema(f"{_HANDED_ON}, next_day date")
+
     def hand_on(people: DataFrame) -> None:
         people.write.mode("append").partitionBy("next_day").parquet(folder)
 
@@ -211,14 +215,14 @@ def _day_by_day(
         here = f"{folder}/next_day={date}"
         if not folder_exists(spark, here):
             continue
-        state = spark.read.schema(_HANDED_ON).parquet(here)
-        found = newcomers(date, state).selectExpr("id", "hop", f"{day} AS first_day", f"{day} AS since")
-        people = state.selectExpr("id", "hop", "first_day", f"{day} AS since").unionAll(found)
+        state = table().option("basePath", folder).parquet(here)
+        on = f"datediff(iso_date, date '{start}')"
+        found = newcomers(date, state).selectExpr("id", "hop", f"{on} AS first_day", f"{on} AS since")
+        people = state.selectExpr("id", "hop", "first_day", f"datediff(next_day, date '{start}') AS since").unionAll(found)
         follow = calendar.where(f"iso_date = date '{date}'").select("id", "next_day")
         hand_on(people.join(follow, "id", "left"))
-    table = spark.read.schema(f"{_HANDED_ON}, next_day date").parquet(folder)
     # Everyone stands once with the day of joining; the other rows hand them on.
-    return table.where("since = first_day").select("id", "first_day", "hop")
+    return table().parquet(folder).where("since = first_day").select("id", "first_day", "hop")
 
 
 def daily_reach(reached: DataFrame, last_day: int) -> DataFrame:
