@@ -12,16 +12,16 @@ if it has fewer of them than parts must agree, since then another part agrees to
 1. each class with the smallest one that it meets in any division, and with the
    smallest in its smallest division (at most two pairs per class, however large
    a division is);
-2. within divisions that then still hold several components, as few pairs as would
-   join those components whose classes may be similar: at most one less than there are
-   components;
-3. within divisions that even then hold several components, all classes that may be
-   similar to one of another component come with their arrays and are compared, until
+2. within divisions that then still hold several components, classes of different components
+   that may be similar: as few pairs as connect them, at most one less than the division has
+   classes. These pairs gather the classes in question into clusters, each class in one;
+3. within clusters, classes with their arrays: all pairs that may be similar are compared, until
    their components are joined. Only links that join two of them leave the group.
 
-Divisions of over TILE_ROWS classes (or ARRAY_BYTES of arrays) are cut into blocks, and each pair of
-blocks is a group of its own in steps 2 and 3. So no step makes more rows than the divisions
-have classes, times the blocks.
+Divisions and clusters of over TILE_ROWS classes (or ARRAY_BYTES of arrays) are cut into blocks, and
+pairs of blocks are groups of their own. The largest component's blocks meet only those of the
+others, so a large family that is linked already costs as many rows as it has classes, times the
+blocks of the rest.
 
 Whether two classes may be similar is told by hashed signatures of two bits per n-gram or more (of
 different lengths, the longer is folded): every bit of one that the other lacks is
@@ -58,7 +58,6 @@ SLACK = 0.18  # parts beyond the bound, as a share of it, for parts without n-gr
 TILE_ROWS = 1024
 ARRAY_BYTES = 1 << 25  # of n-gram arrays in a block
 ARRAY_ROWS = 256
-TILE_BITS = 8  # of a division's key, for the number of its tile
 BROADCAST_ROWS = 200_000
 _U = np.uint64
 _SHORT = 0xA0761D6478BD642F
@@ -129,12 +128,6 @@ class Similarity:
                 found.append((band, bound + agree, agree))
         return found
 
-    def block_rows(self, tile_rows: int) -> list[int]:
-        """Classes in a block, by the tile's number: `tile_rows`, or as many as have ARRAY_BYTES of arrays."""
-        edges = self.band_edges(ARRAY_BYTES)
-        most = [(edges[min(t + 2, len(edges) - 1)] - 1) * 8 for t in range(1 << TILE_BITS)]
-        return [min(tile_rows, max(1, ARRAY_BYTES // size)) for size in most]
-
     def keys(self, grams: np.ndarray) -> np.ndarray:
         """The divisions of all tiles that a set belongs to."""
         spread, keys = mix(grams), []
@@ -146,8 +139,7 @@ class Similarity:
             held = np.diff(at)
             content = (sums[at[1:]] - sums[at[:-1]]) + held.astype(np.uint64) * _U(_SHORT)
             place = np.arange(parts, dtype=np.uint64) + _U(tile << 40)
-            found = mix(content ^ mix(place)) >> _U(TILE_BITS) << _U(TILE_BITS)
-            found |= _U(min(tile, (1 << TILE_BITS) - 1))
+            found = mix(content ^ mix(place))
             keys.append(found[held > 0] if (held == 0).sum() < agree else found)
         return np.concatenate(keys)
 
@@ -301,37 +293,24 @@ GROUP = ["division", "block_a", "block_b"]
 
 
 def _possible_links(tiles: DataFrame, similarity: Similarity) -> DataFrame:
-    """Pairs (a, b) within each group that would join all components that may be similar: a forest."""
+    """Pairs (a, b) that connect the classes of each group as far as they may be similar: a forest."""
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        classes, parts, found = np.asarray(group["class"]), _Parts(np.asarray(group["component"])), []
-        for i, hits in _hits(group, parts, similarity):
-            for j in hits.tolist():
-                if parts.of[i] != parts.of[j]:
-                    parts.join(i, j)
-                    found.append(sorted((classes[i], classes[j])))
+        classes, found = np.asarray(group["class"]), []
+        tree = _Parts(np.arange(len(classes)))
+        for i, hits in _hits(group, _Parts(np.asarray(group["component"])), similarity):
+            while len(hits):
+                hits = hits[tree.of[hits] != tree.of[i]]
+                if len(hits):
+                    tree.join(i, hits[0])
+                    found.append(sorted((classes[i], classes[hits[0]])))
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return tiles.groupBy(*GROUP).applyInArrow(compare, "a bigint, b bigint")
 
 
-def _in_question(tiles: DataFrame, similarity: Similarity) -> DataFrame:
-    """Rows of `tiles` without bits, of classes that may be similar to one of another component in their group."""
-    schema = "division bigint, block_a int, block_b int, block int, class bigint, component bigint"
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        parts, keep = _Parts(np.asarray(group["component"])), np.zeros(len(group), dtype=bool)
-        for i, hits in _hits(group, parts, similarity):
-            keep[hits] = True
-            keep[i] |= len(hits) > 0
-        return group.select([*GROUP, "block", "class", "component"]).filter(pa.array(keep))
-
-    return tiles.groupBy(*GROUP).applyInArrow(compare, schema)
-
-
 def _joining_links(tiles: DataFrame, similarity: Similarity) -> DataFrame:
     """Links (a, b) that join the components of each group, found by their arrays."""
 
@@ -352,36 +331,49 @@ def _joining_links(tiles: DataFrame, similarity: Similarity) -> DataFrame:
     return tiles.groupBy(*GROUP).applyInArrow(compare, "a bigint, b bigint")
 
 
-def _blocks(members: DataFrame, similarity: Similarity, tile_rows: int) -> DataFrame:
-    """Rows of `members`, each once for every pair of blocks that its block is in."""
-    sizes = F.array(*[F.lit(rows) for rows in similarity.block_rows(tile_rows)])
-    tile = F.col("division").bitwiseAND((1 << TILE_BITS) - 1).cast("int")
-    count = F.ceil(F.col("n") / F.element_at(sizes, tile + 1)).cast("int")
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    own = members.withColumn("blocks", count).withColumn("block", block)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return own.withColumn("_other", other).select(
-        "division",
-        "class",
-        "component",
-        "size",
-        "bits",
+def _blocks(members: DataFrame, tile_rows: int) -> DataFrame:
+    """Rows of `members` (division, component, class, size, ...), once for every pair of blocks that their block is in.
+
+    Blocks of the division's largest component are numbered after all others, and do not meet each other.
+    """
+    parts = members.groupBy("division", "component").agg(F.count("*").alias("n"), F.max("size").alias("most"))
+    shape = parts.groupBy("division").agg(
+        F.expr("max_by(component, struct(n, component))").alias("main"),
+        F.max("n").alias("of_main"),
+        F.sum("n").alias("of_all"),
+        F.max("most").alias("most"),
+    )
+    at_once = F.greatest(F.lit(1), F.least(F.lit(tile_rows), F.floor(ARRAY_BYTES / (8 * F.col("most")))))
+    shape = shape.withColumns(
+        {
+            "mains": F.ceil(F.col("of_main") / at_once).cast("int"),
+            "others": F.ceil((F.col("of_all") - F.col("of_main")) / at_once).cast("int"),
+        }
+    ).where("others > 0")
+    own = members.join(shape.select("division", "main", "mains", "others"), "division")
+    drawn = F.xxhash64("class")
+    own = own.withColumn("in_main", F.col("component") == F.col("main")).withColumn(
+        "block",
+        F.when(F.col("in_main"), F.col("others") + F.pmod(drawn, F.col("mains")).cast("int")).otherwise(
+            F.pmod(drawn, F.col("others")).cast("int")
+        ),
+    )
+    last = F.when(F.col("in_main"), F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    met = own.withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+    return met.select(
+        *members.columns,
         "block",
         F.least("block", "_other").alias("block_a"),
         F.greatest("block", "_other").alias("block_b"),
     )
 
 
-def _mixed_divisions(
-    members: DataFrame, known: DataFrame, sets: DataFrame, similarity: Similarity, tile_rows: int, among: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Divisions with several components (of `among`, if given), the pairs of those with two classes, the rows of the others.
+def _mixed_divisions(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (division, class, component) of divisions of several components, and the pairs of those with two classes.
 
     Of divisions with the same classes one is enough.
     """
-    if among is not None:
-        members = members.join(among.select("division"), "division", "left_semi")
-    named = members.select("division", "class").join(known.withColumnRenamed("node", "class"), "class", "left")
+    named = members.select("division", "class").join(known, "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))
     named = staged(named, "jaccard-named")
     mixed = named.groupBy("division").agg(
@@ -395,9 +387,9 @@ def _mixed_divisions(
     )
     mixed = mixed.where("c0 <> c1").groupBy("n", "total", "k0", "k1", "x").agg(F.min("division").alias("division"))
     mixed = staged(mixed, "jaccard-mixed")
-    tiles = named.join(mixed.where("n > 2").select("division", "n"), "division").join(sets, "class")
     twos = mixed.where("n = 2").select(F.col("k0").alias("a"), F.col("k1").alias("b"))
-    return mixed, twos, _blocks(tiles, similarity, tile_rows)
+    rows = named.join(mixed.where("n > 2").select("division"), "division")
+    return staged(rows.select("division", "class", "component"), "jaccard-rows-left"), twos
 
 
 def similar_components(
@@ -434,24 +426,22 @@ def similar_components(
     near = staged(near.select(F.explode("a").alias("a"), "b"), "jaccard-pairs")
     links = linked(near, sets, arrays, similarity)
 
-    known = components(links)
-    mixed, twos, tiles = _mixed_divisions(members, known, sets, similarity, tile_rows)
-    rest = _possible_links(tiles, similarity).union(twos).distinct()
-    rest = staged(rest.join(near, ["a", "b"], "left_anti"), "jaccard-rest")
-    if not rest.isEmpty():
-        links = links.union(linked(rest, sets, arrays, similarity))
-        known = components(links)
-        mixed, _, tiles = _mixed_divisions(members, known, sets, similarity, tile_rows, mixed)
-        asked = staged(_in_question(tiles, similarity), "jaccard-asked")
-        if not asked.isEmpty():
-            whole = asked.join(sets, "class").join(arrays, "class")
-            with _small_batches(docs.sparkSession):
-                joining = staged(_joining_links(whole, similarity), "jaccard-joining")
-            if not joining.isEmpty():
-                known = components(links.union(joining))
+    known = components(links).withColumnRenamed("node", "class")
+    left, twos = _mixed_divisions(members, known)
+    tiles = _blocks(left.join(sets, "class"), tile_rows)
+    # Pairs that step 1 has decided stay in: others may hang together by them only.
+    asked = staged(_possible_links(tiles, similarity).union(twos).distinct(), "jaccard-asked")
+    if not asked.isEmpty():
+        clusters = components(asked).select(F.col("component").alias("division"), F.col("node").alias("class"))
+        clusters = clusters.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        whole = _blocks(staged(clusters.join(sets, "class"), "jaccard-clusters"), tile_rows).join(arrays, "class")
+        with _small_batches(docs.sparkSession):
+            joining = staged(_joining_links(whole, similarity), "jaccard-joining")
+        if not joining.isEmpty():
+            known = components(links.union(joining)).withColumnRenamed("node", "class")
 
     classes = rows.where("size > 0").groupBy("class").agg(F.min(key).alias("lowest"))
-    classes = classes.join(known.withColumnRenamed("node", "class"), "class", "left")
+    classes = classes.join(known, "class", "left")
     classes = classes.select("class", F.coalesce("component", "class").alias("group"), "lowest")
     lowest = classes.groupBy("group").agg(F.min("lowest").alias("component"))
     labels = staged(classes.join(lowest, "group").select("class", "group", "component"), "jaccard-labels")
