@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -105,6 +106,16 @@ def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Dat
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps whose results are staged.
+
+    Spark deletes them once the driver's garbage is collected, which on a small heap may be
+    long after; a job of many steps would keep the files of all of them on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Ask for a broadcast of `df` after counting that it has at most `max_rows` rows.
 
