@@ -51,7 +51,7 @@ from pyspark.sql import types as T
 from pingtrace.llm.arrays import LOWER, gram_hashes, mix, portions, utf8, word_hashes
 from pingtrace.llm.components import components
 from pingtrace.llm.inputs import fresh_names, table
-from pingtrace.sources.staging import staged
+from pingtrace.sources.staging import release, staged
 
 LEAST_BITS, MOST_BITS = 1024, 1 << 16
 SLACK = 0.18  # parts beyond the bound, as a share of it, for parts without n-grams
@@ -409,6 +409,7 @@ def similar_components(
     )
     members = divided.join(shared.where("low <> high").select("division", "low", "held"), "division")
     members = staged(members.distinct(), "jaccard-members")
+    release(docs.sparkSession)
 
     involved = staged(members.select("class").distinct(), "jaccard-involved")
     # A class whose ids are all null is found by the null id.
@@ -426,13 +427,16 @@ def similar_components(
     near = staged(near.select(F.explode("a").alias("a"), "b"), "jaccard-pairs")
     links = linked(near, sets, arrays, similarity)
 
+    release(docs.sparkSession)
     known = components(links).withColumnRenamed("node", "class")
     left, twos = _mixed_divisions(members, known)
     tiles = _blocks(left.join(sets, "class"), tile_rows)
     # Pairs that step 1 has decided stay in: others may hang together by them only.
     asked = staged(_possible_links(tiles, similarity).union(twos).distinct(), "jaccard-asked")
+    release(docs.sparkSession)
     if not asked.isEmpty():
         clusters = components(asked).select(F.col("component").alias("division"), F.col("node").alias("class"))
+        release(docs.sparkSession)
         clusters = clusters.join(known, "class", "left").withColumn("component", F.coalesce("component", "class"))
         whole = _blocks(staged(clusters.join(sets, "class"), "jaccard-clusters"), tile_rows).join(arrays, "class")
         with _small_batches(docs.sparkSession):
