@@ -12,8 +12,8 @@ A space between two characters other than white space begins a token of either t
 (no piece of B has a space after another character), so texts are cut there, and tokens,
 overlaps, groups and pairs are worked out once for every different stretch that a task meets.
 
-How many documents hold a pair is counted over the corpus: once per document in the map, then
-by sum. The table of pairs is bounded by the vocabularies, not the corpus; up to
+How many documents hold a pair is counted over the corpus: every document is staged with its
+distinct pairs, once per document, which are counted by sum, so texts are tokenized once. The table of pairs is bounded by the vocabularies, not the corpus; up to
 PAIRS_AT_ONCE pairs (counted) go to every task, beyond that the documents' pairs are
 joined with it by shuffle.
 
@@ -218,15 +218,14 @@ class PairTable:
 class Lexicon:
     """What the pieces met so far come to; `keep` names what is asked for: pairs, digests, tokens."""
 
-    def __init__(self, tokenizers: Tokenizers, keep: tuple[str, ...], counted: PairTable | None = None):
-        self.tokenizers, self.keep, self.counted = tokenizers, keep, counted
+    def __init__(self, tokenizers: Tokenizers, keep: tuple[str, ...]):
+        self.tokenizers, self.keep = tokenizers, keep
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.bytes = 0
         self.n_a, self.n_b, self.n_groups, self.n_links = Grown(), Grown(), Grown(), Grown()
-        self.n_best, self.count_sum = Grown(), Grown()
         self.digests: list[str] = []
         self.a, self.b = Ragged(2), Ragged(2)  # id, group within the piece
         self.overlaps = Ragged(3)  # token of A, token of B within the piece, shared bytes
@@ -269,10 +268,6 @@ class Lexicon:
         self.n_b.add(sizes_b)
         self.n_groups.add(groups)
         self.n_links.add(_sums(piece, links.values, n))
-        if self.counted is not None:
-            docs, best = self.counted.of(pairs)
-            self.count_sum.add(_sums(piece, links.values * docs, n))
-            self.n_best.add(_sums(piece, links.values * best, n))
         if "pairs" in self.keep:
             self.pairs.add(np.bincount(piece, minlength=n), pairs, links.values)
         if "tokens" in self.keep:
@@ -350,12 +345,12 @@ class Texts:
         return found >> 33, found & ((1 << 33) - 1), _sums(inverse, links, len(found))
 
 
-def _mapped(docs: DataFrame, schema: str, rows: Callable, tokenizers: Tokenizers, keep: tuple[str, ...], counted=None) -> DataFrame:
+def _mapped(docs: DataFrame, schema: str, rows: Callable, tokenizers: Tokenizers, keep: tuple[str, ...]) -> DataFrame:
     """`rows(batch, texts)` of every portion of `docs` (with the column `text`), as columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers.open()
-        lexicon = Lexicon(tokenizers, keep, counted)
+        lexicon = Lexicon(tokenizers, keep)
         for batch in batches:
             for part in portions(batch, "text"):
                 found = rows(part, Texts(lexicon, part.column("text").to_pylist()))
@@ -410,20 +405,26 @@ def pair_counts(docs: DataFrame, tokenizers: Tokenizers, text: str = "text") ->
 
     `docs` counts the documents; `best` tells that no pair of the same id of A has more.
     """
-    width = tokenizers.width_b
+
+    def rows(part: pa.RecordBatch, texts: Texts) -> dict:
+        owner, pair, _ = texts.document_pairs()
+        return {"pairs": _lists(np.arange(texts.n + 1), np.bincount(owner, minlength=texts.n), pair)}
+
+    documents = docs.select(F.col(text).alias("text"))
+    return _count_pairs(_mapped(documents, "pairs array<bigint>", rows, tokenizers, ("pairs",)), tokenizers.width_b)
+
+
+def _count_pairs(documents: DataFrame, width: int) -> DataFrame:
+    """`pair_counts` from the distinct pairs (column `pairs`) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers.open()
-        lexicon = Lexicon(tokenizers, ("pairs",))
         held, size = [], 0
         for batch in batches:
-            for part in portions(batch, "text"):
-                pairs = Texts(lexicon, part.column("text").to_pylist()).document_pairs()[1]
-                held.append(pairs)
-                size += len(pairs)
-                if size > COUNTS_HELD:
-                    yield added(held)
-                    held, size = [], 0
+            held.append(batch.column("pairs").flatten().to_numpy())
+            size += len(held[-1])
+            if size > COUNTS_HELD:
+                yield added(held)
+                held, size = [], 0
         if held:
             yield added(held)
 
@@ -432,7 +433,7 @@ def pair_counts(docs: DataFrame, tokenizers: Tokenizers, text: str = "text") ->
         columns = [pairs // width, pairs % width, count.astype(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "docs"])
 
-    mapped = docs.select(F.col(text).alias("text")).mapInArrow(run, "a bigint, b bigint, docs bigint")
+    mapped = documents.select("pairs").mapInArrow(run, "a bigint, b bigint, docs bigint")
     pairs = staged(mapped.groupBy("a", "b").agg(F.sum("docs").alias("docs")), "alignment-counts")
     most = pairs.groupBy("a").agg(F.max("docs").alias("most"))
     return staged(pairs.join(most, "a").select("a", "b", "docs", (F.col("docs") == F.col("most")).alias("best")), "alignment-pairs")
@@ -455,45 +456,52 @@ def _counts(texts: Texts) -> dict:
     }
 
 
+def _documents(docs: DataFrame, tokenizers: Tokenizers, key: str, text: str) -> DataFrame:
+    """Every row's numbers and digest, with its distinct pairs and their links, staged."""
+
+    def rows(part: pa.RecordBatch, texts: Texts) -> dict:
+        owner, pair, links = texts.document_pairs()
+        sizes, each = np.bincount(owner, minlength=texts.n), np.arange(texts.n + 1)
+        return {"id": part.column("id"), "row": part.column("row")} | _counts(texts) | {
+            name: _lists(each, sizes, values) for name, values in (("pairs", pair), ("links", links))
+        }
+
+    kind = docs.schema[key].dataType.simpleString()
+    schema = f"id {kind}, row bigint, {_COUNTS}, pairs array<bigint>, links array<bigint>"
+    numbered = _taken(docs, key, text).withColumn("row", F.monotonically_increasing_id())
+    return staged(_mapped(numbered, schema, rows, tokenizers, ("pairs", "digests")), "alignment-documents")
+
+
 def link_summary(docs: DataFrame, tokenizers: Tokenizers, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key`, numbers of tokens, groups and links, what the corpus's counts make of the links, and the digest."""
-    pairs = pair_counts(docs, tokenizers, text)
+    found = _documents(docs, tokenizers, key, text)
+    pairs = _count_pairs(found, tokenizers.width_b)
     if pairs.count() > PAIRS_AT_ONCE:
-        return _summary_by_shuffle(docs, tokenizers, pairs, key, text)
+        return _summary_by_shuffle(found, pairs, tokenizers.width_b, key)
     got = pairs.toArrow()
     a, b, count, best = (np.asarray(got[c].combine_chunks().to_numpy(zero_copy_only=False)) for c in ("a", "b", "docs", "best"))
     counted = PairTable(a * tokenizers.width_b + b, count, best)
 
-    def rows(part: pa.RecordBatch, texts: Texts) -> dict:
-        lexicon = texts.lexicon
-        return {key: part.column("id")} | _counts(texts) | {
-            "n_best": pa.array(texts.total(lexicon.n_best.values)),
-            "count_sum": pa.array(texts.total(lexicon.count_sum.values)),
-        }
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, links = batch.column("pairs"), batch.column("links").flatten().to_numpy()
+            docs_of, best_of = counted.of(lists.flatten().to_numpy())
+            ends = bounds_of(lists.value_lengths().to_numpy(zero_copy_only=False))
+            sums = [np.diff(bounds_of(links * of)[ends]) for of in (best_of, docs_of)]
+            kept = batch.drop_columns(["pairs", "links"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, sums)], [*kept.schema.names, "n_best", "count_sum"])
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, {_COUNTS}, n_best bigint, count_sum bigint"
-    return _mapped(_taken(docs, key, text), schema, rows, tokenizers, ("digests",), counted).select(key, *_RESULT)
+    summed = found.mapInArrow(look_up, f"id {kind}, row bigint, {_COUNTS}, n_best bigint, count_sum bigint")
+    # In the order of the table, as one map over it would give them.
+    return summed.orderBy("row").select(F.col("id").alias(key), *_RESULT)
 
 
-def _summary_by_shuffle(docs: DataFrame, tokenizers: Tokenizers, pairs: DataFrame, key: str, text: str) -> DataFrame:
+def _summary_by_shuffle(found: DataFrame, pairs: DataFrame, width: int, key: str) -> DataFrame:
     """The same where the table of pairs is too large to be sent: every document's pairs meet it in a join."""
-    width = tokenizers.width_b
-
-    def rows(part: pa.RecordBatch, texts: Texts) -> dict:
-        owner, pair, links = texts.document_pairs()
-        sizes = np.bincount(owner, minlength=texts.n)
-        each = np.arange(texts.n + 1)
-        return {"id": part.column("id"), "row": part.column("row")} | _counts(texts) | {
-            name: _lists(each, sizes, values) for name, values in (("a", pair // width), ("b", pair % width), ("links", links))
-        }
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"id {kind}, row bigint, {_COUNTS}, a array<bigint>, b array<bigint>, links array<bigint>"
-    numbered = _taken(docs, key, text).withColumn("row", F.monotonically_increasing_id())
-    found = staged(_mapped(numbered, schema, rows, tokenizers, ("pairs", "digests")), "alignment-documents")
-    linked = found.select("row", F.explode(F.arrays_zip("a", "b", "links")).alias("p")).select("row", "p.*")
-    sums = linked.join(pairs, ["a", "b"]).groupBy("row").agg(
+    pairs = pairs.select((F.col("a") * width + F.col("b")).alias("pairs"), "docs", "best")
+    linked = found.select("row", F.explode(F.arrays_zip("pairs", "links")).alias("p")).select("row", "p.*")
+    sums = linked.join(pairs, "pairs").groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"),
         F.sum(F.col("links") * F.col("docs")).alias("count_sum"),
     )

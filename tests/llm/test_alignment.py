@@ -149,3 +149,16 @@ def test_empty_table(spark, tokenizers):
     assert link_summary(documents(spark, []), tokenizers).collect() == []
     assert [tuple(r) for r in link_summary(documents(spark, [(1, None), (2, "")]), tokenizers).collect()] == [
         (1, 0, 0, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_texts_are_tokenized_once(spark):
+    encoded = spark.sparkContext.accumulator(0)
+
+    class Counting(Tokenizers):
+        def encode(self, pieces):
+            encoded.add(len(pieces))
+            return super().encode(pieces)
+
+    docs = documents(spark, [(i, f"one two three{i}") for i in range(20)]).coalesce(1)
+    assert len(link_summary(docs, Counting(PATH_A, PATH_B)).collect()) == 20
+    assert encoded.value == 22  # every different stretch, for the counts and the sums together
