@@ -61,7 +61,7 @@ def exact_quantiles(
     if sum(digits) != 64:
         raise ValueError("the digits must have 64 bits together")
     pairs = ", ".join(f"struct('{c}' AS axis, cast({c} AS double) AS v)" for c in columns)
-    values = with_image(df.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL"), "v")
+    values = df.selectExpr(f"inline(array({pairs}))").where("v IS NOT NULL")
     shares = ", ".join(number(f) for f in fractions)
     left, brackets = 64, None
     wanted = ["axis", "fraction", "rank", "weight", "below", "beyond"]
@@ -69,9 +69,9 @@ def exact_quantiles(
         left -= bits
         # Arithmetic shift: digits above are the same within a bracket, so this orders them all.
         digit = f"shiftright(image, {left}) AS digit"
-        measures = [F.expr("count(*) AS n"), F.expr("min(v) AS v")]
+        measures = [F.expr("count(*) AS n"), F.expr("min(v) AS v"), F.expr("max(v) AS top")]
         if brackets is None:
-            counts = values.groupBy("axis", F.expr(digit)).agg(*measures)
+            counts = with_image(values, "v").groupBy("axis", F.expr(digit)).agg(*measures)
             # As many rows as columns, with a copy for each fraction.
             totals = counts.groupBy("axis").agg(F.sum("n").alias("total")).selectExpr(
                 "*", f"explode(array({shares})) AS fraction"
@@ -87,8 +87,11 @@ def exact_quantiles(
             counts = counts.join(F.broadcast(ranks), "axis")
         else:
             # The brackets are len(columns) * len(fractions) rows, whatever the data.
-            inside = values.join(F.broadcast(brackets.drop("v", "n")), "axis").where(f"shiftright(image, {left + bits}) = digit")
-            counts = inside.drop("digit").groupBy(*wanted, F.expr(digit)).agg(*measures)
+            # Images are in the order of the values, so the values of a digit are those from its least to its
+            # greatest; only they need an image.
+            held = brackets.selectExpr(*wanted, "v AS _least", "top AS _greatest")
+            inside = values.join(F.broadcast(held), "axis").where("v >= _least AND v <= _greatest")
+            counts = with_image(inside, "v").groupBy(*wanted, F.expr(digit)).agg(*measures)
         brackets = _holding_rank(counts)
     above = "if(below + n > rank + 1, v, coalesce(beyond, v))"
     return brackets.selectExpr("axis", "fraction", f"v + if(weight > 0D, ({above} - v) * weight, 0D) AS quantile")
@@ -108,6 +111,6 @@ def _holding_rank(counts: DataFrame) -> DataFrame:
         )
         .where("up_to > rank AND up_to - n <= rank")
         .selectExpr(
-            "axis", "fraction", "rank", "weight", "up_to - n AS below", "next AS beyond", "digit", "v", "n"
+            "axis", "fraction", "rank", "weight", "up_to - n AS below", "next AS beyond", "v", "top", "n"
         )
     )

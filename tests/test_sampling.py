@@ -213,3 +213,12 @@ def test_many_picks_equal_the_turns_one_by_one(spark):
                 expected[i] = str(p)
                 break
     assert {r["point_id"]: r["id"] for r in sampling.pick_without_repeats(table).collect()} == expected
+
+
+def test_later_passes_take_images_of_values_in_question_only(spark, monkeypatch):
+    asked, whole = [], quantiles.with_image
+    monkeypatch.setattr(quantiles, "with_image", lambda df, *names: asked.append(df) or whole(df, *names))
+    frame = spark.range(1000).selectExpr("if(id < 990, id + 0.5D, if(id < 995, double('NaN'), -0D)) AS v")
+    (found,) = quantiles.exact_quantiles(frame, ["v"], [0.5]).collect()
+    assert found.quantile == 495.0
+    assert asked[0].count() == 1000 and asked[-1].count() <= 2
