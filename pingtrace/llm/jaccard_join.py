@@ -17,7 +17,8 @@ if it has fewer of them than parts must agree, since then another part agrees to
    components;
 3. within divisions that even then hold several components, all classes that may be
    similar to one of another component come with their arrays and are compared, until
-   their components are joined. Only links that join two of them leave the group.
+   their components are joined. Only links that join two of them leave the group. Divisions are
+   taken in up to MOST_ROUNDS rounds, so that not all copies of arrays are on disk at once.
 
 Divisions of over TILE_ROWS classes (or ARRAY_BYTES of arrays) are cut into blocks, and each pair of
 blocks is a group of its own in steps 2 and 3. So no step makes more rows than the divisions
@@ -58,6 +59,7 @@ SLACK = 0.18  # parts beyond the bound, as a share of it, for parts without n-gr
 TILE_ROWS = 1024
 ARRAY_BYTES = 1 << 25  # of n-gram arrays in a block
 ARRAY_ROWS = 256
+MOST_ROUNDS = 8
 TILE_BITS = 8  # of a division's key, for the number of its tile
 BROADCAST_ROWS = 200_000
 _U = np.uint64
@@ -319,7 +321,7 @@ def _possible_links(tiles: DataFrame, similarity: Similarity) -> DataFrame:
 
 def _in_question(tiles: DataFrame, similarity: Similarity) -> DataFrame:
     """Rows of `tiles` without bits, of classes that may be similar to one of another component in their group."""
-    schema = "division bigint, block_a int, block_b int, block int, class bigint, component bigint"
+    schema = "division bigint, block_a int, block_b int, block int, class bigint, component bigint, size bigint"
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -327,7 +329,7 @@ def _in_question(tiles: DataFrame, similarity: Similarity) -> DataFrame:
         for i, hits in _hits(group, parts, similarity):
             keep[hits] = True
             keep[i] |= len(hits) > 0
-        return group.select([*GROUP, "block", "class", "component"]).filter(pa.array(keep))
+        return group.select([*GROUP, "block", "class", "component", "size"]).filter(pa.array(keep))
 
     return tiles.groupBy(*GROUP).applyInArrow(compare, schema)
 
@@ -339,6 +341,7 @@ def _joining_links(tiles: DataFrame, similarity: Similarity) -> DataFrame:
         group = group.combine_chunks()
         classes, parts, found = np.asarray(group["class"]), _Parts(np.asarray(group["component"])), []
         grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["grams"]]
+        group = group.append_column("bits", pa.array([signature(x) for x in grams], pa.binary()))
         for i, hits in _hits(group, parts, similarity):
             for j in hits.tolist():
                 if parts.of[i] != parts.of[j]:
@@ -352,6 +355,28 @@ def _joining_links(tiles: DataFrame, similarity: Similarity) -> DataFrame:
     return tiles.groupBy(*GROUP).applyInArrow(compare, "a bigint, b bigint")
 
 
+def _joined_in_rounds(asked: DataFrame, sets: DataFrame, arrays: DataFrame, similarity: Similarity) -> DataFrame | None:
+    """`_joining_links` of `asked`, whose rows take their arrays along; None if there are no rows.
+
+    A class is asked for in many groups, each with a copy of its array. So whole groups are taken in
+    as many rounds as the copies have times the bytes of all arrays (MOST_ROUNDS at most), and each round's shuffle
+    files are let go before the next.
+    """
+    copies, stored = asked.agg(F.sum("size")).first()[0], sets.agg(F.sum("size")).first()[0]
+    if copies is None:
+        return None
+    rounds, found = min(MOST_ROUNDS, -(-copies // stored)), None
+    for turn in range(rounds):
+        part = asked.where(F.pmod(F.xxhash64(*GROUP), F.lit(rounds)) == turn)
+        few = part.count() <= BROADCAST_ROWS
+        whole = arrays.join(F.broadcast(part) if few else part, "class")
+        with _small_batches(asked.sparkSession):
+            links = staged(_joining_links(whole, similarity), "jaccard-joining")
+        found = links if found is None else found.union(links)
+        release(asked.sparkSession)
+    return found
+
+
 def _blocks(members: DataFrame, similarity: Similarity, tile_rows: int) -> DataFrame:
     """Rows of `members`, each once for every pair of blocks that its block is in."""
     sizes = F.array(*[F.lit(rows) for rows in similarity.block_rows(tile_rows)])
@@ -446,12 +471,9 @@ def similar_components(
         mixed, _, tiles = _mixed_divisions(members, known, sets, similarity, tile_rows, mixed)
         asked = staged(_in_question(tiles, similarity), "jaccard-asked")
         release(docs.sparkSession)
-        if not asked.isEmpty():
-            whole = asked.join(sets, "class").join(arrays, "class")
-            with _small_batches(docs.sparkSession):
-                joining = staged(_joining_links(whole, similarity), "jaccard-joining")
-            if not joining.isEmpty():
-                known = components(links.union(joining))
+        joining = _joined_in_rounds(asked, sets, arrays, similarity)
+        if joining is not None and not joining.isEmpty():
+            known = components(links.union(joining))
 
     classes = rows.where("size > 0").groupBy("class").agg(F.min(key).alias("lowest"))
     classes = classes.join(known.withColumnRenamed("node", "class"), "class", "left")

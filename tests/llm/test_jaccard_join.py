@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import oracle
 import pytest
 from text_fixtures import SF_DIR, documents, odd_rows
@@ -162,3 +163,20 @@ def test_empty_table(spark):
     empty = documents(spark, [])
     assert similar_components(empty, Similarity(3, 90)).collect() == []
     assert keep_first(empty, Similarity(3, 90)).collect() == []
+
+
+def test_arrays_are_taken_in_rounds(spark, monkeypatch):
+    """Four similar classes in question in eight divisions: no round has the copies for all of them."""
+    base = list(range(1, 101))
+    sets = {k: np.array(sorted([*base, 1000 + k]), np.uint64) for k in range(4)}
+    arrays = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "class bigint, grams binary")
+    sizes = spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "class bigint, size bigint")
+    asked = spark.createDataFrame(
+        [(d, 0, 0, 0, k, k, len(s)) for d in range(8) for k, s in sets.items()],
+        "division bigint, block_a int, block_b int, block int, class bigint, component bigint, size bigint",
+    )
+    copied, whole = [], jaccard_join._joining_links
+    monkeypatch.setattr(jaccard_join, "_joining_links", lambda t, s: copied.append(t.count()) or whole(t, s))
+    links = jaccard_join._joined_in_rounds(asked, sizes, arrays, Similarity(3, 90))
+    assert {r.component for r in components(links).collect()} == {0} and links.count() == 8 * 3
+    assert len(copied) == 8 and sum(copied) == 32 and max(copied) < 32
