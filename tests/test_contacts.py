@@ -5,7 +5,14 @@ import random
 import pytest
 from helpers import DAY, ids, metres, stay, stays
 
-from pingtrace.operators.contacts import close_contacts, contact_edges, near_pairs, with_length
+from pingtrace.operators.contacts import (
+    close_contacts,
+    contact_edges,
+    near_pairs,
+    near_pairs_together,
+    with_length,
+)
+from pingtrace.operators.exposure import contact_flags, session_labels, session_totals
 
 A, NEAR, FAR = (40.0, -3.7), (40.00005, -3.7), (40.0002, -3.7)
 
@@ -184,3 +191,48 @@ def test_contact_join_is_an_equi_join(spark):
     table = with_length(stays(spark, _timed(random.Random(1), 5, "p")))
     plan = contact_edges(table, block_rows=None)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def _wanderers(rng, n, label):
+    """Stays of people who move between far and near places, one after the other."""
+    rows = []
+    for i in range(n):
+        end = 0
+        for counter in range(1, rng.randrange(2, 7)):
+            start = end + rng.choice([0, 60, 9_000])
+            end = start + rng.choice([1, 600, 7_000])
+            place = (40.0 + rng.choice([0, 0.00005, 0.00011, 0.01]), -3.7 + rng.choice([0, 0.0001, 0.02]))
+            clock = [f"{s // 3600:02}:{s // 60 % 60:02}:{s % 60:02}" for s in (start, end)]
+            rows.append(stay(counter, f"{label}{i}", place, *clock))
+    return rows
+
+
+@pytest.mark.parametrize("crowded_from, block_rows", [(None, 9), (1, 4), (20, 9), (40, 1000), (10_000, 9)])
+def test_pairs_found_together_are_those_found_apart(spark, crowded_from, block_rows):
+    rng = random.Random(12)
+    left, right = _wanderers(rng, 40, "a"), _wanderers(rng, 60, "b")
+    left.append(stay(1, None, A, "10:00:00", "11:00:00"))
+    tables = stays(spark, left), stays(spark, right)
+    found = near_pairs_together(
+        *tables, condition="a_id != b_id", crowded_from=crowded_from, block_rows=block_rows, probe_fraction=1.0
+    )
+    shown = ["a_id", "a_track_position_counter", "b_id", "b_track_position_counter"]
+    plain = near_pairs(*tables, overlapping=True, condition="a_id != b_id")
+    expected = sorted(tuple(r) for r in plain.select(*shown).collect())
+    assert len(expected) > 500
+    assert sorted(tuple(r) for r in found.select(*shown).collect()) == expected
+    # All rows of a pair have the same keys.
+    assert found.select("a_id", "b_id", "pair", "meeting").distinct().count() == len({(p[0], p[2]) for p in expected})
+
+
+def test_crowds_shuffle_stays_not_contacts(spark):
+    """Sessions and totals of a crowd are worked out where its stays meet."""
+    rows = [stay(1, f"p{i}", A, "10:00:00", "11:00:00") for i in range(60_000)]
+    table = stays(spark, rows).cache()
+    contacts = close_contacts(table.where("id < 'p1'"), table, table.where("id < 'p1'").select("id"), together=True)
+    sessions = session_totals(session_labels(contact_flags(contacts)))
+    edges = contact_edges(table)
+    for frame in (sessions, edges):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        above_join = plan[: plan.index("SortMergeJoin")]
+        assert "Exchange" not in above_join
