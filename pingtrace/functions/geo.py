@@ -50,6 +50,18 @@ def may_be_within(one: str, other: str, metres: float) -> str:
     return f"{' + '.join(squares)} <= {number(chord * chord)}"
 
 
+def near_cube(latitude: str, longitude: str, metres: float) -> list[str]:
+    """Keys `kx`, `ky`, `kz` that only points within `metres` of each other share; far from all such points do.
+
+    Null or NaN positions and those beyond 90 or 180 degrees have null keys.
+    """
+    # The diagonal of a cube is sqrt(3) times its side, which leaves more room than rounding needs.
+    side = math.sin(min(metres / EARTH_RADIUS_M, math.pi) / 2)
+    on_earth = f"abs({latitude}) <= 90D AND abs({longitude}) <= 180D"
+    vector = [part.rsplit(" AS ", 1) for part in unit_vector(latitude, longitude, "k")]
+    return [f"if({on_earth}, floor(({value}) / {number(side)}), NULL) AS {name}" for value, name in vector]
+
+
 def rescale(value: str, low: str, high: str, unit_range=(-1.0, 1.0), digits: int = 7) -> str:
     """Map `value` from `unit_range` linearly onto [low, high], rounded."""
     start, end = unit_range

@@ -57,6 +57,8 @@ def near_pairs(
     probe_fraction: float = PROBE_FRACTION,
     left_columns: tuple[str, ...] = (),
     small_left: bool = False,
+    right_columns: tuple[str, ...] = (),
+    tasks: int | None = None,
 ) -> DataFrame:
     """All pairs of a `left` and a `right` stay of one day within `metres`.
 
@@ -80,12 +82,15 @@ def near_pairs(
     `small_left` asks for a broadcast of the left side, copies included; the caller has
     counted it.
 
-    `condition` is a further test, in SQL, on the prefixed columns. Columns of
-    `left` besides those of a stay come along when named in `left_columns`.
+    `tasks` deals the cells that are not crowded out to so many tasks, for rows that are few
+    bytes and much work, which would else be put together by their size.
+
+    `condition` is a further test, in SQL, on the prefixed columns. Columns besides those
+    of a stay come along when named in `left_columns` and `right_columns`.
     """
     grid = CellGrid(metres)
     a = grid.with_reached_cells(_side(left, "a_", left_columns), "a_latitude", "a_longitude")
-    b = grid.with_home_cell(_side(right, "b_"), "b_latitude", "b_longitude")
+    b = grid.with_home_cell(_side(right, "b_", right_columns), "b_latitude", "b_longitude")
     keys = ["iso_date", "cy", "cx"]
     tests = [f"{_DISTANCE} <= {number(metres)}"]
     if condition is not None:
@@ -93,8 +98,11 @@ def near_pairs(
     if overlapping:
         tests.insert(0, f"{SHARED_SECONDS} > 0")
 
-    def pairs(one: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-        one = F.broadcast(one) if small_left else one
+    def pairs(one: DataFrame, other: DataFrame, keys: list[str], tasks: int | None = tasks) -> DataFrame:
+        if small_left:
+            one = F.broadcast(one)
+        elif tasks is not None:
+            one, other = one.repartition(tasks, *keys).hint("merge"), other.repartition(tasks, *keys)
         found = one.join(other, keys).where(" AND ".join(tests))
         return found.selectExpr("iso_date", *own_columns, f"{_DISTANCE} AS distance")
 
@@ -115,9 +123,9 @@ def near_pairs(
     keys = [*keys, "a_block", "b_block"]
     # Few bytes, much work: partitions by number, not by size, and no broadcast.
     blocks = crowded.selectExpr("sum(a_blocks * b_blocks)").first()[0]
-    tasks = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(tasks, min(blocks, MOST_TASKS))
-    there = pairs(a.repartition(tasks, *keys).hint("merge"), b.repartition(tasks, *keys), keys)
+    least = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = max(least, min(blocks, MOST_TASKS))
+    there = pairs(a.repartition(many, *keys).hint("merge"), b.repartition(many, *keys), keys, None)
     return elsewhere.unionByName(there)
 
 

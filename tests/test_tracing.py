@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from helpers import DAY, ids, ping, pings
 
+from pingtrace.functions.geo import haversine_m, near_cube
 from pingtrace.operators.contacts import close_contacts, contact_edges
 from pingtrace.operators.exposure import contact_flags, session_labels, session_totals
 from pingtrace.operators.stays import stays
@@ -201,3 +202,60 @@ def test_people_absent_for_days_are_handed_on(spark):
         edges = staged(contact_edges(table), "edges", ("iso_date",))
         along = tracing.cascade_over_edges(edges, ids(spark, ["p", None]), DAY)
         assert sorted(map(tuple, along.collect())) == sorted(map(tuple, reached.collect()))
+
+
+def test_large_days_give_the_same_as_edges(spark):
+    """People in parts, across cubes, between spans and over several hops, with null ids and stays that come twice."""
+    rng = random.Random(5)
+    rows = []
+    for day in range(4):
+        date = DAY + datetime.timedelta(days=day)
+        for person in [None, *map(str, range(70))]:
+            for _ in range(rng.randrange(3)):
+                place = (40.0 + rng.randrange(12) * 0.00003, -3.7 + rng.randrange(4) * 0.00003)
+                begin = rng.randrange(0, 600)
+                for minute in (begin, begin + rng.choice((5, 12, 29, 30, 31, 36, 45, 90, 400))):
+                    rows.append(ping(person, place, f"{minute // 60:02}:{minute % 60:02}:{rng.randrange(60):02}", date))
+    once = tracing.with_length(stays(pings(spark, rows)))
+    for table in (staged(once, "once"), staged(once.unionAll(once.where("id IN ('3', '4', '20')")), "twice")):
+        seeds = ids(spark, ["0", "1"])
+        edges = staged(contact_edges(table), "edges")
+        expected = sorted(map(str, tracing.cascade_over_edges(edges, seeds, DAY).collect()))
+        assert len({r.split("hop=")[1] for r in expected}) > 2
+        for block_rows in (1, 4000):
+            found = tracing.exposure_cascade(table, seeds, DAY, block_rows=block_rows, large_day=0)
+            assert sorted(map(str, found.collect())) == expected
+
+
+def test_crowds_at_one_place_are_settled_without_pairs(spark, monkeypatch):
+    compared, plain = [], tracing.near_pairs
+
+    def counting(left, right, *args, **kwargs):
+        compared.append(sorted(r["id"] for r in right.select("id").distinct().collect()))
+        return plain(left, right, *args, **kwargs)
+
+    monkeypatch.setattr(tracing, "near_pairs", counting)
+    date = DAY + datetime.timedelta(days=1)
+    rows = [ping(f"p{i}", (40.0, -3.7), time, date) for i in range(40) for time in ("10:00:00", "12:00:00")]
+    rows += [ping("beside", (40.00007, -3.7), time, date) for time in ("10:00:00", "12:00:00")]
+    rows += [ping("short", (40.0, -3.7), time, date) for time in ("10:00:00", "10:20:00")]
+    table = staged(stays(pings(spark, rows)), "crowd")
+    reached = tracing.exposure_cascade(table, ids(spark, ["p0", "p1"]), DAY, large_day=0)
+    assert sorted((r["id"], r["hop"]) for r in reached.collect()) == sorted(
+        [("p0", 0), ("p1", 0), ("beside", 1), *((f"p{i}", 1) for i in range(2, 40))]
+    )
+    assert compared == [["beside"]]
+
+
+def test_near_cubes_hold_only_what_is_near(spark):
+    rng = random.Random(2)
+    rows = [(lat, lon) for lat0, lon0 in ((40, -3.7), (89.9999, 7), (-89.99995, 179.9999), (0, 180))
+            for lat, lon in ((lat0 + rng.uniform(-1e-4, 1e-4), lon0 + rng.uniform(-1e-4, 1e-4)) for _ in range(150))]
+    rows += [(float("nan"), 1.0), (None, 1.0), (1.0, None), (95.0, 1.0), (1.0, 200.0)]
+    points = spark.createDataFrame(rows, "lat double, lon double").selectExpr("*", *near_cube("lat", "lon", 10.0))
+    assert points.where("kx IS NULL OR ky IS NULL OR kz IS NULL").count() >= 5
+    points = staged(points, "cubes")
+    a, b = (points.selectExpr("kx", "ky", "kz", f"lat AS {s}_lat", f"lon AS {s}_lon") for s in "ab")
+    met = a.join(b, ["kx", "ky", "kz"]).selectExpr(f"{haversine_m('a_lat', 'a_lon', 'b_lat', 'b_lon')} AS d")
+    most, many = met.selectExpr("max(d)", "count(*)").first()
+    assert most <= 10.0 and many > 1000
