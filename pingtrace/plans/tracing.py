@@ -215,7 +215,7 @@ def cascade_over_edges(
     """`exposure_cascade` along a given table of daily contact edges.
 
     For many seed sets over the same days, where the edges of all people are
-    worth building once. Keep the edges partitioned by day.
+    worth building once. Keep the edges partitioned by day (`edges_by_day`).
     """
     enough = f"round(total_exposure_time * 60) >= {number(min_minutes * 60)}"
     later = edges.where(f"iso_date > date '{start}' AND {enough}")
@@ -234,6 +234,16 @@ def cascade_over_edges(
     return _day_by_day(seeds, start, dates, days, later.selectExpr("i1 AS id", "iso_date"), newcomers)
 
 
+def edges_by_day(edges: DataFrame) -> DataFrame:
+    """Edges that go both ways alike, as `contact_edges` gives them, written out by day for reading day by day.
+
+    One way of each is written, and both are read.
+    """
+    one_way = staged(edges.where("i1 < i2"), "edges-by-day", ("iso_date",))
+    ways = "inline(array(struct(i1, i2), struct(i2 AS i1, i1 AS i2)))"
+    return one_way.selectExpr("iso_date", ways, "total_exposure_time")
+
+
 def following_days(present: DataFrame) -> DataFrame:
     """(id, iso_date, next_day): each day of a person and the person's next one, staged by day.
 

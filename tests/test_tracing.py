@@ -259,3 +259,10 @@ def test_near_cubes_hold_only_what_is_near(spark):
     met = a.join(b, ["kx", "ky", "kz"]).selectExpr(f"{haversine_m('a_lat', 'a_lon', 'b_lat', 'b_lon')} AS d")
     most, many = met.selectExpr("max(d)", "count(*)").first()
     assert most <= 10.0 and many > 1000
+
+
+def test_edges_by_day_hold_one_way_and_give_both(spark, edges):
+    by_day = tracing.edges_by_day(edges)
+    assert sorted(map(str, by_day.select(*edges.columns).collect())) == sorted(map(str, edges.collect()))
+    written = spark.read.parquet(*by_day.inputFiles())
+    assert written.count() * 2 == edges.count()
