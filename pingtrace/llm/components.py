@@ -43,3 +43,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "component")
         if moved.where("component <> was").isEmpty():
             return labels
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """`components` of the links that `known` is of and `links` together.
+
+    Only the components that `links` join are looked at again, each as one node, so settled
+    edges are not.
+    """
+    fresh = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    fresh = fresh.join(known, "node", "left_anti").select("node", F.col("node").alias("component"))
+    known = staged(known.union(fresh), "component-known")
+    for end in ("a", "b"):
+        of = known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        links = links.join(of, end)
+    joined = components(links.select(F.col("a_in").alias("a"), F.col("b_in").alias("b")))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    found = known.join(joined, "component", "left")
+    return staged(found.select("node", F.coalesce("into", "component").alias("component")), "component-merged")

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pingtrace.llm.arrays import LOWER, gram_hashes, mix, portions, utf8, word_hashes
-from pingtrace.llm.components import components
+from pingtrace.llm.components import components, merged
 from pingtrace.llm.inputs import fresh_names, table
 from pingtrace.sources.staging import release, staged
 
@@ -466,14 +466,13 @@ def similar_components(
     rest = _possible_links(tiles, similarity).union(twos).distinct()
     rest = staged(rest.join(near, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
-        links = links.union(linked(rest, sets, arrays, similarity))
-        known = components(links)
+        known = merged(known, linked(rest, sets, arrays, similarity))
         mixed, _, tiles = _mixed_divisions(members, known, sets, similarity, tile_rows, mixed)
         asked = staged(_in_question(tiles, similarity), "jaccard-asked")
         release(docs.sparkSession)
         joining = _joined_in_rounds(asked, sets, arrays, similarity)
         if joining is not None and not joining.isEmpty():
-            known = components(links.union(joining))
+            known = merged(known, joining)
 
     classes = rows.where("size > 0").groupBy("class").agg(F.min(key).alias("lowest"))
     classes = classes.join(known.withColumnRenamed("node", "class"), "class", "left")

@@ -7,8 +7,9 @@ import oracle
 import pytest
 from text_fixtures import SF_DIR, documents, odd_rows
 
+from pingtrace.llm import components as components_module
 from pingtrace.llm import jaccard_join
-from pingtrace.llm.components import components
+from pingtrace.llm.components import components, merged
 from pingtrace.llm.jaccard_join import ORACLE_SQL, Similarity, keep_first, op3_jaccard_join, similar_components
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -159,6 +160,42 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(201)} | {500: 500, 501: 500}
 
 
+def test_merged_components(spark):
+    chance = random.Random(3)
+    links = [(chance.randrange(60), chance.randrange(60)) for _ in range(50)]
+    first, more, every = (spark.createDataFrame(x, "a long, b long") for x in (links[:30], links[30:], links))
+    assert sorted(merged(components(first), more).where("node <> component").collect()) == sorted(
+        components(every).where("node <> component").collect()
+    )
+    none = more.where("false")
+    assert sorted(merged(components(first), none).collect()) == sorted(components(first).collect())
+    assert merged(components(none), none).collect() == []
+
+
+def test_settled_links_are_not_followed_again(spark, monkeypatch):
+    """Later steps look only at the links that join components, not at those of earlier steps again."""
+    chance = random.Random(12)
+    rows = []
+    for changes in (2, 4, 6):
+        base = [f"w{chance.randrange(3000)}" for _ in range(240)]
+        for _ in range(80):
+            words = list(base)
+            for _ in range(changes):
+                words[chance.randrange(len(words))] = f"x{chance.randrange(3000)}"
+            rows.append((len(rows), " ".join(words)))
+    edges, whole = [], components_module.staged
+
+    def counted(frame, label, *more):
+        table = whole(frame, label, *more)
+        edges.extend([table.count()] if label == "component-edges" else [])
+        return table
+
+    monkeypatch.setattr(components_module, "staged", counted)
+    got = Counter((r.doc_id, r["size"], r.component) for r in similar_components(documents(spark, rows), Similarity(3, 90)).collect())
+    assert got == plain(rows, 3, 90)[0]
+    assert len(edges) > 1 and all(n < edges[0] for n in edges[1:])
+
+
 def test_empty_table(spark):
     empty = documents(spark, [])
     assert similar_components(empty, Similarity(3, 90)).collect() == []
