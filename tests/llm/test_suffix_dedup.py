@@ -1,13 +1,15 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from text_fixtures import SF_DIR, documents, odd_rows
 
 from pingtrace.llm import suffix_dedup
-from pingtrace.llm.suffix_dedup import dedup, op6_suffix_dedup
+from pingtrace.llm.suffix_dedup import _in_suffix_order, dedup, op6_suffix_dedup
 
 WORDS = ["ab", "ba", "a", "é", " ", "abba", "bb", "\n", "the end of it", "😀"]
 
@@ -86,5 +88,40 @@ def test_query(spark):
     assert Counter(map(tuple, op6_suffix_dedup(spark, SF_DIR).collect())) == plain(rows, 400)
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_an_anchor_of_many_contexts_takes_memory_by_their_bytes(spark, keep_first):
+    """Each task holds an anchor's contexts at once, so little more than their bytes may be held with them."""
+    chance, gram = np.random.default_rng(4), b"-" * 64
+    # Neighbours have no letter in common, so what they share ends where it is meant to.
+    around = [chance.integers(97 + 13 * (k % 2), 110 + 13 * (k % 2), 672, dtype=np.uint8).tobytes() for k in range(3000)]
+    contexts = [a[:336] + gram + a[336:] for a in around]
+    for k in range(0, 1000, 2):  # 400 bytes in common with the next, from the k-th byte on
+        at = k % 337
+        contexts[k] = contexts[k][:at] + contexts[k + 1][at : at + 400] + contexts[k][at + 400 :]
+    judge = {}
+
+    class Laid:
+        """Stands for the rows of one task."""
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def mapInArrow(self, function, schema):
+            judge["bundles"] = function
+
+    _in_suffix_order(Laid(), 400, keep_first)
+    rows = [
+        {"anchor": 1, "h1": k, "h2": k, "low": 10, "place": 346, "single": True, "bytes": c} for k, c in enumerate(contexts)
+    ]
+    batch = suffix_dedup.pa.RecordBatch.from_pylist(rows)
+    tracemalloc.start()
+    found = [r for part in judge["bundles"](iter([batch])) for r in part.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = [(k, 10 + k // 2 * 2 % 337, 410 + k // 2 * 2 % 337) for k in range(1000) if k % 2 or not keep_first]
+    assert [(r["h1"], r["begin"], r["end"]) for r in found] == want
+    assert peak < 15 * sum(map(len, contexts))
+
+
 def test_empty_table(spark):
     assert dedup(documents(spark, [])).collect() == []
